@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .media import media_index
 from .packing import pack_documents
+from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 
 BPE = "byte_bpe_50k.json"
@@ -18,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.floor(F.size("edges") / 2).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
@@ -31,10 +39,16 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op5_media_columns": op5_media_columns,
+    "op8_simhash": op8_simhash,
 }
 
 #: DuckDB SQL where it can express a query.
