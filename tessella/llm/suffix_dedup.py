@@ -11,6 +11,7 @@ neighbouring windows with one hash travel as one segment, about four bytes a win
 2. Each block sends its distinct hashes (32 bits each) to their shards, which answer with a bit for
    each: does the hash stand in another document? The rest of the text is done: it can't repeat.
 3. Blocks send the segments of repeated hashes, each distinct one once with its smallest document id.
+   What a phase can derive from a block again is not stored.
 4. In a shard, segments come in batches. A batch gets a suffix array of its windows; levels of equal
    size merge geometrically, and the merge-scan of sorted neighbours finds matches of full length
    and the smallest document of each. Hashes with one distinct segment match as a whole.
@@ -33,15 +34,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, id_and_bytes, shuffle_width, store
+from ._common import id_and_bytes, shuffle_width, store
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES, SLICE, SHARDS_A_PARTITION, BATCH_WINDOWS = 4 << 20, 1 << 17, 4, 1 << 16
+BLOCK_BYTES, SLICE, SHARDS_A_PARTITION, BATCH_WINDOWS = 8 << 20, 1 << 17, 2, 1 << 16
 NO_ID = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -74,14 +76,12 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 def window_hashes(data: np.ndarray) -> np.ndarray:
     """The smallest hash among the grams of each window of ``LENGTH`` bytes."""
-    n = len(data) - LENGTH + 1
-    out = np.empty(max(n, 0), np.uint64)
-    for a in range(0, n, SLICE):
-        m = _gram_hashes(data[a : a + SLICE + LENGTH - 1])
-        for step in (1, 2, 4, 8, LENGTH - GRAM + 1 - 16):
-            m = np.minimum(m[:-step], m[step:])
-        out[a : a + len(m)] = m
-    return out
+    if len(data) < LENGTH:
+        return np.empty(0, np.uint64)
+    m = _gram_hashes(data)
+    for step in (1, 2, 4, 8, LENGTH - GRAM + 1 - 16):
+        m = np.minimum(m[:-step], m[step:])
+    return m
 
 
 class Block:
@@ -94,21 +94,35 @@ class Block:
         self.begins = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
 
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, number of windows, hash and document (position) of each segment, in text order."""
-        hashes = window_hashes(self.data)
-        inside = np.ones(len(hashes), bool)
+        """Start, number of windows, hash and document (position) of each segment, in text order.
+
+        Slices keep the arrays in cache; a segment that crosses one is joined again.
+        """
+        inside = np.ones(len(self.data), bool)
         for a, b in zip(self.begins.tolist(), self.ends.tolist()):
             inside[max(a, b - LENGTH + 1) : b] = False
-        at = np.flatnonzero(inside)
-        if not at.size:
+        starts, hashes, stops = [], [], []
+        for a in range(0, len(self.data) - LENGTH + 1, SLICE):
+            m = window_hashes(self.data[a : a + SLICE + LENGTH - 1])
+            at = np.flatnonzero(inside[a : a + len(m)])
+            if not at.size:
+                continue
+            h = m[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            starts.append(a + at[first])
+            hashes.append(h[first])
+            stops.append(a + at[np.append(first[1:], len(at)) - 1] + 1)
+        if not starts:
             none = np.empty(0, np.int64)
             return none, none, np.empty(0, np.uint64), none
-        h = hashes[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
+        start, h, stop = np.concatenate(starts), np.concatenate(hashes), np.concatenate(stops)
+        doc = np.searchsorted(self.ends, start, side="right")
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] != stop[:-1]) | (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
-        start = at[first]
-        return start, np.diff(np.append(first, len(at))), h[first], np.searchsorted(self.ends, start, side="right")
+        return start[first], stop[np.append(first[1:], len(start)) - 1] - start[first], h[first], doc[first]
 
     def distinct_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """The segments' distinct hashes, sorted, and whether each stands in two documents here."""
@@ -181,54 +195,64 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Which of each block's hashes stand in another document: bits in the order they were sent."""
     lows = [np.frombuffer(b, np.uint32) for b in pdf["low"]]
     flags = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(n)).astype(bool) for t, n in zip(pdf["twice"], lows)]
-    every = np.sort(np.concatenate(lows))
-    again = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(n[f] for n, f in zip(lows, flags))]))
-    bits = [np.isin(n, again) for n in lows]
+    every, twice = np.concatenate(lows), np.concatenate(flags)
+    order = np.sort(every)
+    again = np.union1d(order[1:][order[1:] == order[:-1]], every[twice])
+    place = np.searchsorted(again, every)
+    found = again[np.minimum(place, len(again) - 1)] == every if len(again) else np.zeros(len(every), bool)
+    bits = np.split(found, np.cumsum([len(n) for n in lows])[:-1])
     some = [b.any() for b in bits]
     out = pdf[["block", "shard"]].copy()
     out["bits"] = [np.packbits(b).tobytes() for b in bits]
     return out[some]
 
 
+def _candidates(block: Block, bits: dict[int, bytes], shards: int) -> Iterator[tuple]:
+    """For each shard asked about: distinct segments, their hashes and smallest documents, and every place.
+
+    Both phases that need it compute it again from the block, in the same order, instead of storing it.
+    """
+    start, count, h, doc = block.segments()
+    names, of = np.unique(h, return_inverse=True)
+    order, present, cut = _by_shard(names, shards)
+    marked = np.zeros(len(names), bool)
+    place = {s: i for i, s in enumerate(present.tolist())}
+    for s, packed in bits.items():
+        a, b = cut[place[s]], cut[place[s] + 1]
+        marked[order[a:b]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
+    use = np.flatnonzero(marked[of])
+    start, count, h, doc = start[use], count[use], h[use], doc[use]
+    order, present, cut = _by_shard(h, shards)
+    raw, ids = block.raw, block.ids[doc]
+    for i, s in enumerate(present.tolist()):
+        own = order[cut[i] : cut[i + 1]]
+        at = start[own]
+        seen: dict[bytes, int] = {}
+        of = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(at.tolist(), (at + count[own] + LENGTH - 1).tolist())], np.int64)
+        least = np.full(len(seen), NO_ID)
+        np.minimum.at(least, of, ids[own])
+        grams = np.empty(len(seen), np.uint64)
+        grams[of] = h[own]
+        yield s, list(seen), grams, least, of, at, ids[own]
+
+
+def _bits(table: pa.Table) -> dict[int, bytes]:
+    return dict(zip(table["shard"].to_pylist(), table["bits"].to_pylist()))
+
+
 def _send_segments(shards: int):
-    """Distinct segments of repeated hashes for the shards (kind 0), and where they stood (kind 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int64()), ("body", pa.binary())])
+    """Distinct segments of repeated hashes, packed for their shards."""
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("body", pa.binary())])
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         row = left.to_pylist()[0]
-        block = Block(row["ids"], row["ends"], row["data"])
-        start, count, h, doc = block.segments()
-        names = np.unique(h)
-        order, present, cut = _by_shard(names, shards)
-        marked = np.zeros(len(names), bool)
-        place = {s: i for i, s in enumerate(present.tolist())}
-        for s, bits in zip(right["shard"].to_pylist(), right["bits"].to_pylist()):
-            i = place[s]
-            a, b = cut[i], cut[i + 1]
-            marked[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        use = np.flatnonzero(marked[np.searchsorted(names, h)])
-        start, count, h, doc = start[use], count[use], h[use], doc[use]
-        order, present, cut = _by_shard(h, shards)
         out: list[tuple] = []
-        raw = block.raw
-        for i, s in enumerate(present.tolist()):
-            own = order[cut[i] : cut[i + 1]]
-            seen: dict[bytes, int] = {}
-            st = start[own].tolist()
-            spans = [raw[a : a + n + LENGTH - 1] for a, n in zip(st, count[own].tolist())]
-            of = np.array([seen.setdefault(t, len(seen)) for t in spans], np.int32)
-            least = np.full(len(seen), NO_ID)
-            np.minimum.at(least, of, block.ids[doc[own]])
-            grams = np.empty(len(seen), np.uint64)
-            grams[of] = h[own]
-            texts = list(seen)
+        for s, texts, grams, least, *_ in _candidates(Block(row["ids"], row["ends"], row["data"]), _bits(right), shards):
             sizes = np.array([len(t) for t in texts], np.int32)
-            sent = _squeeze(b"".join([np.int32(len(texts)).tobytes(), sizes.tobytes(), grams.tobytes(), least.tobytes(), *texts]))
-            stood = _squeeze(b"".join([np.int32(len(of)).tobytes(), np.int32(len(texts)).tobytes(), of.tobytes(), start[own].astype(np.int32).tobytes(), sizes.tobytes()]))
-            out += [(0, row["block"], s, sent), (1, row["block"], s, stood)]
-        cols = list(zip(*out)) if out else [()] * 4
+            out.append((row["block"], s, _squeeze(b"".join([np.int32(len(texts)).tobytes(), sizes.tobytes(), grams.tobytes(), least.tobytes(), *texts]))))
+        cols = list(zip(*out)) if out else [()] * 3
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
@@ -364,62 +388,58 @@ def _answer(which: np.ndarray, of: np.ndarray, begin: np.ndarray, runs: np.ndarr
     return _squeeze(b"".join([np.array([len(which), len(at)], np.int32).tobytes(), which.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), run_len[at].astype(np.int32).tobytes(), run_own[at].tobytes()]))
 
 
-def _removed(block: Block, right: list[dict]) -> np.ndarray:
+def _removed(block: Block, bits: dict[int, bytes], answers: dict[int, bytes], shards: int) -> np.ndarray:
     """A mask of the block's bytes that smaller documents own."""
     change = np.zeros(len(block.data) + 1, np.int32)
-    answers = {r["shard"]: r["body"] for r in right if r["kind"] == 2}
-    for r in right:
-        if r["kind"] != 1:
-            continue
-        raw = _expand(r["body"])
-        n, m = np.frombuffer(raw, np.int32, 2).tolist()
-        of, start, sizes = (np.frombuffer(raw, np.int32, c, o) for c, o in ((n, 8), (n, 8 + 4 * n), (m, 8 + 8 * n)))
-        doc = block.ids[np.searchsorted(block.ends, start, side="right")]
-        least = np.full(m, NO_ID)
-        np.minimum.at(least, of, doc)
+    for s, texts, _, least, of, start, doc in _candidates(block, bits, shards):
+        m = len(texts)
         runs, begin = np.ones(m, np.int64), np.arange(m)
-        run_len, run_own = (sizes - LENGTH + 1).astype(np.int64), least
-        if r["shard"] in answers:
-            raw = _expand(answers[r["shard"]])
+        run_len, run_own = np.array([len(t) - LENGTH + 1 for t in texts], np.int64), least
+        if s in answers:
+            raw = _expand(answers[s])
             q, t = np.frombuffer(raw, np.int32, 2).tolist()
             which, count = np.frombuffer(raw, np.int32, q, 8), np.frombuffer(raw, np.int32, q, 8 + 4 * q)
-            begin, runs = begin.copy(), runs.copy()
             begin[which] = m + np.cumsum(count) - count
             runs[which] = count
             run_len = np.concatenate([run_len, np.frombuffer(raw, np.int32, t, 8 + 8 * q)])
             run_own = np.concatenate([run_own, np.frombuffer(raw, np.int64, t, 8 + 8 * q + 4 * t)])
         k = runs[of]
-        inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        at = np.repeat(begin[of], k) + inner
+        before_runs = np.cumsum(k) - k
+        at = np.repeat(begin[of] - before_runs, k) + np.arange(k.sum())
         length = run_len[at]
         before = np.cumsum(length) - length
-        offset = before - np.repeat(before[np.cumsum(k) - k], k) if len(k) else before
         gone = run_own[at] < np.repeat(doc, k)
-        a = (np.repeat(start, k) + offset)[gone]
+        a = (np.repeat(start - before[before_runs], k) + before)[gone]
         np.add.at(change, a, 1)
         np.add.at(change, a + length[gone] + LENGTH - 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    rows = left.to_pylist()
-    out: list[tuple] = []
-    for row in rows:
+def _cut(shards: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("edges", pa.list_(pa.int64())), ("kept", pa.binary())])
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        row = left.to_pylist()[0]
         block = Block(row["ids"], row["ends"], row["data"])
-        gone = _removed(block, right.to_pylist())
+        asked = right.filter(pa.compute.is_valid(right["bits"]))
+        told = right.filter(pa.compute.is_valid(right["body"]))
+        gone = _removed(block, _bits(asked), dict(zip(told["shard"].to_pylist(), told["body"].to_pylist())), shards)
+        out: list[tuple] = []
         for doc, a, b in zip(block.ids.tolist(), block.begins.tolist(), block.ends.tolist()):
             mask = gone[a:b]
             n = int(mask.sum())
             spans: list[int] = []
             kept = block.raw[a:b]
             if n:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                spans = edge.tolist()
+                spans = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
                 kept = block.data[a:b][~mask].tobytes()
             out.append((None if doc == NO_ID else doc, b - a, n, spans, kept))
-    cols = list(zip(*out)) if out else [()] * 5
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_bytes", "n_removed", "edges", "kept"])
+        cols = list(zip(*out)) if out else [()] * 5
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,17 +448,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = SHARDS_A_PARTITION * shuffle_width(spark)
     texts, _ = store(blocks(docs, id_col, text_col), "blocks")
     hashes = texts.mapInArrow(_send_hashes(shards), "shard long, block long, low binary, twice binary")
-    bits, bits_path = store(hashes.groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary"), "bits")
-    _free(spark)
-    asked = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_segments(shards), "kind int, block long, shard long, body binary")
-    segments, _ = store(asked, "segments")
-    drop(spark, bits_path)
+    bits, _ = store(hashes.groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary"), "bits")
     _free(spark)
-    owned = segments.filter("kind = 0").groupBy("shard").applyInPandas(_own, "block long, shard long, body binary")
-    owners, _ = store(owned, "owners")
+    asked = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_segments(shards), "block long, shard long, body binary")
+    owners, _ = store(asked.groupBy("shard").applyInPandas(_own, "block long, shard long, body binary"), "owners")
     _free(spark)
-    back = segments.filter("kind = 1").select("kind", "block", "shard", "body").unionByName(owners.select(F.lit(2).alias("kind"), "block", "shard", "body"))
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
+    none = F.lit(None).cast("binary")
+    back = bits.select("block", "shard", "bits", none.alias("body")).unionByName(owners.select("block", "shard", none.alias("bits"), "body"))
+    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(shards), "doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
 
 
 def _free(spark) -> None:
