@@ -78,20 +78,25 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BoundedCache(dict):
-    """A dict that computes missing values and starts over when it holds ``limit`` entries.
+    """A dict that computes missing values and holds about ``limit`` of them at most.
 
-    ``base`` entries stay. Lookups of present keys run at C speed through ``__getitem__``.
+    It has two generations: when the young one is full it becomes the old one, and what is used again
+    moves back. ``base`` entries stay. Lookups of young keys run at C speed through ``__getitem__``.
     """
 
-    def __init__(self, compute: Callable, base: dict | None = None, limit: int = 400_000):
+    def __init__(self, compute: Callable, base: dict | None = None, limit: int = 600_000):
         super().__init__(base or {})
-        self._compute, self._base, self._limit = compute, base or {}, limit + len(base or {})
+        self._compute, self._base, self._half, self._old = compute, base or {}, limit // 2 + len(base or {}), {}
 
     def __missing__(self, key):
-        if len(self) >= self._limit:
+        value = self._old.get(key)
+        if value is None:
+            value = self._compute(key)
+        if len(self) >= self._half:
+            self._old = dict(self)
             self.clear()
             self.update(self._base)
-        self[key] = value = self._compute(key)
+        self[key] = value
         return value
 
 

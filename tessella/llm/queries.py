@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sentencepiece_codec
+from .html_extract import extract_text
 from .language import identify_language
 from .media import media_index
 from .packing import pack_documents
@@ -17,7 +19,7 @@ from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import toxicity
 
-BPE = "byte_bpe_50k.json"
+BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,15 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids as a digest, and whether they decode to the text again."""
+    model = public_tokenizers.path(PIECES)
+    docs = _table(spark, sf_dir, "documents")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model), model)
+    text_size = F.octet_length("text").cast("long")
+    return back.select("doc_id", "n_bytes", "n_ids", F.crc32("ids").alias("ids_crc32"), text_size.alias("decoded_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +65,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -64,8 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_media_columns": op5_media_columns,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
 }
 
