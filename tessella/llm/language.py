@@ -176,22 +176,43 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_i
 
 def identify_language(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trees: ContextTrees | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte of every whole text."""
-    trees = trees or fit(docs, folds, held_out, id_col, text_col, lang_col)
-    shared, call = docs.sparkSession.sparkContext.broadcast((trees.languages, trees.classes.astype(np.int32), trees.states, trees.bits)), uuid.uuid4().hex
+    shared, call = _share(docs, trees or fit(docs, folds, held_out, id_col, text_col, lang_col))
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text")).select("doc_id", F.col("text").cast("binary").alias("body"), F.col("text").rlike(r"\p{L}").alias("letters"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = kept("language", call, lambda: ContextTrees(*shared.value))
-        bodies, letters = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist())
-        if own.languages:
-            names, score, bits = own.predict(bodies)
-        else:
-            names, score, bits, letters = [UNKNOWN] * len(bodies), np.zeros(len(bodies)), np.zeros(len(bodies)), np.zeros(len(bodies), bool)
-        names = [n if ok else UNKNOWN for n, ok in zip(names, letters)]
-        per_byte = bits / np.maximum([len(b) for b in bodies], 1)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(np.where(letters, score, 0.0)), pa.array(per_byte)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+        names, score, per_byte = _predict(shared, call, batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(per_byte)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     found = map_arrow(rows, run, "doc_id long, lang_pred string, score double, bits_per_byte double")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     return found.select("doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def _share(docs: DataFrame, trees: ContextTrees):
+    """The folded trees, a few MB whatever the input, for the workers."""
+    values = (trees.languages, trees.classes.astype(np.int32), trees.states, trees.bits)
+    return docs.sparkSession.sparkContext.broadcast(values), uuid.uuid4().hex
+
+
+def _predict(shared, call: str, bodies: list[bytes], letters: list[bool]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits a byte of some whole texts, in a worker."""
+    own = kept("language", call, lambda: ContextTrees(*shared.value))
+    if not own.languages:
+        return [UNKNOWN] * len(bodies), np.zeros(len(bodies)), np.zeros(len(bodies))
+    names, score, bits = own.predict(bodies)
+    known = np.array(letters, bool)
+    return [n if ok else UNKNOWN for n, ok in zip(names, letters)], np.where(known, score, 0.0), bits / np.maximum([len(b) for b in bodies], 1)
+
+
+def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, in a learned language with at least this score; no shuffle."""
+    shared, call = _share(docs, fit(docs))
+    at = docs.columns.index("text")
+
+    def known(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(at).to_pylist()]
+        names, score, _ = _predict(shared, call, [t.encode() for t in texts], [any(c.isalpha() for c in t) for t in texts])
+        return batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score)]))
+
+    return map_arrow(docs, known, docs.schema)

@@ -164,6 +164,15 @@ def link_edges(classes: DataFrame, radius: int = 2) -> DataFrame:
     return shards.groupBy("shard").applyInPandas(lambda pdf: shard_links(pdf, radius), "u long, v long")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose id isn't its component's smallest.
+
+    Rows without an id stay; rows that share an id stand and fall together.
+    """
+    gone = near_duplicates(docs).filter("doc_id != component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable)."""
     spark = docs.sparkSession

@@ -35,12 +35,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.ipc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import id_and_bytes, shuffle_width, store
+from ._common import map_arrow, shuffle_width, store
 
 LENGTH, GRAM = 50, 24
 BLOCK_BYTES, SLICE, SHARDS_A_PARTITION, BATCH_WINDOWS = 8 << 20, 1 << 17, 2, 1 << 16
@@ -133,32 +135,50 @@ class Block:
         return names, twice
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, ends, data): documents in compressed blocks, numbered by task and order."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(block, ids, ends, data, rest): documents in compressed blocks, numbered by task and order.
+
+    ``rest`` holds the columns of ``carry`` in Arrow's stream format.
+    """
+    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), *(F.col(c) for c in carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids: list[int] = []
         bodies: list[bytes] = []
+        parts: list[pa.RecordBatch] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
-            row = [[number], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [_squeeze(b"".join(bodies))]]
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(r, pa.binary()) for r in row[1:])], ["block", "ids", "ends", "data"])
+            rest = b""
+            if carry:
+                out = pa.BufferOutputStream()
+                table = pa.Table.from_batches(parts)
+                with pa.ipc.new_stream(out, table.schema) as stream:
+                    stream.write_table(table)
+                rest = _squeeze(out.getvalue().to_pybytes())
+            row = [[number], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [_squeeze(b"".join(bodies))], [rest]]
+            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(r, pa.binary()) for r in row[1:])], ["block", "ids", "ends", "data", "rest"])
 
         for batch in batches:
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            begin = 0
+            others = pa.RecordBatch.from_arrays(batch.columns[2:], carry) if carry else None
+            for i, (doc, body) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 ids.append(NO_ID if doc is None else doc)
                 bodies.append(body.as_py())
                 size += len(bodies[-1])
+                if size >= BLOCK_BYTES or i + 1 == batch.num_rows:
+                    if carry:
+                        parts.append(others.slice(begin, i + 1 - begin))
+                        begin = i + 1
                 if size >= BLOCK_BYTES:
                     yield close()
-                    ids, bodies, size, number = [], [], 0, number + 1
+                    ids, bodies, parts, size, number = [], [], [], 0, number + 1
         if ids:
             yield close()
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "block long, ids binary, ends binary, data binary")
+    return rows.mapInArrow(run, "block long, ids binary, ends binary, data binary, rest binary")
 
 
 def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -415,12 +435,11 @@ def _removed(block: Block, bits: dict[int, bytes], answers: dict[int, bytes], sh
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(shards: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("edges", pa.list_(pa.int64())), ("kept", pa.binary())])
+def _cut(shards: int, carry: list[str]):
+    names = ["doc_id", "n_bytes", "n_removed", "edges", "kept"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return schema.empty_table()
         row = left.to_pylist()[0]
         block = Block(row["ids"], row["ends"], row["data"])
         asked = right.filter(pa.compute.is_valid(right["bits"]))
@@ -436,26 +455,53 @@ def _cut(shards: int):
                 spans = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
                 kept = block.data[a:b][~mask].tobytes()
             out.append((None if doc == NO_ID else doc, b - a, n, spans, kept))
-        cols = list(zip(*out)) if out else [()] * 5
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+        rest = pa.ipc.open_stream(_expand(row["rest"])).read_all().combine_chunks() if carry else None
+        return pa.Table.from_arrays([*cols, *(rest.columns if carry else [])], names + carry)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, edges (begin, end, begin, ... of the removed runs) and the kept bytes."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, edges (begin, end, begin, ... of the removed runs) and the kept bytes.
+
+    The columns named in ``carry`` come along unchanged.
+    """
     spark = docs.sparkSession
+    carry = list(carry or [])
+    out = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
+    if set(carry) & set(out.names):
+        raise ValueError(f"columns to carry must not be named like {out.names}")
+    for c in carry:
+        out.add(c, docs.schema[c].dataType)
     shards = SHARDS_A_PARTITION * shuffle_width(spark)
-    texts, _ = store(blocks(docs, id_col, text_col), "blocks")
-    hashes = texts.mapInArrow(_send_hashes(shards), "shard long, block long, low binary, twice binary")
+    texts, _ = store(blocks(docs, id_col, text_col, carry), "blocks")
+    hashes = texts.select("block", "ids", "ends", "data").mapInArrow(_send_hashes(shards), "shard long, block long, low binary, twice binary")
     bits, _ = store(hashes.groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary"), "bits")
     _free(spark)
-    asked = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_segments(shards), "block long, shard long, body binary")
+    asked = texts.select("block", "ids", "ends", "data").groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_segments(shards), "block long, shard long, body binary")
     owners, _ = store(asked.groupBy("shard").applyInPandas(_own, "block long, shard long, body binary"), "owners")
     _free(spark)
     none = F.lit(None).cast("binary")
     back = bits.select("block", "shard", "bits", none.alias("body")).unionByName(owners.select("block", "shard", none.alias("bits"), "body"))
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(shards), "doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
+    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(shards, carry), out)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with repeated bytes cut out of ``text`` and ``n_chars`` counted again.
+
+    A character that loses some of its bytes goes; so does a document that loses all of its text.
+    """
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = remove_repeats(docs, carry=carry).filter("n_bytes = 0 or n_removed < n_bytes").select("doc_id", "kept", *carry)
+    schema = T.StructType([docs.schema[c] if c not in ("doc_id", "text", "n_chars") else T.StructField(c, T.StringType() if c == "text" else T.LongType()) for c in docs.columns])
+
+    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [b.decode(errors="ignore") for b in batch.column(1).to_pylist()]
+        cols = dict(zip(batch.schema.names, batch.columns)) | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+        return pa.RecordBatch.from_arrays([cols[c] for c in schema.names], schema.names)
+
+    return map_arrow(cut, decode, schema)
 
 
 def _free(spark) -> None:

@@ -224,27 +224,48 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -
     return fit_texts([t for _, t in sample], [chosen[i] for i, _ in sample], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
+def _score(shared, call: str, texts: list[str | None]) -> np.ndarray:
+    """Scores of some whole texts in a worker, by the broadcast model and the worker's word cache."""
+
+    def make():
+        m = Model(*shared.value)
+        return m, BoundedCache(m.word)
+
+    own, cache = kept("toxicity", call, make)
+    look, values, sizes, scores = cache.__getitem__, [], [], []
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        values += map(look, words)
+        sizes.append(len(words))
+        if len(values) > 500_000 or i + 1 == len(texts):
+            scores.append(own.scores(np.array(values, np.complex128), np.array(sizes, np.int64)))
+            values, sizes = [], []
+    return np.concatenate(scores)
+
+
+def _share(docs: DataFrame, model: Model):
+    values = (model.logits.astype(np.float32), model.bias, model.scale, model.shift)  # BUCKETS numbers, whatever the input
+    return docs.sparkSession.sparkContext.broadcast(values), uuid.uuid4().hex
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every whole text."""
-    model = fit(docs, labels, folds, held_out)
-    shared, call = docs.sparkSession.sparkContext.broadcast((model.logits.astype(np.float32), model.bias, model.scale, model.shift)), uuid.uuid4().hex
+    shared, call = _share(docs, fit(docs, labels, folds, held_out))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        def make():
-            m = Model(*shared.value)
-            return m, BoundedCache(m.word)
-
-        own, cache = kept("toxicity", call, make)
-        look, values, sizes, scores = cache.__getitem__, [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            words = text.split()
-            values += map(look, words)
-            sizes.append(len(words))
-            if len(values) > 500_000 or i + 1 == batch.num_rows:
-                scores.append(own.scores(np.array(values, np.complex128), np.array(sizes, np.int64)))
-                values, sizes = [], []
-        s = np.concatenate(scores)
+        s = _score(shared, call, batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     scored = map_arrow(id_and_text(docs), score, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(_fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores under the threshold; nothing is shuffled."""
+    shared, call = _share(docs, fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(_score(shared, call, batch.column(at).to_pylist()) < threshold))
+
+    return map_arrow(docs, clean, docs.schema)
