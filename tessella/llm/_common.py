@@ -52,13 +52,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Bytes of a record batch that a function of ``map_arrow`` gets at once, unless one row is larger.
+BATCH_BYTES = 8 << 20
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
-    """``mapInArrow`` for functions that turn one record batch into one."""
+    """``mapInArrow`` for functions that turn one record batch into one, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            step = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                yield fn(batch.slice(at, step))
 
     return df.mapInArrow(run, schema)
 

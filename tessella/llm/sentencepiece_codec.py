@@ -127,7 +127,7 @@ class Codec:
 def _codec(source: bytes) -> tuple[Codec, BoundedCache]:
     def make():
         codec = Codec(source)
-        return codec, BoundedCache(codec.pack, limit=1_000_000)
+        return codec, BoundedCache(codec.pack, limit=400_000)
 
     return kept("sentencepiece", zlib.crc32(source), make)
 
