@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +44,18 @@ def receive(events: DataFrame, max_drift: int = MAX_DRIFT_NS) -> DataFrame:
     so a node's history never has to fit in memory.
     """
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, state = None, (0, 0)
-        for pdf in frames:
+        for b in batches:  # Arrow keeps nanoseconds exact beside nulls, which float columns would not
             out = []
-            for n, physical, wall, logical in zip(pdf["node"], pdf["physical"], pdf["remote_wall"], pdf["remote_logical"]):
+            for n, physical, wall, logical in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 if n != node:
                     node, state = n, (0, 0)
-                state, ok = step(state, int(physical), None if pd.isna(wall) else (int(wall), int(logical)), max_drift)
+                state, ok = step(state, physical, None if wall is None else (wall, logical), max_drift)
                 out.append((*state, ok))
-            yield pdf.assign(wall=[o[0] for o in out], logical=[o[1] for o in out], accepted=[o[2] for o in out])
+            added = [pa.array([o[k] for o in out], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, "wall", "logical", "accepted"])
 
     given = events.select("node", "i", "physical", "remote_wall", "remote_logical")
     schema = "node string, i long, physical long, remote_wall long, remote_logical long, wall long, logical long, accepted boolean"
-    return given.repartition("node").sortWithinPartitions("node", "i").mapInPandas(fold, schema)
+    return given.repartition("node").sortWithinPartitions("node", "i").mapInArrow(fold, schema)

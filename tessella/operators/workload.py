@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash60
+
 #: Share of reads of the standard mixes.
 MIXES = {"A": 0.5, "B": 0.95, "C": 1.0}
 
@@ -14,8 +16,8 @@ def make_key(index: Column) -> Column:
 
 
 def _unit(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash: the same on every run and every partitioning."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) from a hash: the same on every run, every partitioning and every engine."""
+    return F.shiftright(hash60(F.concat_ws("|", *(p.cast("string") for p in parts))), 8) / F.lit(float(1 << 52))
 
 
 def operations(spark: SparkSession, n: int, keys: int, mix: str, zipf_s: float = 0.0, seed: int = 1) -> DataFrame:

@@ -239,7 +239,20 @@ def hlc_now(spark, d):
     return hlc.now(e.select(F.concat(F.lit("node-"), (F.col("user_id") % 5).cast("string")).alias("node"), F.col("event_id").alias("i"), physical.cast("long").alias("physical")))
 
 
-@query()
+FOLD = """RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY i) AS rn FROM (SELECT 'node-' || (user_id % 5) AS node, event_id AS i, epoch_us(ts) * 1000 AS physical,
+  CASE WHEN event_id % 3 != 0 THEN epoch_us(ts) * 1000 + (event_id % 11 - 5) * 20000000000 END AS remote_wall, CASE WHEN event_id % 3 != 0 THEN event_id % 4 END AS remote_logical FROM events)),
+folded AS (SELECT DISTINCT node, 0::BIGINT AS i, 0::BIGINT AS physical, NULL::BIGINT AS remote_wall, NULL::BIGINT AS remote_logical, 0::BIGINT AS wall, 0::BIGINT AS logical, true AS accepted, 0::BIGINT AS rn FROM ev
+  UNION ALL SELECT e.node, e.i, e.physical, e.remote_wall, e.remote_logical,
+    CASE WHEN e.remote_wall - e.physical > 60000000000 THEN f.wall ELSE greatest(f.wall, e.physical, coalesce(e.remote_wall, 0)) END,
+    CASE WHEN e.remote_wall - e.physical > 60000000000 THEN f.logical
+      WHEN greatest(f.wall, coalesce(e.remote_wall, 0)) < e.physical THEN 0
+      WHEN e.remote_wall IS NULL OR f.wall > e.remote_wall THEN f.logical + 1
+      WHEN f.wall < e.remote_wall THEN e.remote_logical + 1 ELSE greatest(f.logical, e.remote_logical) + 1 END,
+    NOT coalesce(e.remote_wall - e.physical > 60000000000, false), e.rn
+  FROM folded f JOIN ev e ON e.node = f.node AND e.rn = f.rn + 1)"""
+
+
+@query("SELECT node, i, physical, remote_wall, remote_logical, wall, logical, accepted FROM folded WHERE rn > 0", FOLD)
 def hlc_update_fold(spark, d):
     """Receive events folded in order; every third is local, some remote clocks are too far ahead."""
     e = t.table(spark, d, "events")
@@ -674,7 +687,13 @@ def latency_histogram(spark, d):
     return evaluation.histogram(t.op_log(spark, d), "latency_ns", 1e6, 2.0, 12)
 
 
-@query()
+UNIT = "((('0x' || substr(md5(concat_ws('|', i::VARCHAR, '1', '%s')), 1, 15))::BIGINT >> 8) / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    "SELECT mix, zipf_s, op, count(*) AS n, count(DISTINCT least(idx, 999)) AS keys FROM (SELECT mix, zipf_s, CASE WHEN uo < reads THEN 'get' ELSE 'put' END AS op, (CASE WHEN zipf_s > 1 THEN floor(pow(1 + uk * (pow(1000.0::DOUBLE, 1.0 - zipf_s) - 1), 1 / (1.0 - zipf_s))) - 1 ELSE floor(uk * 1000) END)::BIGINT AS idx "
+    f"FROM (SELECT i, {UNIT % 'key'} AS uk, {UNIT % 'op'} AS uo FROM (SELECT range AS i FROM range((SELECT count(*) FROM events)))) CROSS JOIN (VALUES ('A', 0.5), ('B', 0.95), ('C', 1.0)) m(mix, reads) CROSS JOIN (SELECT unnest([0.0::DOUBLE, 1.2::DOUBLE]) AS zipf_s)) GROUP BY mix, zipf_s, op"
+)
 def ycsb_operations(spark, d):
     """Operations and distinct keys of the three mixes, as many as there are events, uniform and Zipf."""
     n, out = t.table(spark, d, "events").count(), None

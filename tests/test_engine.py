@@ -102,7 +102,7 @@ def test_clock_steps():
 
 def test_receive_folds_like_a_loop(spark):
     rng = random.Random(5)
-    rows = [(f"n{rng.randrange(3)}", i, rng.randrange(1, 10**11), None if rng.random() < 0.3 else rng.randrange(1, 2 * 10**11), 0) for i in range(200)]
+    rows = [(f"n{rng.randrange(3)}", i, 10**18 + rng.randrange(1, 10**11), None if rng.random() < 0.3 else 10**18 + rng.randrange(1, 2 * 10**11), 0) for i in range(200)]
     rows = [(*r[:4], None if r[3] is None else rng.randrange(5)) for r in rows]
     got = {r.i: (r.wall, r.logical, r.accepted) for r in hlc.receive(spark.createDataFrame(rows, "node string, i long, physical long, remote_wall long, remote_logical long")).collect()}
     state: dict = {}
