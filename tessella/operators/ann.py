@@ -156,23 +156,73 @@ class Graph:
         near = self._layer(q, entries, max(ef, k) + len(self.deleted), 0)
         return sorted((d, self.ids[n]) for d, n in near if n not in self.deleted)[:k]
 
-
-def hnsw_search(base: DataFrame, queries: DataFrame, k: int, m: int = 16, ef_construct: int = 200, ef_search: int = 100, metric: int = D.L2) -> DataFrame:
-    """(qid, rank, id, distance): each part's graph answers every query, the best k of all parts stay."""
-    rows = queries.select("qid", "vec").orderBy("qid").collect()  # the stated query set
-    shared = base.sparkSession.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vec for r in rows], np.float64)))
+    def stats(self) -> dict[str, int]:
+        return {"live": len(self.ids) - len(self.deleted), "deleted": len(self.deleted), "levels": max((len(x) for x in self.links), default=0)}
+
+    def cleanup(self) -> "Graph":
+        """A new graph of the live nodes only."""
+        keep = [n for n in range(len(self.ids)) if n not in self.deleted]
+        out = Graph(self.vecs.shape[1], self.m, self.ef, self.metric)
+        out.add([self.ids[n] for n in keep], self.vecs[keep])
+        return out
+
+    def rows(self) -> list[tuple]:
+        """(node, id, vec, links of each layer, deleted), to be saved as a table."""
+        return [(n, self.ids[n], self.vecs[n].tolist(), self.links[n], n in self.deleted) for n in range(len(self.ids))]
+
+    @classmethod
+    def load(cls, rows: list[tuple], m: int = 16, ef_construct: int = 200, metric: int = D.L2) -> "Graph":
+        """The graph of saved rows; vectors of several lengths or broken links are refused."""
+        rows = sorted(rows, key=lambda r: r[0])
+        if len({len(r[2]) for r in rows}) != 1 or [r[0] for r in rows] != list(range(len(rows))):
+            raise ValueError("not the rows of one graph")
+        if any(x >= len(rows) for r in rows for layer in r[3] for x in layer):
+            raise ValueError("a link leads out of the graph")
+        g = cls(len(rows[0][2]), m, ef_construct, metric)
+        g.vecs, g.ids, g.links = np.array([r[2] for r in rows], np.float64), [r[1] for r in rows], [[list(x) for x in r[3]] for r in rows]
+        g.deleted = {r[0] for r in rows if r[4]}
+        g.entry = max(range(len(rows)), key=lambda n: len(g.links[n]))
+        return g
+
+
+GRAPH = "part long, node long, id long, vec array<double>, links array<array<long>>, deleted boolean"
+
+
+def build_graphs(base: DataFrame, m: int = 16, ef_construct: int = 200, metric: int = D.L2) -> DataFrame:
+    """The graphs of all parts as a table (GRAPH) to be written and searched later."""
     parts = max(1, math.ceil(base.count() / PART))
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         vecs = np.array(pdf["vec"].tolist(), np.float64)
-        graph = Graph(vecs.shape[1], m, ef_construct, metric)
-        graph.add(pdf["id"].tolist(), vecs)
-        qids, q = shared.value
-        found = [(i, n, d) for i, v in zip(qids, q) for d, n in graph.search(v, k, ef_search)]
-        return pd.DataFrame(found, columns=["qid", "id", "distance"])
+        g = Graph(vecs.shape[1], m, ef_construct, metric)
+        g.add(pdf["id"].tolist(), vecs)
+        out = pd.DataFrame(g.rows(), columns=["node", "id", "vec", "links", "deleted"])
+        out.insert(0, "part", int(pdf["part"].iloc[0]))
+        return out
 
     dealt = base.select(F.col("id").cast("long"), "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    found = dealt.groupBy("part").applyInPandas(part, "qid long, id long, distance double")
+    return dealt.groupBy("part").applyInPandas(build, GRAPH)
+
+
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, ef_search: int = 100, removed: DataFrame | None = None, metric: int = D.L2) -> DataFrame:
+    """(qid, rank, id, distance) from saved graphs; ids in ``removed`` lead on but aren't returned."""
+    rows = queries.select("qid", "vec").orderBy("qid").collect()  # the stated query set
+    shared = graphs.sparkSession.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vec for r in rows], np.float64)))
+    if removed is not None:
+        gone = removed.select("id").distinct().withColumn("gone", F.lit(True))
+        graphs = graphs.join(gone, "id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("gone", F.lit(False)))
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = Graph.load(list(zip(pdf["node"], pdf["id"], pdf["vec"], pdf["links"], pdf["deleted"])), metric=metric)
+        found = [(i, n, d) for i, v in zip(*shared.value) for d, n in g.search(v, k, ef_search)]
+        return pd.DataFrame(found, columns=["qid", "id", "distance"])
+
+    found = graphs.select("part", "node", "id", "vec", "links", "deleted").groupBy("part").applyInPandas(part, "qid long, id long, distance double")
     w = Window.partitionBy("qid").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
+
+
+def hnsw_search(base: DataFrame, queries: DataFrame, k: int, m: int = 16, ef_construct: int = 200, ef_search: int = 100, metric: int = D.L2) -> DataFrame:
+    """(qid, rank, id, distance): each part's graph answers every query, the best k of all parts stay."""
+    return search_graphs(build_graphs(base, m, ef_construct, metric), queries, k, ef_search, None, metric)

@@ -22,6 +22,11 @@ def rewrite(log: DataFrame, files: int) -> DataFrame:
     return log.repartitionByRange(files, "key").sortWithinPartitions("key", F.desc("seq"))
 
 
+def write_runs(log: DataFrame, path: str, files: int) -> None:
+    """Write sorted runs whose footers prune by key range and whose Bloom filters prune by key."""
+    rewrite(log, files).write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "1000000").parquet(path)
+
+
 def collect_versions(log: DataFrame, watermark: int, bottom: bool = False) -> DataFrame:
     """Drop versions no open snapshot can see: keep all after the watermark and each key's newest up to it.
 

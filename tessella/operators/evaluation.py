@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,8 +26,6 @@ def nearest_rank(values: DataFrame, by: list[str], column: str, fractions: list[
     Values are counted first (map-side) and percentiles read off the running counts, so no task holds
     a group's values.
     """
-    from pyspark.sql import Window
-
     counts = values.groupBy(*by, column).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*by).orderBy(column)
     run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
@@ -57,3 +55,17 @@ def histogram(values: DataFrame, column: str, first: float, factor: float, bucke
     bounds = [first * factor**i for i in range(buckets)]
     index = sum((F.when(F.col(column) > b, 1).otherwise(0) for b in bounds), F.lit(0))
     return values.groupBy(index.cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def median_run(runs: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Of repeated runs, the one in the middle by ``column`` (the lower of two)."""
+    w = Window.partitionBy(*by)
+    ranked = runs.withColumn("n", F.row_number().over(w.orderBy(column))).withColumn("of", F.count("*").over(w))
+    return ranked.filter(F.col("n") == F.floor((F.col("of") + 1) / 2)).drop("n", "of")
+
+
+def text_table(rows: DataFrame) -> str:
+    """A result of a few rows as aligned text."""
+    cells = [list(rows.columns), *([f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in rows.limit(1000).collect())]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(cells[0]))]
+    return "\n".join("  ".join(c.rjust(w) for c, w in zip(r, widths)) for r in cells)

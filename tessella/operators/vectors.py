@@ -162,6 +162,12 @@ def stale_copies(replicas: DataFrame, names: DataFrame) -> DataFrame:
     return state.filter(F.col("own").isNull() | (F.col("own") < F.col("win"))).select("id", "replica", F.when(F.col("own").isNull(), "missing").otherwise("stale").alias("reason"))
 
 
+def repair_rows(replicas: DataFrame, names: DataFrame) -> DataFrame:
+    """The newest rows, all their columns, to append on each replica that lacks them."""
+    columns = [c for c in replicas.columns if c != "replica"]
+    return stale_copies(replicas, names).select("id", "replica").join(latest(replicas.select(columns)), "id").select("replica", *columns)
+
+
 def reconcile_index(index: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, action) that bring a saved index (id, wall, logical) up to date: insert, update, remove."""
     now = latest(rows).select("id", "deleted", F.struct("wall", "logical").alias("now"))

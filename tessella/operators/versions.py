@@ -7,7 +7,7 @@ are only dropped after it, or an older value would come back to life.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: State labels of a point read.
@@ -58,8 +58,6 @@ def point_states(log: DataFrame, keys: DataFrame, at: int) -> DataFrame:
 
 def ranked(log: DataFrame) -> DataFrame:
     """All versions with their rank in the key, newest first from 1."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("key").orderBy(F.desc("seq"))
     return log.withColumn("rank", F.row_number().over(w).cast("long"))
 
@@ -67,3 +65,8 @@ def ranked(log: DataFrame) -> DataFrame:
 def watermark(registry: DataFrame) -> DataFrame:
     """The oldest open snapshot and how many are open; a snapshot may be open several times."""
     return registry.filter("not closed").agg(F.min("seq").alias("watermark"), F.count("*").alias("open_snapshots"))
+
+
+def next_sequence(log: DataFrame) -> int:
+    """The sequence after the largest in the log; 1 for an empty one."""
+    return (log.agg(F.max("seq")).first()[0] or 0) + 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions.hashing import bucket_path, config_digest, hash60
-from ..operators import ann, compaction, evaluation, hlc, merkle, replication, ring, vectors, versions, workload, writes
+from ..operators import ann, catalog, compaction, evaluation, hlc, merkle, replication, ring, vectors, versions, workload, writes
 from ..sources import log_files, vectors_file
 from ..streaming import views
 from ..workspace import folder
@@ -176,7 +176,7 @@ def merge_runs(spark, d):
 @query("SELECT key, seq, value, tombstone FROM log", t.LOG)
 def compact_all_versions(spark, d):
     path = folder(spark, "compacted")
-    compaction.rewrite(t.version_log(spark, d), 4).write.parquet(path)
+    compaction.write_runs(t.version_log(spark, d), path, 4)
     return spark.read.parquet(path)
 
 
@@ -792,3 +792,65 @@ def suspect_timeout(spark, d):
     beats = e.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("node"), "ts")
     out = views.drain(views.suspects(beats, 6 * 3600, "1 minute"), "append", "suspects")
     return out.select("node", F.col("suspect_at").cast("timestamp_ntz").alias("suspect_at"))
+
+
+@query()
+def ann_graph_snapshot(spark, d):
+    """Graphs written, read back, and searched without the ids that were deleted since."""
+    v = t.vectors(spark, d)
+    path = folder(spark, "graphs")
+    ann.build_graphs(v).write.parquet(path)
+    asked = v.filter("id < 20").select(F.col("id").alias("qid"), "vec")
+    return ann.search_graphs(spark.read.parquet(path), asked, 10, removed=v.filter("id % 13 = 0").select("id"))
+
+
+@query(
+    "SELECT t.replica, l.id, l.wall, l.logical, l.deleted, round(l.vec[1]::DOUBLE, 6) AS first FROM (SELECT w.id, n.replica FROM (SELECT id, max(wall * 10 + logical) AS v FROM vreps GROUP BY id) w CROSS JOIN (SELECT unnest(['r0', 'r1', 'r2']) AS replica) n LEFT JOIN (SELECT replica, id, max(wall * 10 + logical) AS v FROM vreps GROUP BY ALL) o ON o.id = w.id AND o.replica = n.replica WHERE o.id IS NULL OR o.v < w.v) t "
+    "JOIN (SELECT id, w.* FROM (SELECT id, arg_max({'vec': vec, 'wall': wall, 'logical': logical, 'deleted': deleted}, wall * 10 + logical) AS w FROM vreps GROUP BY id)) l USING (id)",
+    t.VECTOR_REPLICAS,
+)
+def vector_repair_rows(spark, d):
+    rows = vectors.repair_rows(t.vector_replicas(spark, d), _names(spark))
+    return rows.select("replica", "id", "wall", "logical", "deleted", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
+
+
+@query("SELECT 3::BIGINT AS version, 'node-' || i AS node, 'addr-' || i AS addr, 2 AS ring FROM (SELECT unnest(generate_series(0, (SELECT min(user_id) FROM events) + 1)) AS i)")
+def ring_admin(spark, d):
+    """A ring of one node that a second joins and is activated in, each step checked against its version."""
+    first = t.table(spark, d, "events").agg(F.min("user_id")).first()[0]
+    ring_now = spark.createDataFrame([(1, f"node-{first}", f"addr-{first}", replication.ACTIVE)], catalog.RING)
+    joined = catalog.change_ring(ring_now, 1, f"node-{first + 1}", "join", f"addr-{first + 1}")
+    return catalog.change_ring(joined, 2, f"node-{first + 1}", "activate")
+
+
+@query("SELECT label AS name, max(len(vec)) AS dim, 1 AS metric, 16 AS m, 200 AS ef_construct, 50 AS ef_search, 0::BIGINT AS max_vectors FROM (SELECT 'label-' || label AS label, vec FROM vecs WHERE label < 3) GROUP BY label", t.VECTORS)
+def collection_catalog(spark, d):
+    now = spark.createDataFrame([], catalog.COLLECTION)
+    dim = len(t.vectors(spark, d).first().vec)
+    for label in range(3):
+        now = catalog.create_collection(now, f"label-{label}", dim, D.L2)
+    return now
+
+
+@query(
+    "SELECT node, liveness, ring, CASE ring WHEN 1 THEN 'learner' ELSE 'voter' END AS role, liveness != 2 AS routable, liveness = 0 AS alive FROM (SELECT node, arg_max(liveness, incarnation * 10 + liveness) AS liveness, (max(incarnation) % 3)::BIGINT AS ring FROM members GROUP BY node)",
+    t.MEMBERS,
+)
+def member_roles(spark, d):
+    best = replication.gossip(t.members(spark, d)).select("node", "liveness", (F.col("incarnation") % 3).alias("ring"))
+    return catalog.roles(best)
+
+
+@query("SELECT max(event_id) + 1 AS next_seq FROM events")
+def next_sequence(spark, d):
+    return spark.createDataFrame([(versions.next_sequence(t.version_log(spark, d)),)], "next_seq long")
+
+
+@query(
+    "SELECT op, day, ops FROM (SELECT *, row_number() OVER (PARTITION BY op ORDER BY ops, day) AS n, count(*) OVER (PARTITION BY op) AS c FROM (SELECT op, start_ns // 86400000000000 AS day, count(*) * 1000 + (start_ns // 86400000000000) % 1000 AS ops FROM ops GROUP BY op, day)) WHERE n = (c + 1) // 2",
+    t.OPS,
+)
+def median_of_runs(spark, d):
+    """Of each operation's days, the one with the median count (made unique by the day)."""
+    daily = t.op_log(spark, d).groupBy("op", F.floor(F.col("start_ns") / F.lit(DAY)).alias("day")).agg(F.count("*").alias("n"))
+    return evaluation.median_run(daily.select("op", "day", (F.col("n") * 1000 + F.col("day") % 1000).alias("ops")), ["op"], "ops")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessella.functions import codecs
 from tessella.functions import distance as D
-from tessella.operators import ann, compaction, evaluation, hlc, merkle, replication, ring, vectors, versions, workload, writes
+from tessella.operators import ann, catalog, compaction, evaluation, hlc, merkle, replication, ring, vectors, versions, workload, writes
 from tessella.plans import tables as t
 from tessella.sources import log_files, vectors_file
 
@@ -272,3 +272,34 @@ def test_workload_mixes(spark):
     top = ops.groupBy("key").count().orderBy(F.desc("count")).first()
     assert top.key == "key-" + "0" * 16 and top["count"] > 2000
     assert workload.operations(spark, 100, 10, "C").filter("op != 'get'").count() == 0
+
+
+def test_catalog_and_ring_checks(spark):
+    now = catalog.create_collection(spark.createDataFrame([], catalog.COLLECTION), "a", 4, D.L2)
+    assert catalog.collection(now, "a").dim == 4 and catalog.collection(now, "b") is None
+    with pytest.raises(catalog.Exists):
+        catalog.create_collection(now, "a", 4, D.L2)
+    for bad in ({"dim": 0, "metric": 1}, {"dim": 4, "metric": 9}, {"dim": 4, "metric": 1, "m": 1}):
+        with pytest.raises(ValueError):
+            catalog.create_collection(now, "c", **bad)
+    r = spark.createDataFrame([(4, "x", "ax", replication.ACTIVE)], catalog.RING)
+    for expected, node, action in ((3, "y", "join"), (4, "x", "join"), (4, "y", "activate"), (4, "x", "remove"), (4, "y", "remove")):
+        with pytest.raises(catalog.Conflict):
+            catalog.change_ring(r, expected, node, action)
+    r = catalog.change_ring(catalog.change_ring(r, 4, "y", "join", "ay"), 5, "y", "activate")
+    assert as_set(catalog.change_ring(r, 6, "x", "remove"), "version", "node", "ring") == {(7, "y", replication.ACTIVE)}
+    assert catalog.retransmit_limit(1) == 4 and catalog.retransmit_limit(9) == 16
+    assert catalog.show_bytes(1536) == "1.5 KB" and catalog.graph_bytes(1000, 128) > 512_000
+
+
+def test_saved_graphs():
+    rng = np.random.default_rng(2)
+    g = ann.Graph(8)
+    g.add(list(range(300)), rng.normal(size=(300, 8)))
+    back = ann.Graph.load(g.rows())
+    q = rng.normal(size=8)
+    assert back.search(q, 5, 50) == g.search(q, 5, 50)
+    g.remove({0, 1})
+    assert g.stats()["deleted"] == 2 and g.cleanup().stats() == {**g.cleanup().stats(), "live": 298, "deleted": 0}
+    with pytest.raises(ValueError):
+        ann.Graph.load(g.rows()[1:])
