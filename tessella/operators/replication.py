@@ -57,16 +57,16 @@ def readable(members: DataFrame) -> DataFrame:
     return members.filter((F.col("liveness") != DEAD) & (F.col("ring") != JOINING))
 
 
-def repair_targets(rows: DataFrame, replicas: DataFrame) -> DataFrame:
+def repair_targets(rows: DataFrame, replicas: list[str]) -> DataFrame:
     """(key, replica, reason) of each replica whose copy is missing or older than the winner."""
     win = last_writer(rows).select("key", stamp().alias("win"))
     held = rows.select("key", "replica", stamp().alias("own"))
-    every = win.crossJoin(F.broadcast(replicas.select("replica")))  # a handful of replica names
+    every = win.withColumn("replica", F.explode(F.array(*map(F.lit, replicas))))
     state = every.join(held, ["key", "replica"], "left")
     return state.filter(F.col("own").isNull() | (F.col("own") < F.col("win"))).select("key", "replica", F.when(F.col("own").isNull(), "missing").otherwise("stale").alias("reason"))
 
 
-def repair_rows(rows: DataFrame, replicas: DataFrame) -> DataFrame:
+def repair_rows(rows: DataFrame, replicas: list[str]) -> DataFrame:
     """The winners to append at each target, clock and tombstone unchanged."""
     return repair_targets(rows, replicas).join(last_writer(rows), "key").select("replica", "key", "value", "deleted", "wall", "logical", "node")
 

@@ -8,9 +8,9 @@ binary search. Without a shuffle, each key is placed where it is read.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +58,12 @@ def owners(keys: DataFrame, nodes: list[str], n: int, count: int = VNODES) -> Da
     if not nodes:
         return keys.withColumn("owners", F.array().cast("array<string>"))
     table = intervals(nodes, n, count)
-    shared = keys.sparkSession.sparkContext.broadcast(([h for h, _ in table], [o for _, o in table]))
+    shared = keys.sparkSession.sparkContext.broadcast((np.array([h for h, _ in table], np.int64), [o for _, o in table]))
 
     @F.pandas_udf("array<string>")
     def find(h: pd.Series) -> pd.Series:
         at, who = shared.value
-        return pd.Series([who[bisect.bisect_left(at, x) % len(at)] for x in h])
+        return pd.Series([who[i] for i in np.searchsorted(at, h.to_numpy()) % len(at)])
 
     return keys.withColumn("owners", find(hash60("key")))
 

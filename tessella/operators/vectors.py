@@ -44,9 +44,8 @@ def check_dimension(rows: DataFrame, dim: int) -> DataFrame:
 def admitted(rows: DataFrame, incoming: DataFrame, limit: int) -> DataFrame:
     """Incoming rows a collection of at most ``limit`` live ids takes: updates always, inserts in id order."""
     have = live(rows).select("id")
-    room = F.greatest(F.lit(limit) - have.agg(F.count("*").alias("n")).first().n, F.lit(0))
-    new = incoming.join(have, "id", "left_anti").orderBy("id")
-    inserts = new.withColumn("n", F.row_number().over(Window.orderBy("id"))).filter(F.col("n") <= room).drop("n")
+    room = max(0, limit - have.count())
+    inserts = incoming.join(have, "id", "left_anti").orderBy("id").limit(room)
     return incoming.join(have, "id", "left_semi").unionByName(inserts)
 
 
@@ -153,16 +152,16 @@ def distributed_search(replicas: DataFrame, query: list[float], k: int, oversamp
     return knn(use.select(F.col("m.id").alias("id"), vec.alias("vec")), query, k, metric)
 
 
-def stale_copies(replicas: DataFrame, names: DataFrame) -> DataFrame:
+def stale_copies(replicas: DataFrame, names: list[str]) -> DataFrame:
     """(id, replica, reason) of replicas whose newest row of an id is missing or old."""
     own = replicas.groupBy("replica", "id").agg(F.max(F.struct("wall", "logical")).alias("own"))
     win = own.groupBy("id").agg(F.max("own").alias("win"))
-    every = win.crossJoin(F.broadcast(names.select("replica")))  # a handful of replica names
+    every = win.withColumn("replica", F.explode(F.array(*map(F.lit, names))))
     state = every.join(own, ["id", "replica"], "left")
     return state.filter(F.col("own").isNull() | (F.col("own") < F.col("win"))).select("id", "replica", F.when(F.col("own").isNull(), "missing").otherwise("stale").alias("reason"))
 
 
-def repair_rows(replicas: DataFrame, names: DataFrame) -> DataFrame:
+def repair_rows(replicas: DataFrame, names: list[str]) -> DataFrame:
     """The newest rows, all their columns, to append on each replica that lacks them."""
     columns = [c for c in replicas.columns if c != "replica"]
     return stale_copies(replicas, names).select("id", "replica").join(latest(replicas.select(columns)), "id").select("replica", *columns)

@@ -283,18 +283,14 @@ def quorum_read(spark, d):
 TARGETS = "targets AS (SELECT w.key, n.replica, CASE WHEN r.key IS NULL THEN 'missing' ELSE 'stale' END AS reason FROM win w CROSS JOIN (SELECT unnest(['r0', 'r1', 'r2']) AS replica) n LEFT JOIN replica_rows r ON r.key = w.key AND r.replica = n.replica WHERE r.key IS NULL OR (r.wall, r.logical, r.node) < (w.wall, w.logical, w.node))"
 
 
-def _names(spark):
-    return spark.createDataFrame([(r,) for r in t.REPLICAS], "replica string")
-
-
 @query("SELECT key, replica, reason FROM targets", t.REPLICA_ROWS, WIN % "replica_rows", TARGETS)
 def read_repair_targets(spark, d):
-    return replication.repair_targets(t.replica_rows(spark, d), _names(spark))
+    return replication.repair_targets(t.replica_rows(spark, d), t.REPLICAS)
 
 
 @query("SELECT t.replica, t.key, w.value, w.deleted, w.wall, w.logical, w.node FROM targets t JOIN win w USING (key)", t.REPLICA_ROWS, WIN % "replica_rows", TARGETS)
 def repair_apply(spark, d):
-    return replication.repair_rows(t.replica_rows(spark, d), _names(spark))
+    return replication.repair_rows(t.replica_rows(spark, d), t.REPLICAS)
 
 
 BEST = "best AS (SELECT node, arg_max(addr, incarnation) AS addr, max(incarnation) AS incarnation, arg_max(liveness, incarnation * 10 + liveness) AS liveness FROM members GROUP BY node)"
@@ -584,7 +580,7 @@ def distributed_vector_search(spark, d):
     t.VECTOR_REPLICAS,
 )
 def vector_repair_targets(spark, d):
-    return vectors.stale_copies(t.vector_replicas(spark, d), _names(spark))
+    return vectors.stale_copies(t.vector_replicas(spark, d), t.REPLICAS)
 
 
 @query(
@@ -810,7 +806,7 @@ def ann_graph_snapshot(spark, d):
     t.VECTOR_REPLICAS,
 )
 def vector_repair_rows(spark, d):
-    rows = vectors.repair_rows(t.vector_replicas(spark, d), _names(spark))
+    rows = vectors.repair_rows(t.vector_replicas(spark, d), t.REPLICAS)
     return rows.select("replica", "id", "wall", "logical", "deleted", F.round(F.col("vec")[0].cast("double"), 6).alias("first"))
 
 

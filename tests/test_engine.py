@@ -116,7 +116,7 @@ COPY = "replica string, key long, value string, deleted boolean, wall long, logi
 
 def test_last_writer_and_repair(spark):
     rows = spark.createDataFrame([("a", 1, "x", False, 5, 0, "n1"), ("b", 1, "y", False, 5, 0, "n2"), ("b", 2, "", True, 1, 0, "n1")], COPY)
-    names = spark.createDataFrame([("a",), ("b",), ("c",)], "replica string")
+    names = ["a", "b", "c"]
     assert as_set(replication.last_writer(rows), "key", "value") == {(1, "y"), (2, "")}
     assert as_set(replication.repair_targets(rows, names), "key", "replica", "reason") == {(1, "a", "stale"), (1, "c", "missing"), (2, "a", "missing"), (2, "c", "missing")}
     healed = rows.unionByName(replication.repair_rows(rows, names))
