@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .versions import newest
+
 #: Defaults: runs in level 0 that trigger a compaction; size of level 1 and growth a level; levels.
 L0_TRIGGER, L1_BYTES, GROWTH, LEVELS = 4, 256 << 20, 10, 7
 
@@ -33,12 +35,10 @@ def collect_versions(log: DataFrame, watermark: int, bottom: bool = False) -> Da
     At the bottom level a tombstone that is a key's newest version up to the watermark hides nothing
     and goes too. Reads at any snapshot from the watermark on are unchanged.
     """
-    # one aggregate instead of a window: the version to keep is the largest seq up to the watermark
-    old = log.filter(F.col("seq") <= watermark).groupBy("key").agg(F.max("seq").alias("seq"))
-    floor = log.join(old, ["key", "seq"], "left_semi")
+    floor = newest(log, watermark)  # one hash aggregate, no window and no join
     if bottom:
         floor = floor.filter("not tombstone")
-    return log.filter(F.col("seq") > watermark).unionByName(floor)
+    return log.filter(F.col("seq") > watermark).unionByName(floor.select(log.columns))
 
 
 def level_stats(files: DataFrame) -> DataFrame:
