@@ -56,8 +56,18 @@ def shuffle_width(spark: SparkSession) -> int:
 BATCH_BYTES = 8 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``: whole texts make Spark's default row count large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    size = int(now.rstrip("kmg") or 0) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """``mapInArrow`` for functions that turn one record batch into one, in batches of bounded size."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,6 +80,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the whole text (null: empty), under fixed names."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -89,7 +100,7 @@ class BoundedCache(dict):
     moves back. ``base`` entries stay. Lookups of young keys run at C speed through ``__getitem__``.
     """
 
-    def __init__(self, compute: Callable, base: dict | None = None, limit: int = 600_000):
+    def __init__(self, compute: Callable, base: dict | None = None, limit: int = 300_000):
         super().__init__(base or {})
         self._compute, self._base, self._half, self._old = compute, base or {}, limit // 2 + len(base or {}), {}
 
@@ -105,12 +116,13 @@ class BoundedCache(dict):
         return value
 
 
-#: What a Python worker keeps between tasks, by name; one value a name.
-_KEPT: dict[str, tuple[object, object]] = {}
+#: What a Python worker keeps between tasks: the last operator's tables and cache, and no others.
+_KEPT: dict[tuple[str, object], object] = {}
 
 
 def kept(name: str, key: object, make: Callable[[], object]) -> object:
-    """The worker's value under ``name`` if it was made for ``key``, else a new one."""
-    if name not in _KEPT or _KEPT[name][0] != key:
-        _KEPT[name] = (key, make())
-    return _KEPT[name][1]
+    """The worker's value of operator ``name`` if it was the last one kept and made for ``key``, else a new one."""
+    if (name, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name, key] = make()
+    return _KEPT[name, key]

@@ -98,6 +98,8 @@ def _followers(data: np.ndarray, order: int, width: int) -> tuple[np.ndarray, np
 def fit_trees(texts: dict[str, list[bytes]]) -> ContextTrees:
     """Context trees of each language, folded; see the module. Class 0 is for bytes never seen."""
     names = sorted(texts)
+    if not names:
+        return ContextTrees([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     joined = {n: np.frombuffer(b"\xff".join(texts[n]), np.uint8) for n in names}
     seen = np.unique(np.concatenate([j for j in joined.values()] or [np.empty(0, np.uint8)]))
     seen = seen[seen != 255]

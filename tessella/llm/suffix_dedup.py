@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, shuffle_width, store
+from ._common import shuffle_width, small_batches, store
 
 LENGTH, GRAM = 50, 24
 BLOCK_BYTES, SLICE, SHARDS_A_PARTITION, BATCH_WINDOWS = 8 << 20, 1 << 17, 2, 1 << 16
@@ -81,7 +81,7 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
     if len(data) < LENGTH:
         return np.empty(0, np.uint64)
     m = _gram_hashes(data)
-    for step in (1, 2, 4, 8, LENGTH - GRAM + 1 - 16):
+    for step in (1, 2, 4, 8, LENGTH - GRAM + 1 - 16):  # widths 2, 4, 8, 16, and the whole
         m = np.minimum(m[:-step], m[step:])
     return m
 
@@ -435,9 +435,9 @@ def _removed(block: Block, bits: dict[int, bytes], answers: dict[int, bytes], sh
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(shards: int, carry: list[str]):
+def _cut(shards: int, carry: list[str], as_text: bool):
     names = ["doc_id", "n_bytes", "n_removed", "edges", "kept"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string() if as_text else pa.binary()]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -454,7 +454,7 @@ def _cut(shards: int, carry: list[str]):
             if n:
                 spans = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
                 kept = block.data[a:b][~mask].tobytes()
-            out.append((None if doc == NO_ID else doc, b - a, n, spans, kept))
+            out.append((None if doc == NO_ID else doc, b - a, n, spans, kept.decode(errors="ignore") if as_text else kept))
         cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
         rest = pa.ipc.open_stream(_expand(row["rest"])).read_all().combine_chunks() if carry else None
         return pa.Table.from_arrays([*cols, *(rest.columns if carry else [])], names + carry)
@@ -462,14 +462,16 @@ def _cut(shards: int, carry: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, edges (begin, end, begin, ... of the removed runs) and the kept bytes.
 
-    The columns named in ``carry`` come along unchanged.
+    The columns named in ``carry`` come along unchanged. ``as_text``: kept is a string, without the
+    rests of characters that lost some of their bytes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     carry = list(carry or [])
-    out = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, edges array<long>, kept binary")
+    out = T.StructType.fromDDL(f"doc_id long, n_bytes long, n_removed long, edges array<long>, kept {'string' if as_text else 'binary'}")
     if set(carry) & set(out.names):
         raise ValueError(f"columns to carry must not be named like {out.names}")
     for c in carry:
@@ -484,7 +486,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _free(spark)
     none = F.lit(None).cast("binary")
     back = bits.select("block", "shard", "bits", none.alias("body")).unionByName(owners.select("block", "shard", none.alias("bits"), "body"))
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(shards, carry), out)
+    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(shards, carry, as_text), out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -492,16 +494,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that loses some of its bytes goes; so does a document that loses all of its text.
     """
-    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = remove_repeats(docs, carry=carry).filter("n_bytes = 0 or n_removed < n_bytes").select("doc_id", "kept", *carry)
-    schema = T.StructType([docs.schema[c] if c not in ("doc_id", "text", "n_chars") else T.StructField(c, T.StringType() if c == "text" else T.LongType()) for c in docs.columns])
-
-    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [b.decode(errors="ignore") for b in batch.column(1).to_pylist()]
-        cols = dict(zip(batch.schema.names, batch.columns)) | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-        return pa.RecordBatch.from_arrays([cols[c] for c in schema.names], schema.names)
-
-    return map_arrow(cut, decode, schema)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    carry = [f"carried_{i}" for i in range(len(others))]  # names that can't clash with the operator's own
+    rows = docs.select("doc_id", "text", *(F.col(c).alias(k) for c, k in zip(others, carry)))
+    cut = remove_repeats(rows, carry=carry, as_text=True).filter("n_bytes = 0 or n_removed < n_bytes")
+    made = dict(zip(others, carry)) | {"doc_id": "doc_id", "text": "kept"}
+    return cut.select(*(F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(made[c]).alias(c) for c in docs.columns))
 
 
 def _free(spark) -> None:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,12 +127,17 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     words, text_of = [], []
     for k, t in enumerate(texts):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in t.split()]
-        words.append(np.array(ids, np.int64))
+        words.append(np.array(ids, np.int32))
         text_of += [k] * -(-len(ids) // WINDOW)
-    grams = [subwords(w) for w in vocabulary]
-    gram_n = np.array([len(g) for g in grams])
-    gram_at, gram = np.cumsum(gram_n) - gram_n, np.array([b for g in grams for b in g], np.int64)
-    texts_with = np.zeros(BUCKETS, np.int64)
+    flat_grams, sizes = array("i"), array("i")  # compact: a vocabulary has millions of subwords
+    for w in vocabulary:
+        own = subwords(w)
+        flat_grams.extend(own)
+        sizes.append(len(own))
+    vocabulary.clear()
+    gram, gram_n = np.frombuffer(flat_grams, np.int32) if flat_grams else np.empty(0, np.int32), np.array(sizes, np.int64)
+    gram_at = np.cumsum(gram_n) - gram_n
+    texts_with = np.zeros(BUCKETS, np.int32)
     for ids in words:
         u = np.unique(ids)
         m = gram_n[u]
