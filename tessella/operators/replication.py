@@ -26,6 +26,11 @@ def last_writer(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(win.alias("w")).select("key", "w.*")
 
 
+def newest_stamp(rows: DataFrame) -> DataFrame:
+    """The largest clock of a batch: what the receiver's clock has to pass."""
+    return rows.agg(F.max(stamp()).alias("s")).select("s.wall", "s.logical", "s.node")
+
+
 def quorum_read(rows: DataFrame, keys: DataFrame, replicas: list[str], r: int) -> DataFrame:
     """Read each key from the first ``r`` of ``replicas`` and take the newest answer.
 

@@ -70,3 +70,10 @@ def watermark(registry: DataFrame) -> DataFrame:
 def next_sequence(log: DataFrame) -> int:
     """The sequence after the largest in the log; 1 for an empty one."""
     return (log.agg(F.max("seq")).first()[0] or 0) + 1
+
+
+def check_keys(rows: DataFrame) -> DataFrame:
+    """Fail on an empty or missing key; the rows are used only if they pass."""
+    empty = F.raise_error(F.lit("empty key"))
+    text = F.col("key").cast("string")
+    return rows.withColumn("key", F.when(text.isNotNull() & (F.length(text) > 0), F.col("key")).otherwise(empty))

@@ -850,3 +850,17 @@ def median_of_runs(spark, d):
     """Of each operation's days, the one with the median count (made unique by the day)."""
     daily = t.op_log(spark, d).groupBy("op", F.floor(F.col("start_ns") / F.lit(DAY)).alias("day")).agg(F.count("*").alias("n"))
     return evaluation.median_run(daily.select("op", "day", (F.col("n") * 1000 + F.col("day") % 1000).alias("ops")), ["op"], "ops")
+
+
+@query("SELECT w.wall, w.logical, w.node FROM (SELECT max({'wall': wall, 'logical': logical, 'node': node}) AS w FROM replica_rows)", t.REPLICA_ROWS)
+def batch_stamp(spark, d):
+    return replication.newest_stamp(t.replica_rows(spark, d))
+
+
+@query("SELECT target, key, wall FROM hints QUALIFY row_number() OVER (PARTITION BY target, key ORDER BY wall) = 1", t.HINTS)
+def stream_hints(spark, d):
+    """Hints from a stream, each (target, key) once."""
+    path = folder(spark, "hints")
+    t.hints(spark, d).withColumn("ts", F.timestamp_micros(F.floor(F.col("wall") / 1000))).write.parquet(path)
+    out = views.drain(views.unexpired(views.events_stream(spark, path), "1 day").select("target", "key", "wall"), "append", "hints")
+    return out.drop("batch")

@@ -42,6 +42,15 @@ def unexpired(hints: DataFrame, delay: str) -> DataFrame:
     return hints.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["target", "key"])
 
 
+def hint_expiry(hints: DataFrame, ttl_s: int, delay: str) -> DataFrame:
+    """Pending hints a target (target, ts, key) as they come, each once, and ``expired`` by the watermark's clock.
+
+    A hint that is older than the time to live when it comes is marked; its state goes with the watermark.
+    """
+    age = F.unix_micros(F.current_timestamp()) - F.unix_micros("ts")
+    return unexpired(hints, delay).withColumn("expired", age > ttl_s * 1_000_000)
+
+
 def suspects(beats: DataFrame, timeout_s: int, delay: str) -> DataFrame:
     """(node, suspect_at) whenever a node's heartbeats (node, ts) stay away for the timeout.
 

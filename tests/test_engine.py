@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tessella.functions import codecs
 from tessella.functions import distance as D
+from tessella.functions import metrics
 from tessella.operators import ann, catalog, compaction, evaluation, hlc, merkle, replication, ring, vectors, versions, workload, writes
 from tessella.plans import tables as t
 from tessella.sources import log_files, vectors_file
@@ -303,3 +304,23 @@ def test_saved_graphs():
     assert g.stats()["deleted"] == 2 and g.cleanup().stats() == {**g.cleanup().stats(), "live": 298, "deleted": 0}
     with pytest.raises(ValueError):
         ann.Graph.load(g.rows()[1:])
+
+
+def test_empty_keys_are_refused(spark):
+    rows = spark.createDataFrame([("a", 1), ("", 2)], "key string, seq long")
+    assert versions.check_keys(rows.filter("seq = 1")).count() == 1
+    with pytest.raises(Exception, match="empty key"):
+        versions.check_keys(rows).collect()
+
+
+def test_metrics_come_with_the_write(spark):
+    df, seen = metrics.states(spark.createDataFrame([("hit",), ("miss",), ("hit",)], "state string"))
+    df.collect()
+    assert seen.get == {"rows": 3, "hit": 2, "tombstone": 0, "miss": 1}
+
+
+def test_command_line_lists_queries(capsys):
+    from tessella.__main__ import main
+
+    main([])
+    assert "snapshot_scan" in capsys.readouterr().out
