@@ -127,6 +127,8 @@ CASES = [
     ("<article><p>a<!-- no --> b</p><p>5 < 6 and 7 > 3</p></article>", "a b 5 < 6 and 7 > 3"),
     ("<article><p>kept</p><!-- never closed <p>no</p>", "kept"),
     ("<article class=teaser><p>short</p></article><article><p>much longer main article text</p></article>", "much longer main article text"),
+    ("<article class='post share-on'><P>upper <BR/>case</P><div class=reader-comments><article class=comment><p>no such long comment here</p></article></div></article>", "upper case"),
+    ("<div id=main><p title='a > b'>in main</p><div role=navigation>no</div><p class=notice>no</p></div><div>no</div>", "in main"),
     ("", ""),
 ]
 
