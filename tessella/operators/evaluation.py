@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(qid, recall): shared ids of the first k over min(k, true neighbours); 0 where k is 0."""
@@ -23,12 +25,11 @@ def neighbors(ranked: DataFrame) -> DataFrame:
 def nearest_rank(values: DataFrame, by: list[str], column: str, fractions: list[float], definition: str = "floor") -> DataFrame:
     """Exact percentiles by one of two nearest-rank rules: index floor(p * n), or int((n - 1) * p).
 
-    Values are counted first (map-side) and percentiles read off the running counts, so no task holds
-    a group's values.
+    Values are counted first (map-side) and percentiles read off the running counts, which are spread
+    over ranges of values, so no task holds a group's.
     """
     counts = values.groupBy(*by, column).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(column)
-    run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    run = running(counts, by, [column], upto=("sum", F.col("c"))).join(values.groupBy(*by).agg(F.count("*").alias("n")), by)
 
     def at(p: float) -> Column:
         index = F.floor(F.lit(p) * F.col("n")) if definition == "floor" else F.floor((F.col("n") - 1) * F.lit(p))

@@ -13,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 #: How far ahead of the physical time a remote clock may be.
 MAX_DRIFT_NS = 60 * 10**9
 
 
 def now(events: DataFrame, order: str = "i") -> DataFrame:
     """Adds wall and logical to rows of (node, ``order``, physical) with positive physical times."""
-    w = Window.partitionBy("node").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    held = events.withColumn("wall", F.max("physical").over(w))
+    held = running(events, ["node"], [order], wall=("max", F.col("physical")))
     return held.withColumn("logical", (F.row_number().over(Window.partitionBy("node", "wall").orderBy(order)) - 1).cast("long"))
 
 

@@ -7,9 +7,13 @@ written or read never matters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
+#: The order in which a target's hints are drained.
+DRAIN = ["wall", "logical", "key"]
 #: Liveness and ring states.
 ALIVE, SUSPECT, DEAD = 0, 1, 2
 NONE, JOINING, ACTIVE = 0, 1, 2
@@ -107,16 +111,15 @@ def split_expired(hints: DataFrame, now_ns: int | Column, ttl_ns: int = HINT_TTL
 
 def within_capacity(hints: DataFrame, capacity: int) -> DataFrame:
     """Adds accepted: hints are taken a target in order until their sizes would pass its capacity."""
-    w = Window.partitionBy("target").orderBy("wall", "logical", "key").rowsBetween(Window.unboundedPreceding, 0)
-    return hints.withColumn("used", F.sum("size").over(w)).withColumn("accepted", F.col("used") <= capacity)
+    return running(hints, ["target"], DRAIN, used=("sum", F.col("size"))).withColumn("accepted", F.col("used") <= capacity)
 
 
 def hint_batches(hints: DataFrame, max_items: int = 500, max_bytes: int = 512 << 10) -> DataFrame:
     """Adds batch: drain order of a target cut by running item count and running bytes."""
-    w = Window.partitionBy("target").orderBy("wall", "logical", "key")
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_items = F.floor((F.row_number().over(w) - 1) / F.lit(max_items))
-    return hints.withColumn("batch", F.greatest(by_items, F.floor(before / F.lit(max_bytes))).cast("long"))
+    placed = running(hints, ["target"], DRAIN, items=("sum", F.lit(1)), upto=("sum", F.col("size")))
+    by_items = F.floor((F.col("items") - 1) / F.lit(max_items))
+    by_bytes = F.floor((F.col("upto") - F.col("size")) / F.lit(max_bytes))
+    return placed.withColumn("batch", F.greatest(by_items, by_bytes).cast("long")).drop("items", "upto")
 
 
 def drainable(hints: DataFrame, members: DataFrame, now_ns: int, ttl_ns: int = HINT_TTL_NS) -> DataFrame:

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import written
+from .prefix import running
 from .versions import newest
 
 
 def assign_sequences(batch: DataFrame, base: int) -> DataFrame:
-    """Contiguous sequences after ``base`` in the order of op_ordinal.
-
-    The global rank is made of ranks in ranges of ordinals plus the ranges' offsets, so that no task
-    sorts the whole batch. The ranges are written first: both uses must see the same ones.
-    """
-    spread = written(batch.repartitionByRange("op_ordinal").withColumn("part", F.spark_partition_id()), "ranges")
-    local = spread.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("op_ordinal")))
-    sizes = spread.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("offset", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(before, "part").withColumn("seq", (F.lit(base) + F.col("offset") + F.col("n")).cast("long")).drop("part", "n", "size", "offset")
+    """Contiguous sequences after ``base`` in the order of op_ordinal; no task sorts the whole batch."""
+    ranked = running(batch, [], ["op_ordinal"], n=("sum", F.lit(1)))
+    return ranked.withColumn("seq", (F.lit(base) + F.col("n")).cast("long")).drop("n")
 
 
 def apply_batch(log: DataFrame, batch: DataFrame, base: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import codecs
 from tessella.functions import distance as D
 from tessella.functions import metrics
-from tessella.operators import ann, catalog, compaction, evaluation, hlc, merkle, replication, ring, vectors, versions, workload, writes
+from tessella.operators import ann, catalog, compaction, evaluation, hlc, merkle, prefix, replication, ring, vectors, versions, workload, writes
 from tessella.plans import tables as t
 from tessella.sources import log_files, vectors_file
 
@@ -324,3 +324,17 @@ def test_command_line_lists_queries(capsys):
 
     main([])
     assert "snapshot_scan" in capsys.readouterr().out
+
+
+def test_running_values_cross_ranges(spark):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.7 else f"g{rng.randrange(4)}", i, rng.randrange(-5, 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i long, x long")
+    got = {r.i: (r.s, r.m) for r in prefix.running(df, ["g"], ["i"], s=("sum", F.col("x")), m=("max", F.col("x"))).collect()}
+    total: dict = {}
+    most: dict = {}
+    for g, i, x in rows:
+        total[g] = total.get(g, 0) + x
+        most[g] = max(most.get(g, x), x)
+        assert got[i] == (total[g], most[g])
+    assert prefix.running(df.limit(0), ["g"], ["i"], s=("sum", F.col("x"))).count() == 0
