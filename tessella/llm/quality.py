@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ._common import SPACE_CLASS, store
 
 SHARE, STEPS, LEAST = 0.75, 3, 50
+#: Entries of a quantile sketch; ranks are off by 1 / ACCURACY at most.
+ACCURACY = 500
 #: Four degrees of freedom: the median of chi-squared, and its quantile for one in a million.
 MEDIAN_CHI2, CUTOFF = 3.3567, 33.38
 FLOOR = [0.06, 0.06, 0.15, 0.25]
@@ -122,8 +124,8 @@ def _factor(moments: DataFrame) -> DataFrame:
 
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and MADs as the first centre and (diagonal) scale of each group."""
-    centre, _ = store(rows.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in range(P))), "centre")
-    spread = rows.join(centre, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i in range(P)))
+    centre, _ = store(rows.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in range(P))), "centre")
+    spread = rows.join(centre, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"s{i}") for i in range(P)))
     zero = F.lit(0.0)
     moments = spread.select("g", *(f"m{i}" for i in range(P)), *((F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else zero).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
     return store(_factor(moments), "start")[0]
@@ -132,7 +134,7 @@ def _start(rows: DataFrame) -> DataFrame:
 def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One concentration step: moments of the ``SHARE`` of rows nearest to the estimate."""
     far = rows.join(estimate, "g").withColumn("d", _distance())
-    limit, _ = store(far.groupBy("g").agg(F.percentile_approx("d", SHARE).alias("limit")), "limit")
+    limit, _ = store(far.groupBy("g").agg(F.percentile_approx("d", SHARE, ACCURACY).alias("limit")), "limit")
     near = far.join(limit, "g").filter("d <= limit")
     # sums about the current centre, which is close to the new one: no cancellation
     y = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
@@ -152,7 +154,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     estimate = _start(rows)
     for _ in range(STEPS):
         estimate = _concentrate(rows, estimate)
-    middle = rows.join(estimate, "g").groupBy("g").agg(F.percentile_approx(_distance(), 0.5).alias("middle"))
+    middle = rows.join(estimate, "g").groupBy("g").agg(F.percentile_approx(_distance(), 0.5, ACCURACY).alias("middle"))
     final, _ = store(estimate.join(middle, "g").join(sizes, "g"), "final")
     # of each row's groups the finest that is large enough; the group of all rows always serves
     judged = rows.join(final, "g").withColumn("d", _distance() / F.greatest(F.lit(1.0), F.col("middle") / MEDIAN_CHI2))
