@@ -52,8 +52,13 @@ def subwords(word: str) -> list[int]:
     w = "<" + word.lower().strip(_TRIM) + ">"
     if len(w) == 2:
         return []
-    raw = [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)] + ["=" + w]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in raw]
+    size, own, crc = len(w), w.encode(), zlib.crc32
+    if len(own) == size:  # characters are bytes
+        grams = [own[i : i + n] for n in GRAMS for i in range(size - n + 1)]
+    else:
+        grams = [w[i : i + n].encode() for n in GRAMS for i in range(size - n + 1)]
+    grams.append(b"=" + own)
+    return [crc(g) % BUCKETS for g in grams]
 
 
 @dataclass
@@ -65,10 +70,13 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
 
+    def __post_init__(self) -> None:
+        self._logit = self.logits.tolist().__getitem__  # of a few numbers at a time, a list is faster
+
     def word(self, word: str) -> complex:
         """Sum of a word's logits and, as the imaginary part, the number of its subwords."""
         own = subwords(word)
-        return complex(float(self.logits[own].sum()), len(own)) if own else 0j
+        return complex(sum(map(self._logit, own)), len(own))
 
     def worst(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The largest window logit of each text, from the texts' ``word`` values one after the other."""
