@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from ._common import shuffle_width, small_batches, store
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 BLOCK_BYTES, SLICE, SHARDS_A_PARTITION, BATCH_WINDOWS = 8 << 20, 1 << 17, 2, 1 << 16
 NO_ID = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
@@ -60,15 +60,15 @@ def _expand(blob: bytes) -> bytes:
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each string of 24 bytes, by doubling from 1 to 16 bytes and adding 8."""
+    """A 64-bit hash of each string of 20 bytes, by doubling from 1 to 16 bytes and adding 4."""
     h, span, factor = data.astype(np.uint64) + np.uint64(1), 1, _ODD
-    eight = eight_factor = None
+    four = four_factor = None
     while span < 16:
         h = h[:-span] * np.uint64(factor) + h[span:]
         span, factor = span * 2, factor * factor % (1 << 64)
-        if span == 8:
-            eight, eight_factor = h, np.uint64(factor)
-    h = h[:-8] * eight_factor + eight[16:]
+        if span == 4:
+            four, four_factor = h, np.uint64(factor)
+    h = h[:-4] * four_factor + four[16:]
     for _ in range(2):
         h ^= h >> np.uint64(32)
         h *= _MIX
