@@ -9,7 +9,9 @@ Mahalanobis distance. A text whose squared distance passes ``CUTOFF`` is rejecte
 
 Scale: groups are only ever aggregated (partial sums and quantile sketches), never collected; each
 step reads the written statistics, five numbers a text. ``FLOOR`` is the smallest scale in which a
-statistic counts as spread, so constant statistics neither divide by zero nor reject clean texts.
+statistic counts as spread, so constant statistics neither divide by zero nor reject clean texts. Each
+is small enough for its statistic alone to pass ``CUTOFF`` within the base rules (repeated words over
+about a third of a text do), and large enough for one repeated line in a short text not to.
 
 Edge cases: null and empty texts have no words and fail the base rules; null language or source is a
 group of its own; texts shorter than a window have no repeated words; repeated rows each keep their
@@ -30,7 +32,7 @@ SHARE, STEPS, LEAST = 0.75, 3, 50
 ACCURACY = 500
 #: Four degrees of freedom: the median of chi-squared, and its quantile for one in a million.
 MEDIAN_CHI2, CUTOFF = 3.3567, 33.38
-FLOOR = [0.06, 0.06, 0.15, 0.25]
+FLOOR = [0.06, 0.06, 0.06, 0.1]
 P = len(FLOOR)
 LEVELS = ["own", "lang", "all"]
 

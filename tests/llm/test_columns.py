@@ -89,6 +89,21 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert kept == {r[0] for r in rows if not 1000 <= r[0] < 2000}
 
 
+def test_repeats_alone_reject(spark):
+    """Within the base rules: many repeated words, or many repeated lines too short for a window of words."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, rng.randrange(60, 300)), "en", "s", 1) for i in range(300)]
+    for i in range(5):
+        passage = words(rng, 22)
+        rows.append((1000 + i, f"{passage} {words(rng, 56)} {passage}", "en", "s", 1))  # 44 of 100 words
+        unique = [f"stones{k} {words(rng, 1)} cloud{k}" for k in range(20)]
+        rows.append((2000 + i, "\n".join(f"{x}\nread more" for x in unique), "en", "s", 1))  # 19 of 40 lines
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(r.n_repeat_words == 0 and r.n_dup_lines == 19 for i, r in got.items() if i >= 2000)
+    assert {i for i, r in got.items() if r.kept} == set(range(300))
+
+
 def test_distances_against_numpy(spark):
     """The estimate after the concentration steps, computed again in numpy from the same rows."""
     rng = random.Random(2)
