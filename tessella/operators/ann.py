@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from .vectors import QUERY_BYTES
 
 #: Rows that centroids are fitted on, and rows of one graph, at most.
 SAMPLE, PART = 50_000, 20_000
@@ -207,12 +208,24 @@ def build_graphs(base: DataFrame, m: int = 16, ef_construct: int = 200, metric:
 
 def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, ef_search: int = 100, removed: DataFrame | None = None, metric: int = D.L2) -> DataFrame:
     """(qid, rank, id, distance) from saved graphs; ids in ``removed`` lead on but aren't returned."""
-    rows = queries.select("qid", "vec").orderBy("qid").collect()  # the stated query set
-    shared = graphs.sparkSession.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vec for r in rows], np.float64)))
+    rows = queries.select("qid", "vec").orderBy("qid").collect()  # the stated query set, cut into blocks of a bounded size
+    if not rows:
+        return graphs.sparkSession.createDataFrame([], "qid long, rank long, id long, distance double")
     if removed is not None:
         gone = removed.select("id").distinct().withColumn("gone", F.lit(True))
         graphs = graphs.join(gone, "id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("gone", F.lit(False)))
 
+    step = max(1, QUERY_BYTES // max(8, 8 * len(rows[0].vec)))
+    out = None
+    for i in range(0, len(rows), step):
+        part = _search_block(graphs, rows[i : i + step], k, ef_search, metric)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _search_block(graphs: DataFrame, rows: list, k: int, ef_search: int, metric: int) -> DataFrame:
+    shared = graphs.sparkSession.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vec for r in rows], np.float64)))
+
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         g = Graph.load(list(zip(pdf["node"], pdf["id"], pdf["vec"], pdf["links"], pdf["deleted"])), metric=metric)
         found = [(i, n, d) for i, v in zip(*shared.value) for d, n in g.search(v, k, ef_search)]

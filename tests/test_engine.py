@@ -11,6 +11,7 @@ from tessella.functions import codecs
 from tessella.functions import distance as D
 from tessella.functions import metrics
 from tessella.operators import ann, catalog, compaction, evaluation, hlc, merkle, prefix, replication, ring, vectors, versions, workload, writes
+from tessella.plans import queries
 from tessella.plans import tables as t
 from tessella.sources import log_files, vectors_file
 
@@ -221,6 +222,16 @@ def test_ann_queries_find_most(spark, sf):
         assert evaluation.recall(truth, evaluation.neighbors(found), 10).agg(F.avg("recall")).first()[0] >= least
 
 
+def test_ann_queries_ask_a_fiftieth_of_all_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BYTES", 4096)  # several blocks
+    ids = {r.id for r in t.vectors(spark, sf).filter("id % 50 = 0").collect()}
+    assert max(ids) >= 20
+    for name in ("ann_ivf_search", "ann_hnsw_search", "ann_graph_snapshot"):
+        rows = queries.QUERIES[name](spark, sf).collect()
+        assert {r.qid for r in rows} == ids and len({(r.qid, r.rank) for r in rows}) == len(rows) == 10 * len(ids)
+    assert {r.queries for r in queries.QUERIES["sweep_table"](spark, sf).collect()} == {len(ids)}
+
+
 def test_vector_files(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i), 0.5, -1.0]) for i in range(100)], "id long, vec array<float>")
     vectors_file.write_vectors(df, str(tmp_path / "a.fvecs"))
