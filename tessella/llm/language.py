@@ -32,6 +32,9 @@ from ._common import kept, map_arrow
 #: The documented bounds of training, and the least number of times a context must occur.
 TRAIN_BYTES, TRAIN_ROWS, LANGUAGES, LEAST = 400_000, 400, 64, 4
 ORDER, SLICE = 3, 1 << 20
+#: A text is in a language if it takes no more bits a byte than MARGIN times this quantile of the training
+#: texts, and SLACK bits for short texts.
+QUANTILE, MARGIN, SLACK = 0.99, 1.6, 128
 UNKNOWN = "und"
 
 
@@ -43,6 +46,7 @@ class ContextTrees:
     classes: np.ndarray
     states: np.ndarray
     bits: np.ndarray
+    limits: np.ndarray | None = None  # bits a byte that texts of each language stay under
 
     def code_lengths(self, bodies: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
@@ -86,6 +90,19 @@ class ContextTrees:
         gap = np.minimum(lengths - lengths.min(1, keepdims=True), 1000)
         return [self.languages[k] for k in best], 1 / np.exp2(-gap).sum(1), lengths.min(1)
 
+    def fits(self, bodies: list[bytes]) -> np.ndarray:
+        """Whether each text, as it is or in lower case, codes as short as texts of a language do."""
+
+        def short(some: list[bytes]) -> np.ndarray:
+            sizes = np.array([len(b) for b in some], np.float64)
+            return (self.code_lengths(some) <= sizes[:, None] * self.limits + SLACK).any(1)
+
+        ok = short(bodies)
+        again = np.flatnonzero(~ok)
+        if again.size:
+            ok[again] = short([bodies[i].decode(errors="ignore").lower().encode() for i in again])
+        return ok
+
 
 def _followers(data: np.ndarray, order: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(context * width + next) codes of all strings of order + 1 classes, and their counts."""
@@ -153,6 +170,18 @@ def fit_trees(texts: dict[str, list[bytes]]) -> ContextTrees:
     return ContextTrees(names, classes, states, bits)
 
 
+def with_limits(trees: ContextTrees, texts: dict[str, list[bytes]]) -> ContextTrees:
+    """``trees`` with each language's limit: the ``QUANTILE`` of what half of its texts cost under the other half."""
+    trees.limits = np.full(len(trees.languages), np.inf)
+    halves = [{n: [b for b in t if b][k::2] for n, t in texts.items()} for k in range(2)]
+    models = [fit_trees({n: t for n, t in h.items() if t}) for h in halves]
+    for j, n in enumerate(trees.languages):
+        cost = [m.code_lengths(h[n])[:, m.languages.index(n)] / [len(b) for b in h[n]] for m, h in zip(models, halves[::-1]) if n in m.languages and h[n]]
+        if len(cost) == 2:  # one text alone says nothing about others
+            trees.limits[j] = MARGIN * np.quantile(np.concatenate(cost), QUANTILE)
+    return trees
+
+
 def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ContextTrees:
     """Train on a bounded sample outside the held-out fold."""
     spark = docs.sparkSession
@@ -173,7 +202,8 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_i
         if r.lang in used and used[r.lang] + len(r.body) <= TRAIN_BYTES:
             texts[r.lang].append(bytes(r.body))
             used[r.lang] += len(r.body)
-    return fit_trees({n: t for n, t in texts.items() if t})
+    texts = {n: t for n, t in texts.items() if t}
+    return with_limits(fit_trees(texts), texts)
 
 
 def identify_language(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trees: ContextTrees | None = None) -> DataFrame:
@@ -193,7 +223,7 @@ def identify_language(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col
 
 def _share(docs: DataFrame, trees: ContextTrees):
     """The folded trees, a few MB whatever the input, for the workers."""
-    values = (trees.languages, trees.classes.astype(np.int32), trees.states, trees.bits)
+    values = (trees.languages, trees.classes.astype(np.int32), trees.states, trees.bits, trees.limits)
     return docs.sparkSession.sparkContext.broadcast(values), uuid.uuid4().hex
 
 
@@ -208,13 +238,21 @@ def _predict(shared, call: str, bodies: list[bytes], letters: list[bool]) -> tup
 
 
 def with_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, in a learned language with at least this score; no shuffle."""
+    """The rows of ``docs``, all columns, in a learned language with at least this score; no shuffle.
+
+    The score only compares the learned languages, so a text must also code as short as theirs do.
+    """
     shared, call = _share(docs, fit(docs))
     at = docs.columns.index("text")
 
     def known(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(at).to_pylist()]
-        names, score, _ = _predict(shared, call, [t.encode() for t in texts], [any(c.isalpha() for c in t) for t in texts])
-        return batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score)]))
+        bodies = [t.encode() for t in texts]
+        names, score, _ = _predict(shared, call, bodies, [any(c.isalpha() for c in t) for t in texts])
+        good = np.array([n != UNKNOWN and s >= least for n, s in zip(names, score)], bool)
+        some = np.flatnonzero(good)
+        if some.size:
+            good[some] = kept("language", call, lambda: ContextTrees(*shared.value)).fits([bodies[i] for i in some])
+        return batch.filter(pa.array(good))
 
     return map_arrow(docs, known, docs.schema)

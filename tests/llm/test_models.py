@@ -141,3 +141,12 @@ def test_language_edges(odd, none, tongues):
     kept = language.with_language(tongues)
     assert kept.columns == tongues.columns and kept.count() == tongues.count()
     assert language.with_language(none).count() == 0
+
+
+def test_unlearned_languages_and_gibberish_go(spark, tongues):
+    rng = random.Random(5)
+    strange = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3, "人人生而自由,在尊严和权利上一律平等。" * 5, *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(300)) for _ in range(20))]
+    rows = [(10_000 + i, text, None, "s", 1) for i, text in enumerate(strange)]
+    rows += [(20_000 + i, words(rng, 60, STOCK["en"]).upper(), None, "s", 1) for i in range(5)]
+    left = {r.doc_id for r in language.with_language(tongues.unionByName(spark.createDataFrame(rows, tongues.schema))).collect()}
+    assert left == {r.doc_id for r in tongues.collect()} | {20_000 + i for i in range(5)}
