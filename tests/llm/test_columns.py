@@ -172,11 +172,87 @@ def test_wrapper_of_a_host(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
     w = html_extract.infer_wrappers(df).collect()
     assert len(w) == 1 and w[0].pages == 30
-    assert "<p>#</p>)+" in w[0].expression and "(<em>#</em>)?" in w[0].expression
+    assert "<p>#</p>)+" in w[0].expression and "(<em>'</em>)?" in w[0].expression
     texts = [r.text for r in html_extract.extract_text(df).collect()]
     assert not any("daily letter" in t for t in texts) and all(len(t) > 20 for t in texts)
 
 
+def by_hand(pages, wrapper=True):
+    """Texts of one host's pages by the operator's plain functions; without a wrapper each page only has its own."""
+    total = None
+    for p in pages:
+        one = html_extract.page_wrapper(p)
+        total = one if total is None else html_extract._merge(total, one)
+    if not wrapper:
+        return [by_hand([p])[0] for p in pages] if len(pages) > 1 else []
+    rule = html_extract.read_rule(html_extract._flat(html_extract.rule_of(html_extract.unpack(html_extract.pack(total)))))
+    return [html_extract.extract(p, rule) for p in pages]
+
+
+def plain_host(rng, n):
+    """Pages without article or telling names: site line, menu, heading, paragraphs, links, copyright line."""
+    out = []
+    for _ in range(n):
+        head, text = words(rng, 4), [words(rng, 12) for _ in range(rng.randrange(3, 7))]
+        body = f"<div class=k>Example site</div><div class=w><div class=v><a>{words(rng, 1)}</a> <a>{words(rng, 1)}</a></div><h1>{head}</h1><div class=c>" + "".join(f"<p>{t}</p>" for t in text)
+        out.append((page(body + "</div><div class=z>© 2020 Example Ltd. All rights reserved.</div></div>"), " ".join([head, *text])))
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 7, 30])
+def test_the_wrapper_decides(n):
+    made = plain_host(random.Random(n), n)
+    got = by_hand([p for p, _ in made])
+    assert got == [t for _, t in made]
+    alone = by_hand([p for p, _ in made], wrapper=False)
+    assert any("All rights reserved" in t for t in alone)  # without the host's wrapper the text is another
+    scrambled = [re.sub(r"class=(\w+)", lambda m: f"class=x{m[1][::-1]}q", p) for p, _ in made]
+    assert by_hand(scrambled) == got
+
+
+@pytest.mark.parametrize("n", [2, 7, 30])
+def test_template_blocks_at_any_number_of_pages(n):
+    rng = random.Random(n)
+    made = [page(f"<article><h1>{words(rng, 3)}</h1><div class=box>Read our daily letter</div><h2>Summary</h2>" + "".join(f"<p>{words(rng, 12)}</p>" for _ in range(rng.randrange(1, 6))) + "</article>") for _ in range(n)]
+    for t in by_hand(made):
+        assert "daily letter" not in t and "Summary" in t
+
+
+def test_copies_are_no_template():
+    one = page("<article><h1>Head</h1><p>a long paragraph of the only article here</p><ul><li>point</li></ul><blockquote>quoted</blockquote></article>")
+    rng = random.Random(3)
+    others = [page(f"<article><h1>{words(rng, 3)}</h1><p>{words(rng, 20)}</p></article>") for _ in range(4)]
+    got = by_hand([one] * 8 + others)
+    assert got[:8] == ["Head a long paragraph of the only article here point quoted"] * 8
+    assert by_hand([one] * 3) == got[:3]
+
+
+def test_nothing_of_the_article_is_lost():
+    inside = '<section id="related-work"><p>work</p></section><div class="notice-of-motion"><p>motion</p></div><p class="search-result">result</p><p>x <math><mi>a</mi><mo>=</mo></math> y</p>'
+    assert by_hand([page(f"<article>{inside}</article>")]) == ["work motion result x a= y"]
+    assert by_hand([page(f"<div class='entry-content no-sidebar'>{inside}</div>")]) == ["work motion result x a= y"]
+    deep = [page("<div>" * 450 + f"<article><p>article {i}</p></article>" + "</div>" * 450 + "<div>Site line</div>") for i in "abc"]
+    assert by_hand(deep) == ["article a", "article b", "article c"]
+    assert by_hand([page("<div>" * 20_000 + "deep")]) == ["deep"]
+
+
+def test_wrappers_pack_and_stay_bounded(monkeypatch):
+    rng = random.Random(2)
+    total = None
+    for p, _ in plain_host(rng, 5):
+        one = html_extract.page_wrapper(p)
+        total = one if total is None else html_extract._merge(total, one)
+    assert html_extract.pack(html_extract.unpack(html_extract.pack(total))) == html_extract.pack(total)
+    monkeypatch.setattr(html_extract, "NODES", 40)
+    for i in range(30):
+        odd = html_extract.page_wrapper(page(f"<div class=w><div class=u{'abcdefghij'[i % 10]}{'klm'[i // 10]}><i>x</i></div></div>"))
+        total = html_extract._bounded(html_extract._merge(total, odd))
+    every = [total]
+    for x in every:
+        every += x.children
+    assert len(every) < 40
+
+
 def test_documented_pages(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
