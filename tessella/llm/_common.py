@@ -52,6 +52,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: A key is hot from a share of 1 / ``HOT_KEYS`` of all rows; so there are ``HOT_KEYS`` hot ones at most, whatever the input.
+HOT_KEYS, HOT_ROWS = 2_000, 1_000
+
+
+def join_on_hot_keys(rows: DataFrame, of_key: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``of_key``, which has each key once and the number ``n`` of its rows.
+
+    Hot keys are looked up in a broadcast of at most ``HOT_KEYS`` rows, so that no task gets all rows of
+    one; the others are joined by a shuffle. Column ``n`` is dropped.
+    """
+    total = of_key.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = of_key.filter(F.col("n") >= least).drop("n")
+    if hot.isEmpty():
+        return rows.join(of_key.drop("n"), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(of_key.filter(F.col("n") < least).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 #: Bytes of a record batch that a function of ``map_arrow`` gets at once, unless one row is larger.
 BATCH_BYTES = 8 << 20
 

@@ -1,8 +1,12 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is joins and partial aggregates over the edges, written to the shared folder, so lineage
-stays short and nothing but two numbers a round reaches the driver. Edges only shrink towards stars;
-the number of rounds grows with the logarithm of the longest path.
+stays short and nothing but two numbers a round reaches the driver. Hubs, nodes with a large share of
+all edges, get their smallest neighbour from a broadcast of bounded size. Edges only shrink towards
+stars; the number of rounds grows with the logarithm of the longest path.
+
+Edge cases: repeated edges, both directions of one and loops count once or not at all; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, store
+from ._common import drop, join_on_hot_keys, store
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -21,15 +25,15 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    moved = both.join(least, "u").filter(F.col("v") > F.col("u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_on_hot_keys(both, least, "u").filter(F.col("v") > F.col("u"))
     return moved.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_on_hot_keys(down, least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -2,12 +2,19 @@
 
 A fingerprint has 64 bits; bit i is set if over half of the text's shingle hashes have it set. Equal
 fingerprints form one class before anything is linked, so exact copies cost one row however many there
-are. Of four 16-bit blocks, two fingerprints at 2 or fewer differing bits agree in at least two, so
-each of the six block pairs deals the classes into shards in which every link of that pair is whole.
-Each shard gets BK-trees, whose children are keyed by their integer Hamming distance to the parent; a
-query follows only the edges within the radius of its own distance. Trees hold ``TREE`` nodes at most:
-a larger shard is split over several trees, and its queries visit each of them. A shard sends back
-only its spanning forest. Components come from star steps over the forest edges (components.py).
+are.
+
+Shards: of three separate blocks of b bits, two fingerprints at 2 or fewer differing bits agree in at
+least one, so every link is whole in the shard of some block's value. b is derived from the number of
+classes, so that a shard holds about ``SHARD`` of them at any size. Each shard has a BK-tree, whose
+children are keyed by their integer Hamming distance to the parent; every class of the shard queries it
+and follows only the edges within the radius of its own distance, so the trees alone decide the links.
+A shard over ``TREE`` classes gets several trees and blocks of queries that visit each of them, so no
+task holds more than ``TREE`` nodes and ``TREE`` queries. A shard sends back only its spanning forest.
+Trees stand in the tasks of their shard and are not broadcast: together they are the fingerprints of all
+documents, which have no bound and must not pass through the driver.
+
+Components come from star steps over the forest edges (components.py).
 
 Edge cases: null, empty and word-free texts have fingerprint zero and link like any other; texts with
 fewer words than a shingle hash their whole word sequence; repeated rows share a class; ids may repeat
@@ -16,7 +23,8 @@ fewer words than a shingle hash their whole word sequence; repeated rows share a
 
 from __future__ import annotations
 
-from itertools import accumulate, combinations
+import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -25,10 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, id_and_bytes, map_arrow, shuffle_width, store
+from ._common import drop, id_and_bytes, join_on_hot_keys, map_arrow, store
 from .components import components, forest
 
-TREE, BLOCK, STEP = 20_000, 50_000, 200_000
+SHARD, TREE, QUERIES, STEP = 1_024, 16_384, 2_048, 200_000
+#: Ids of documents to drop are broadcast up to this many (8 bytes each); beyond, documents are joined.
+BROADCAST_IDS = 500_000
 SEED = 42
 #: Byte value -> its eight bits as eight byte lanes, to add up to 255 hashes at once.
 LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
@@ -130,38 +140,42 @@ class BKForest:
 
 
 def shard_links(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """The spanning forest of a shard's links. Columns: grp, fp, node (held by the tree, else a query)."""
-    nodes = pdf[pdf["node"]].drop_duplicates(["grp", "fp"]).sort_values(["grp", "fp"])
-    trees = BKForest(nodes["fp"].to_numpy().view(np.uint64), nodes["grp"].to_numpy())
-    held = nodes["fp"].to_numpy()
-    asked = pdf.drop_duplicates(["grp", "fp"])
-    fps, groups = asked["fp"].to_numpy(), asked["grp"].to_numpy()
-    names = np.unique(np.concatenate([held, fps]))
+    """The spanning forest of a shard's links. Columns: fp, node (held by the tree, else only a query)."""
+    held = np.unique(pdf["fp"].to_numpy()[pdf["node"].to_numpy()])
+    fps = np.unique(pdf["fp"].to_numpy()[pdf["asks"].to_numpy()])
+    tree = BKForest(held.view(np.uint64), np.zeros(len(held), np.int64))
+    names = np.union1d(held, fps)
     u, v = np.empty(0, np.int64), np.empty(0, np.int64)
-    for i in range(0, len(fps), BLOCK):
-        q, n = trees.within(fps[i : i + BLOCK].view(np.uint64), groups[i : i + BLOCK], radius)
-        root = forest(np.concatenate([u, np.searchsorted(names, fps[i : i + BLOCK][q])]), np.concatenate([v, np.searchsorted(names, held[n])]), len(names))
+    for i in range(0, len(fps), QUERIES):
+        some = fps[i : i + QUERIES]
+        q, n = tree.within(some.view(np.uint64), np.zeros(len(some), np.int64), radius)
+        root = forest(np.concatenate([u, np.searchsorted(names, some[q])]), np.concatenate([v, np.searchsorted(names, held[n])]), len(names))
         u = np.flatnonzero(root != np.arange(len(names)))
         v = root[u]
     return pd.DataFrame({"u": names[u], "v": names[v]})
 
 
+def block_bits(classes: int) -> int:
+    """Bits of a block so that a block's value is shared by about ``SHARD`` of so many classes; 21 fit thrice."""
+    return min(21, max(0, math.ceil(math.log2(max(1, classes) / SHARD))))
+
+
 def link_edges(classes: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (u, v) that connect exactly the fingerprints ``fp`` linked at ``radius`` or fewer bits."""
-    if radius != 2:
-        raise ValueError("block pairs are exact for a radius of 2")
-    width = shuffle_width(classes.sparkSession)
-    blocks = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
-    pairs = [F.struct(F.lit(n).alias("pair"), F.shiftleft(blocks[a], 16).bitwiseOR(blocks[b]).alias("key")) for n, (a, b) in enumerate(combinations(range(4), 2))]
-    dealt = classes.select("fp", F.explode(F.array(*pairs)).alias("b")).select("fp", F.expr("b.key * 8 + b.pair").alias("grp"))
-    sizes = dealt.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = dealt.join(sizes, "grp")
-    trees = F.ceil(F.col("n") / TREE).cast("long")
-    visits = shared.select("fp", "grp", F.pmod(F.xxhash64("fp"), trees).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("tree"))
-    shards = visits.select("grp", "fp", (F.col("own") == F.col("tree")).alias("node"), F.pmod(F.xxhash64("grp", "tree"), F.lit(4 * width)).alias("shard"), "tree")
-    # trees of one group stand apart in a shard by their number
-    shards = shards.select((F.col("grp") * 4096 + F.col("tree") % 4096).alias("grp"), "fp", "node", "shard")
-    return shards.groupBy("shard").applyInPandas(lambda pdf: shard_links(pdf, radius), "u long, v long")
+    """Edges (u, v) that connect exactly the fingerprints ``fp`` (each once) linked at ``radius`` or fewer bits."""
+    if not 0 <= radius <= 2:
+        raise ValueError("three blocks are exact up to a radius of 2")
+    bits = block_bits(classes.count())
+    value = lambda k: F.shiftrightunsigned("fp", 21 * k).bitwiseAND((1 << bits) - 1)
+    blocks = [value(k) * 4 + k for k in range(3 if bits else 1)]
+    dealt, _ = store(classes.select("fp", F.explode(F.array(*blocks)).alias("shard")), "dealt")
+    large = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > TREE).select("shard", F.ceil(F.col("n") / TREE).cast("long").alias("trees"))
+    parts = dealt.join(large, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("fp"), "trees"))
+    # row i of the grid holds tree i, column j the j-th block of queries; a class is in one row and one column
+    row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1), lambda j: F.struct(F.col("own").alias("tree"), j.alias("block")))
+    column = F.transform(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1), lambda i: F.struct(i.alias("tree"), F.col("own").alias("block")))
+    visits = parts.select("shard", "fp", "own", F.explode(F.array_distinct(F.concat(row, column))).alias("at"))
+    cells = visits.select("shard", "fp", "at.tree", "at.block", (F.col("at.tree") == F.col("own")).alias("node"), (F.col("at.block") == F.col("own")).alias("asks"))
+    return cells.groupBy("shard", "tree", "block").applyInPandas(lambda pdf: shard_links(pdf, radius), "u long, v long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -169,19 +183,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without an id stay; rows that share an id stand and fall together.
     """
-    gone = near_duplicates(docs).filter("doc_id != component_id").select("doc_id")
+    gone, _ = store(near_duplicates(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable)."""
-    spark = docs.sparkSession
     prints, _ = store(fingerprints(docs, width, id_col, text_col), "prints")
-    classes, _ = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    edges = link_edges(classes, radius)
+    classes, path = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    edges = link_edges(classes.select("fp"), radius)
     stars = components(edges)
     rooted = classes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(least, "root").select("fp", "component_id")
-    named = prints.join(of_class, "fp")
+    rooted, _ = store(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_class, _ = store(join_on_hot_keys(rooted.select("fp", F.col("n").alias("rows"), "root"), least, "root").select("fp", "component_id", F.col("rows").alias("n")), "named")
+    named = join_on_hot_keys(prints, of_class, "fp")
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import SF
-from tessella.llm import components, simhash, suffix_dedup
+from pyspark.sql import functions as F
+from tessella.llm import _common, components, simhash, suffix_dedup
 from tessella.llm import queries as llm
 
 HUGE = 1 << 62
@@ -119,8 +120,12 @@ def test_simhash_equals_brute_force(which, spark, odd):
     assert got == want
 
 
-def test_links_of_planted_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TREE", 16)  # several trees a group
+@pytest.mark.parametrize(("shard", "tree", "hot"), [(8, 16, 1_000), (1_024, 16_384, 1_000), (64, 1_000, 2)])
+def test_links_of_planted_fingerprints(spark, monkeypatch, shard, tree, hot):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "TREE", tree)  # 16: several trees a shard
+    monkeypatch.setattr(simhash, "QUERIES", 50)
+    monkeypatch.setattr(_common, "HOT_ROWS", hot)
     rng = random.Random(9)
     prints = {rng.getrandbits(64) for _ in range(300)}
     for p in list(prints)[:60]:
@@ -151,6 +156,22 @@ def test_bk_tree_follows_the_triangle():
     assert simhash.BKForest(np.empty(0, np.uint64), np.empty(0, np.int64)).within(fps, np.zeros(len(fps), np.int64), 2)[0].size == 0
 
 
+def test_shards_stay_of_one_size():
+    assert [simhash.block_bits(n) for n in (0, 1_024, 1_025, 1_024 << 10, 1 << 50)] == [0, 0, 1, 10, 21]
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 1 << 63, 1_000).astype(np.uint64))
+    assert len(set((simhash.BKForest(fps, np.zeros(len(fps), np.int64)).edges // 65).tolist())) > 50  # trees have many inner nodes
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, i) for i in range(50)] + [(i, i) for i in range(1, 20)], "k long, x long")
+    of_key = rows.groupBy("k").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(of_key.drop("n"), "k").collect()))
+    for least in (1_000, 10, 1):
+        monkeypatch.setattr(_common, "HOT_ROWS", least)
+        assert sorted(map(tuple, _common.join_on_hot_keys(rows, of_key, "k").collect())) == want
+
+
 def test_long_chains_connect(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.u: r.v for r in components.components(edges).collect()}
