@@ -2,16 +2,25 @@
 
 DataFrame expressions only. Each text's statistics are one expression over its words, written once.
 The vector (log mean word length, roots of symbols, repeated lines and repeated words a word) gets a
-minimum-covariance-determinant estimate for each language and source: from a median/MAD start,
-concentration steps re-estimate mean and covariance from the ``SHARE`` of rows with the smallest
-Mahalanobis distance. A text whose squared distance passes ``CUTOFF`` is rejected. Groups under
-``LEAST`` rows use their language's estimate, and languages under it the estimate over all.
-
-Scale: groups are only ever aggregated (partial sums and quantile sketches), never collected; each
-step reads the written statistics, five numbers a text. ``FLOOR`` is the smallest scale in which a
-statistic counts as spread, so constant statistics neither divide by zero nor reject clean texts. Each
-is small enough for its statistic alone to pass ``CUTOFF`` within the base rules (repeated words over
-about a third of a text do), and large enough for one repeated line in a short text not to.
+minimum-covariance-determinant estimate for each language and source, each language and all rows:
+
+* three deterministic starts: medians and MADs alone, the correlations of tanh-squeezed rows, and the
+  covariance of spatial signs, each scaled by the MADs;
+* ``STEPS`` concentration steps of each re-estimate mean and covariance from the ``SHARE`` of rows with
+  the smallest Mahalanobis distance; the start with the smallest determinant goes on for as many more;
+* the covariance is scaled so that the median distance is that of a normal sample, never down.
+
+A group's estimate is then shrunk towards its language's, and that towards the one over all rows, with
+the weight n / (n + ``PRIOR``): small groups lean on their parents without a step at any size. A text
+whose squared distance passes ``CUTOFF`` is rejected.
+
+Scale: groups are only ever aggregated (partial sums and quantile sketches), never collected; each pass
+reads the written statistics, five numbers a text, and shuffles partial aggregates. Verdicts are a lookup
+of the group's estimate, a table of one row a group that Spark broadcasts while it is small, so rows are
+never shuffled for it. ``FLOOR`` is the smallest scale in which a statistic counts as spread, so constant
+statistics neither divide by zero nor reject clean texts. Each is small enough for its statistic alone to
+pass ``CUTOFF`` within the base rules (repeated words over about a third of a text do), and large enough
+for one repeated line in a short text not to.
 
 Edge cases: null and empty texts have no words and fail the base rules; null language or source is a
 group of its own; texts shorter than a window have no repeated words; repeated rows each keep their
@@ -27,14 +36,16 @@ from pyspark.sql import functions as F
 
 from ._common import SPACE_CLASS, store
 
-SHARE, STEPS, LEAST = 0.75, 3, 50
+SHARE, STEPS, STARTS, PRIOR = 0.75, 2, 3, 50
 #: Entries of a quantile sketch; ranks are off by 1 / ACCURACY at most.
 ACCURACY = 500
 #: Four degrees of freedom: the median of chi-squared, and its quantile for one in a million.
 MEDIAN_CHI2, CUTOFF = 3.3567, 33.38
 FLOOR = [0.06, 0.06, 0.06, 0.1]
 P = len(FLOOR)
-LEVELS = ["own", "lang", "all"]
+#: Variance of tanh of a standard normal number.
+TANH_VAR = 0.394
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,7 +57,8 @@ def _repeat_words(words: Column) -> Column:
     """Words covered by windows of three that stand in the text at least twice.
 
     Windows are sorted as numbers: high bits hash the words, low bits hold the place (as many as the
-    text needs), so equal windows become neighbours.
+    text needs), so equal windows become neighbours. Where the high bits agree the words are compared,
+    with the second neighbour too, for a collision may stand between equal windows.
     """
     windows = F.size(words) - 2
 
@@ -57,8 +69,10 @@ def _repeat_words(words: Column) -> Column:
 
         def covered(keys: Column) -> Column:
             high = lambda x: F.call_function("shiftright", x, low)
-            equal = lambda x, j: F.coalesce(high(x) == high(F.get(keys, j)), F.lit(False))
-            again = F.filter(keys, lambda x, j: equal(x, j - 1) | equal(x, j + 1))
+            word = lambda x, k: F.get(words, x.bitwiseAND(mask).cast("int") + k)
+            same = lambda x, y: (high(x) == high(y)) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+            equal = lambda x, j: F.coalesce(same(x, F.get(keys, j)), F.lit(False))
+            again = F.filter(keys, lambda x, j: equal(x, j - 1) | equal(x, j + 1) | equal(x, j - 2) | equal(x, j + 2))
             places = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask)))
             gaps = lambda p: F.transform(p, lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, j + 1) - x, F.lit(3).cast("long"))))
             return F.aggregate(_let(places, gaps), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -95,11 +109,16 @@ def _vector() -> list[Column]:
     return [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.sqrt(F.col("n_symbols") / n), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Each row once for its group, once for its language and once for all: columns level, g, x0.. ."""
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
-    keys = F.array(F.struct(F.lit("own").alias("level"), lang.alias("a"), source.alias("b")), F.struct(F.lit("lang").alias("level"), lang.alias("a"), F.lit("").alias("b")), F.struct(F.lit("all").alias("level"), F.lit("").alias("a"), F.lit("").alias("b")))
-    return rows.withColumn("g", F.explode(keys))
+def _group_names() -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source")]
+
+
+def _grouped(rows: DataFrame, starts: int) -> DataFrame:
+    """Each row for its group, its language and all rows, once a start: columns g (level, a, b, start), x0.. ."""
+    lang, source = _group_names()
+    key = lambda level, a, b, k: F.struct(F.lit(level).alias("level"), a.alias("a"), b.alias("b"), F.lit(k).alias("start"))
+    keys = [key(*names, k) for names in (("own", lang, source), ("lang", lang, F.lit("")), ("all", F.lit(""), F.lit(""))) for k in range(starts)]
+    return rows.select(*(f"x{i}" for i in range(P)), F.explode(F.array(*keys)).alias("g"))
 
 
 def _distance() -> Column:
@@ -108,62 +127,92 @@ def _distance() -> Column:
 
 
 def _factor(moments: DataFrame) -> DataFrame:
-    """From m0.. and c00, c10, c11, .. the inverse of the Cholesky factor of the covariance plus floors."""
+    """From m0.. and c00, c10, c11, .. plus floors: the inverse Cholesky factor r00.. and the log determinant ``det``."""
     df = moments
     for i in range(P):
-        df = df.withColumn(f"c{i}{i}", F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)) + F.lit(FLOOR[i] ** 2))
-    for i in range(P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
+        df = df.withColumn(f"c{i}{i}", F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)))
+    for i, j in PAIRS:
+        rest = F.col(f"c{i}{j}") + F.lit(FLOOR[i] ** 2 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
     for i in range(P):
         df = df.withColumn(f"r{i}{i}", 1 / F.col(f"l{i}{i}"))
         for j in range(i):
             df = df.withColumn(f"r{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"r{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
-    keep = ["g", *(f"m{i}" for i in range(P)), *(f"r{i}{j}" for i in range(P) for j in range(i + 1))]
-    return df.select(*keep)
+    df = df.withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0)))
+    return df.drop(*(f"l{i}{j}" for i, j in PAIRS))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and MADs as the first centre and (diagonal) scale of each group."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Each group's medians as the first centre, and the scatter of each start."""
     centre, _ = store(rows.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in range(P))), "centre")
-    spread = rows.join(centre, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"s{i}") for i in range(P)))
-    zero = F.lit(0.0)
-    moments = spread.select("g", *(f"m{i}" for i in range(P)), *((F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else zero).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
-    return store(_factor(moments), "start")[0]
+    about = rows.join(centre, "g").groupBy("g")
+    spread, _ = store(about.agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *((1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY)).alias(f"s{i}") for i in range(P))), "spread")
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(F.col(f"s{i}"), F.lit(FLOOR[i])) for i in range(P)]
+    norm = F.greatest(sum((v * v for v in z), F.lit(0.0)), F.lit(1e-12))
+    start = F.col("g.start")
+    kernel = lambda i, j: F.when(start == 0, F.lit(float(i == j))).when(start == 1, F.tanh(z[i]) * F.tanh(z[j]) / TANH_VAR).otherwise(P * z[i] * z[j] / norm)
+    scatter = rows.join(spread, "g").groupBy("g").agg(
+        *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *((F.avg(kernel(i, j)) * F.first(f"s{i}") * F.first(f"s{j}")).alias(f"c{i}{j}") for i, j in PAIRS)
+    )
+    return store(_factor(scatter), "start")[0]
 
 
 def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One concentration step: moments of the ``SHARE`` of rows nearest to the estimate."""
-    far = rows.join(estimate, "g").withColumn("d", _distance())
+    far = rows.join(estimate.drop(*(f"c{i}{j}" for i, j in PAIRS), "det", "n"), "g").withColumn("d", _distance())
     limit, _ = store(far.groupBy("g").agg(F.percentile_approx("d", SHARE, ACCURACY).alias("limit")), "limit")
-    near = far.join(limit, "g").filter("d <= limit")
+    near = far.join(limit, "g")
     # sums about the current centre, which is close to the new one: no cancellation
-    y = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
+    inside = F.col("d") <= F.col("limit")
+    y = [F.when(inside, F.col(f"x{i}") - F.col(f"m{i}")) for i in range(P)]
     sums = near.groupBy("g").agg(
-        *(F.first(f"m{i}").alias(f"o{i}") for i in range(P)), *(F.avg(y[i]).alias(f"y{i}") for i in range(P)), *(F.avg(y[i] * y[j]).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1))
+        F.count("*").alias("n"), *(F.first(f"m{i}").alias(f"o{i}") for i in range(P)), *(F.avg(y[i]).alias(f"y{i}") for i in range(P)), *(F.avg(y[i] * y[j]).alias(f"q{i}{j}") for i, j in PAIRS)
     )
-    moments = sums.select("g", *((F.col(f"o{i}") + F.col(f"y{i}")).alias(f"m{i}") for i in range(P)), *((F.col(f"q{i}{j}") - F.col(f"y{i}") * F.col(f"y{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
+    moments = sums.select("g", "n", *((F.col(f"o{i}") + F.col(f"y{i}")).alias(f"m{i}") for i in range(P)), *((F.col(f"q{i}{j}") - F.col(f"y{i}") * F.col(f"y{j}")).alias(f"c{i}{j}") for i, j in PAIRS))
     return store(_factor(moments), "estimate")[0]
 
 
+def covariance_estimates(rows: DataFrame) -> DataFrame:
+    """g, n, mean, covariance and log determinant of every group, language and of all rows."""
+    several, single = _grouped(rows, STARTS), _grouped(rows, 1)
+    estimate = _starts(several)
+    for _ in range(STEPS):
+        estimate = _concentrate(several, estimate)
+    group = F.struct("g.level", "g.a", "g.b", F.lit(0).alias("start"))
+    rest = F.struct(*(c for c in estimate.columns if c != "g"))
+    best = estimate.groupBy(group.alias("g")).agg(F.min_by(rest, F.struct("det", "g.start")).alias("e")).select("g", "e.*")
+    for _ in range(STEPS):
+        best = _concentrate(single, best)
+    middle = single.join(best, "g").groupBy("g").agg(F.percentile_approx(_distance(), 0.5, ACCURACY).alias("middle"))
+    scale = F.greatest(F.lit(1.0), F.col("middle") / MEDIAN_CHI2)
+    # the floors scale along: they are added again where the factor is made
+    widened = lambda i, j: F.col(f"c{i}{j}") * F.col("scale") + (F.lit(FLOOR[i] ** 2) * (F.col("scale") - 1) if i == j else F.lit(0.0))
+    found = best.join(middle, "g").withColumn("scale", scale)
+    return found.select("g", "n", *(f"m{i}" for i in range(P)), *(widened(i, j).alias(f"c{i}{j}") for i, j in PAIRS), "det")
+
+
+def _shrunk(own: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame:
+    """``own`` moments as a mixture with their parent's; see the module."""
+    up = parent.select(*on, *(F.col(c).alias(f"up_{c}") for c in [*(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS)]))
+    both = own.join(up, on).withColumn("w", F.col("n") / (F.col("n") + PRIOR))
+    w, v = F.col("w"), 1 - F.col("w")
+    gap = [F.col(f"m{i}") - F.col(f"up_m{i}") for i in range(P)]
+    keep = [c for c in own.columns if c in ("a", "b", "n")]
+    return both.select(*keep, *((w * F.col(f"m{i}") + v * F.col(f"up_m{i}")).alias(f"m{i}") for i in range(P)), *((w * F.col(f"c{i}{j}") + v * F.col(f"up_c{i}{j}") + w * v * gap[i] * gap[j]).alias(f"c{i}{j}") for i, j in PAIRS))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the base statistics, base_failed, the squared robust distance and kept."""
-    found, _ = store(text_statistics(docs, id_col, text_col, lang_col, source_col).withColumn("row", F.monotonically_increasing_id()), "statistics")
+    found, _ = store(text_statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
     names = [f"x{i}" for i in range(P)]
-    rows = _grouped(found.filter("not base_failed").select("row", "lang", "source", *(v.alias(x) for v, x in zip(_vector(), names))).fillna(0.0, names))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    estimate = _start(rows)
-    for _ in range(STEPS):
-        estimate = _concentrate(rows, estimate)
-    middle = rows.join(estimate, "g").groupBy("g").agg(F.percentile_approx(_distance(), 0.5, ACCURACY).alias("middle"))
-    final, _ = store(estimate.join(middle, "g").join(sizes, "g"), "final")
-    # of each row's groups the finest that is large enough; the group of all rows always serves
-    judged = rows.join(final, "g").withColumn("d", _distance() / F.greatest(F.lit(1.0), F.col("middle") / MEDIAN_CHI2))
-    rank = F.when((F.col("g.level") == "own") & (F.col("n") >= LEAST), 0).when((F.col("g.level") == "lang") & (F.col("n") >= LEAST), 1).when(F.col("g.level") == "all", 2)
-    verdict = judged.withColumn("rank", rank).filter("rank is not null").groupBy("row").agg(F.min_by("d", "rank").alias("distance"))
-    joined = found.join(verdict, "row", "left")
-    return joined.select(
+    vectors = [F.coalesce(v, F.lit(0.0)).alias(x) for v, x in zip(_vector(), names)]
+    raw, _ = store(covariance_estimates(found.filter("not base_failed").select("lang", "source", *vectors)), "estimates")
+    level = lambda name, *keys: raw.filter(F.col("g.level") == name).select(*(f"g.{k}" for k in keys), F.lit(0).alias("every"), "n", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS))
+    languages = _shrunk(level("lang", "a"), level("all"), ["every"])
+    final, _ = store(_factor(_shrunk(level("own", "a", "b"), languages, ["a"])), "final")
+    lang, source = _group_names()
+    judged = found.select("*", *vectors, lang.alias("a"), source.alias("b")).join(final.drop("n"), ["a", "b"], "left").withColumn("squared_distance", F.when(~F.col("base_failed"), _distance()))
+    return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"), F.col("distance").alias("squared_distance"),
+        (~F.col("base_failed") & (F.coalesce("squared_distance", F.lit(0.0)) <= CUTOFF)).alias("kept"), "squared_distance",
     )

@@ -104,27 +104,79 @@ def test_repeats_alone_reject(spark):
     assert {i for i, r in got.items() if r.kept} == set(range(300))
 
 
-def test_distances_against_numpy(spark):
-    """The estimate after the concentration steps, computed again in numpy from the same rows."""
+def low(v, p):
+    """The quantile of Spark's sketches while they are exact."""
+    return np.sort(v, 0)[max(0, int(np.ceil(p * len(v))) - 1)]
+
+
+def estimate(x):
+    """Mean and covariance of one group by the module's rules, in numpy."""
+    floor = np.diag(np.array(quality.FLOOR) ** 2)
+    centre = low(x, 0.5)
+    s = 1.4826 * low(np.abs(x - centre), 0.5)
+    z = (x - centre) / np.maximum(s, quality.FLOOR)
+    u = z / np.sqrt(np.maximum((z**2).sum(1, keepdims=True), 1e-12))
+    found = []
+
+    def step(mean, cov):
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
+        near = x[d <= low(d, quality.SHARE)]
+        return near.mean(0), np.cov(near.T, bias=True).reshape(cov.shape)
+
+    for corr in (np.eye(4), np.tanh(z).T @ np.tanh(z) / len(x) / quality.TANH_VAR, 4 * u.T @ u / len(x)):
+        mean, cov = centre, np.outer(s, s) * corr
+        for _ in range(quality.STEPS):
+            mean, cov = step(mean, cov)
+        found.append((np.linalg.slogdet(cov + floor)[1], mean, cov))
+    _, mean, cov = min(found, key=lambda f: f[0])
+    for _ in range(quality.STEPS):
+        mean, cov = step(mean, cov)
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
+    scale = max(1.0, low(d, 0.5) / quality.MEDIAN_CHI2)
+    return len(x), mean, cov * scale + floor * (scale - 1)
+
+
+def shrink(own, parent):
+    n, mean, cov = own
+    w, gap = n / (n + quality.PRIOR), mean - parent[1]
+    return n, w * mean + (1 - w) * parent[1], w * cov + (1 - w) * parent[2] + w * (1 - w) * np.outer(gap, gap)
+
+
+def test_verdicts_against_numpy(spark):
+    """Distances and verdicts over groups of many sizes, 49 and 50 among them, and null names."""
     rng = random.Random(2)
-    rows = [(i, words(rng, rng.randrange(60, 200)) + (" #" * rng.randrange(3)), "en", "s", 1) for i in range(400)]
+    sizes = {("en", "a"): 150, ("en", "b"): 49, ("en", "c"): 50, ("de", "a"): 80, ("de", None): 3, (None, "a"): 1, ("x", "y"): 20}
+    rows = []
+    for (lang, source), n in sizes.items():
+        for _ in range(n):
+            extra = " #" * rng.randrange(3) + (f"\n{words(rng, 2)}" * 2 if rng.random() < 0.2 else "")
+            rows.append((len(rows), words(rng, rng.randrange(60, 200)) + extra + " ### ***" * (30 if rng.random() < 0.04 else 0), lang, source, 1))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r.squared_distance for r in quality.quality_rules(df).collect()}
+    got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
     s = np.array([statistics(r[1]) for r in rows], float)
     x = np.stack([np.log(s[:, 1] / s[:, 0]), np.sqrt(s[:, 2] / s[:, 0]), np.sqrt(s[:, 3] / s[:, 0]), np.sqrt(s[:, 4] / s[:, 0])], 1)
-    low = lambda v, p: np.sort(v, 0)[max(0, int(np.ceil(p * len(v))) - 1)]
-    floor = np.diag(np.array(quality.FLOOR) ** 2)
-    mean, cov = low(x, 0.5), None
-    cov = np.diag((1.4826 * low(np.abs(x - mean), 0.5)) ** 2)
-    for _ in range(quality.STEPS + 1):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
-        if _ < quality.STEPS:
-            near = x[d <= low(d, quality.SHARE)]
-            mean, cov = near.mean(0), np.cov(near.T, bias=True)
-    d /= max(1.0, low(d, 0.5) / quality.MEDIAN_CHI2)
-    failed = (s[:, 0] < 50) | (s[:, 4] * 2 > s[:, 0])
-    assert not failed.any()
-    assert np.allclose([got[i] for i in range(400)], d, rtol=0.02, atol=0.02)
+    good = ~((s[:, 0] < 50) | (s[:, 4] * 2 > s[:, 0]))
+    names = [(r[2], r[3]) for r in rows]
+    at = lambda test: np.array([i for i, n in enumerate(names) if good[i] and test(n)])
+    every = estimate(x[at(lambda n: True)])
+    for own in sizes:
+        here = at(lambda n: n == own)
+        lang = shrink(estimate(x[at(lambda n: n[0] == own[0])]), every)
+        _, mean, cov = shrink(estimate(x[here]), lang)
+        y = x[here] - mean
+        d = np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov + np.diag(np.array(quality.FLOOR) ** 2)), y)
+        assert np.allclose([got[i].squared_distance for i in here], d, rtol=0.02, atol=0.02)
+        assert [got[i].kept for i in here] == (d <= quality.CUTOFF).tolist()
+    assert not all(got[i].kept for i in at(lambda n: True))
+
+
+def test_repeat_windows_are_compared_by_words(spark, monkeypatch):
+    """With a hash that makes all windows collide, only equal words count."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(0).cast("long"))
+    df = spark.createDataFrame([(1, "a b c a b c"), (2, "a b c d e f g")], "doc_id long, text string").selectExpr("*", "'l' as lang", "'s' as source")
+    assert {r.doc_id: r.n_repeat_words for r in quality.text_statistics(df).collect()}[2] == 0
 
 
 def page(body, head=""):
