@@ -6,11 +6,14 @@ to the next shorter (escape method C: distinct / (total + distinct)) down to the
 score in a language is its exact code length in bits; the shortest code wins, and ``score`` is the
 winner's share of 2^-length over all languages.
 
-Training: whole texts of a bounded sample, ``TRAIN_BYTES`` a language at most, chosen by a hash of the
-id; at most ``LANGUAGES`` languages, the most frequent. The trees of all languages are folded into one table: state (longest context
-known to any language) and byte class to the code lengths, a fixed few MB that is broadcast. A state
-is a function of the last ``ORDER`` bytes, so scoring is two table lookups a byte for a whole batch of
-texts at once, without shuffles.
+Training: a bounded sample of each language's texts, chosen by a hash of the id: ``TRAIN_ROWS`` texts or
+so and ``TRAIN_BYTES`` a language, ``TOTAL_BYTES`` shared evenly by all of them; a text over what is left
+of its language's bound gives its first bytes. Every language of the training rows is learned. The trees
+of all languages are folded into one table: state (longest context known to any language) and byte class
+to the code lengths. Contexts that no language saw often enough are left to shorter ones: ``LEAST`` times,
+or more where the table would pass ``TABLE_BYTES``, so what is broadcast is bounded and checked whatever
+the languages are. A state is a function of the last ``ORDER`` bytes, so scoring is two table lookups a
+byte for a whole batch of texts at once, without shuffles.
 
 Edge cases: texts that are null or have no letter get ``und`` and score 0; without any training text
 every text does; very long texts are coded whole; repeated rows are predicted alike; an empty table
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from ._common import kept, map_arrow
 
 #: The documented bounds of training, and the least number of times a context must occur.
-TRAIN_BYTES, TRAIN_ROWS, LANGUAGES, LEAST = 400_000, 400, 64, 4
+TRAIN_BYTES, TRAIN_ROWS, TOTAL_BYTES, LEAST = 400_000, 400, 32 << 20, 4
+#: Bound of the table of code lengths. The index of states has (byte classes) ^ 3 numbers besides, 68 MB at most.
+TABLE_BYTES = 48 << 20
 ORDER, SLICE = 3, 1 << 20
 #: A text is in a language if it takes no more bits a byte than MARGIN times this quantile of the training
 #: texts, and SLACK bits for short texts.
@@ -69,7 +74,7 @@ class ContextTrees:
                 c[begin + k] = 0
             at = np.flatnonzero(inside)
             context = (c[at - 3] * width + c[at - 2]) * width + c[at - 1]
-            bits = self.bits[self.states[context] * width + c[at]]
+            bits = self.bits[self.states[context].astype(np.int64) * width + c[at]]
             lengths = sizes - ORDER
             first = np.cumsum(lengths) - lengths
             out[rows] = np.add.reduceat(bits, first, axis=0, dtype=np.float64)
@@ -125,19 +130,27 @@ def fit_trees(texts: dict[str, list[bytes]]) -> ContextTrees:
     width = len(seen) + 1
     counts = {(n, k): _followers(classes[joined[n]], k, width) for n in names for k in range(ORDER + 1)}
     # contexts of each order, by code; those with an unseen class stand for a text's start only
-    contexts = [np.zeros(1, np.int64)]
+    contexts, most = [np.zeros(1, np.int64)], [np.full(1, np.iinfo(np.int64).max)]
     for k in range(1, ORDER + 1):
-        found = []
+        found, often = [], []
         for n in names:
             code, times = counts[n, k]
             owner, at = np.unique(code // width, return_index=True)
-            total = np.add.reduceat(times, at) if len(at) else times
-            found.append(owner[total >= LEAST])
-        codes = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+            found.append(owner)
+            often.append(np.add.reduceat(times, at) if len(at) else times)
+        codes, of = np.unique(np.concatenate(found), return_inverse=True)
+        most.append(np.zeros(len(codes), np.int64))
+        np.maximum.at(most[k], of, np.concatenate(often))
         has_zero = np.zeros(len(codes), bool)
         for d in range(k):
             has_zero |= codes // width**d % width == 0
         contexts.append(codes[~has_zero])
+        most[k] = most[k][~has_zero]
+    # a context's ending is as frequent as the context at least: what one threshold leaves is closed
+    room = max(1, TABLE_BYTES // (4 * width * len(names)))
+    ranked = np.sort(np.concatenate(most))[::-1]
+    least = max(LEAST, int(ranked[room]) + 1 if len(ranked) > room else 0)
+    contexts = [c[m >= least] for c, m in zip(contexts, most)]
     first = np.cumsum([0, *(len(c) for c in contexts)])
     probability = np.full((first[-1], width, len(names)), 1 / 256)
     for k, codes in enumerate(contexts):
@@ -159,7 +172,7 @@ def fit_trees(texts: dict[str, list[bytes]]) -> ContextTrees:
             total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
             escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
             probability[rows, :, j] = np.where(table > 0, table / np.maximum(total + distinct, 1), escape * shorter)
-    states = np.zeros(width**ORDER, np.int32)
+    states = np.zeros(width**ORDER, np.uint16 if first[-1] < 1 << 16 else np.int32)
     every = np.arange(width**ORDER)
     for k in range(1, ORDER + 1):
         code = every % width**k
@@ -186,22 +199,35 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_i
     """Train on a bounded sample outside the held-out fold."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (fold != held_out))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold != held_out))
+    known = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").cast("binary").alias("body"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
     if not counts:
         return fit_trees({})
-    # about TRAIN_ROWS ids of each language, by hash; their number is bounded by the limit
-    rate = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, TRAIN_ROWS / r.n)))))
-    hashed = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.coalesce(rate[F.col(lang_col)], F.lit(0.0)) * 1_000_000
-    chosen = [r.id for r in known.filter(hashed).select(F.col(id_col).cast("long").alias("id"), lang_col).orderBy(F.xxhash64("id")).limit(2 * TRAIN_ROWS * len(counts)).select("id").collect()]
-    ids = spark.createDataFrame([(i,) for i in chosen], "id long")
-    sample = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("body")).filter("body is not null")
+    budget = max(1, min(TRAIN_BYTES, TOTAL_BYTES // len(counts)))
+    # about TRAIN_ROWS ids of each language, by hash
+    rates = spark.createDataFrame([(r.lang, min(1.0, TRAIN_ROWS / r.n)) for r in counts], "lang string, rate double")
+    hashed = known.select("id", "lang", F.octet_length("body").alias("size"), (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000).alias("place"))
+    chosen = hashed.join(F.broadcast(rates), "lang").filter("place < rate and size > 0").orderBy("place", "id", "size").limit(2 * TRAIN_ROWS * len(counts)).select("id", "lang", "size").collect()
+    missed = [r.lang for r in counts if r.lang not in {c.lang for c in chosen}]  # the hash took none of a rare language's
+    if missed:
+        first = hashed.filter(F.col("lang").isin(missed) & (F.col("size") > 0)).groupBy("lang").agg(F.min(F.struct("place", "id", "size")).alias("f"))
+        chosen += first.select("f.id", "lang", "f.size").collect()
+    used = dict.fromkeys((r.lang for r in counts), 0)
+    parts: list[tuple[int, str, int]] = []
+    for r in chosen:
+        take = min(r.size, budget - used[r.lang])
+        if take > 0:
+            used[r.lang] += take
+            parts.append((r.id, r.lang, take))
+    wanted = spark.createDataFrame(parts, "id long, lang string, take int").groupBy("id", "lang").agg(F.max("take").alias("take"))
+    sample = known.join(F.broadcast(wanted), ["id", "lang"]).select("id", "lang", F.expr("substring(body, 1, take)").alias("body"))
     texts: dict[str, list[bytes]] = {r.lang: [] for r in counts}
     used = dict.fromkeys(texts, 0)
-    for r in sorted(sample.join(F.broadcast(ids), "id", "left_semi").toLocalIterator(), key=lambda r: (r.id, bytes(r.body))):
-        if r.lang in used and used[r.lang] + len(r.body) <= TRAIN_BYTES:
-            texts[r.lang].append(bytes(r.body))
-            used[r.lang] += len(r.body)
+    for r in sorted(sample.toLocalIterator(), key=lambda r: (r.id, bytes(r.body))):
+        if used[r.lang] < budget:  # rows may share an id
+            texts[r.lang].append(bytes(r.body)[: budget - used[r.lang]])
+            used[r.lang] += len(texts[r.lang][-1])
     texts = {n: t for n, t in texts.items() if t}
     return with_limits(fit_trees(texts), texts)
 
@@ -222,7 +248,9 @@ def identify_language(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col
 
 
 def _share(docs: DataFrame, trees: ContextTrees):
-    """The folded trees, a few MB whatever the input, for the workers."""
+    """The folded trees for the workers, of bounded size whatever the input."""
+    if trees.bits.nbytes > max(TABLE_BYTES, 4 * trees.bits.shape[1] * 257):
+        raise ValueError("the table of code lengths is larger than its bound")
     values = (trees.languages, trees.classes.astype(np.int32), trees.states, trees.bits, trees.limits)
     return docs.sparkSession.sparkContext.broadcast(values), uuid.uuid4().hex
 

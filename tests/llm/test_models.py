@@ -143,6 +143,35 @@ def test_language_edges(odd, none, tongues):
     assert language.with_language(none).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages, one with a single text of 1 MB and one rare; the table keeps its bound."""
+    rng = random.Random(12)
+    letters = [chr(0x100 + k) for k in range(600)]
+    stocks = ["".join(rng.choice(letters) if i % 6 else " " for i in range(80)) for _ in range(70)]
+    rows = [(100 * k + i, words(rng, 30, stocks[k]), f"l{k}", "s", 1) for k in range(70) for i in range(1, 9 if k else 99)]
+    a, b = [i for i in range(90_000, 90_100) if zlib.crc32(str(i).encode()) % 5][:2]
+    rows += [(a, words(rng, 200_000, "zo zu za zy"), "long", "s", 1), (b, words(rng, 4, "qa qe qo"), "rare", "s", 1)]
+    assert {r[2] for r in rows} == {f"l{k}" for k in range(70)} | {"long", "rare"}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    trees = language.fit(df)
+    assert len(trees.languages) == 72 and trees.bits.nbytes <= language.TABLE_BYTES
+    tests = [(k, words(rng, 20, stocks[k]), None) for k in range(70)] + [(70, words(rng, 20, "zo zu za zy"), None), (71, "qas qeing qoed", None)]
+    got = {r.doc_id: r.lang_pred for r in language.identify_language(spark.createDataFrame(tests, "doc_id long, text string, lang string"), trees=trees).collect()}
+    assert got == {k: f"l{k}" for k in range(70)} | {70: "long", 71: "rare"}
+
+
+def test_a_small_table_is_closed_under_shorter_contexts(monkeypatch):
+    rng = random.Random(3)
+    texts = {"a": [words(rng, 400).encode()], "b": [words(rng, 400, STOCK["fr"]).encode()]}
+    free = language.fit_trees(texts)
+    monkeypatch.setattr(language, "TABLE_BYTES", 40_000)
+    small = language.fit_trees(texts)
+    assert small.bits.nbytes <= 40_000 < free.bits.nbytes
+    width = int(small.classes.max()) + 1
+    assert np.allclose(np.exp2(-small.bits.astype(np.float64)).reshape(-1, width, 2)[:, 1:].sum(1), 1, atol=0.9)
+    assert small.predict([words(rng, 20).encode(), words(rng, 20, STOCK["fr"]).encode()])[0] == ["a", "b"]
+
+
 def test_unlearned_languages_and_gibberish_go(spark, tongues):
     rng = random.Random(5)
     strange = ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3, "人人生而自由,在尊严和权利上一律平等。" * 5, *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(300)) for _ in range(20))]
