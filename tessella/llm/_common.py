@@ -19,17 +19,33 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+#: Folders of applications on one machine whose session names none.
+_OWN_ROOTS: dict[str, str] = {}
+
+
 def work_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediates; a temporary one only where none is configured."""
+    """The shared folder for written intermediates: ``spark.checkpoint.dir``.
+
+    Where it isn't set, a session on one machine gets a temporary folder; on a cluster, where executors
+    would each write to a disk of their own, it is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN_ROOTS:
+        _OWN_ROOTS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    return _OWN_ROOTS[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_root(spark)}/tessella-{name}-{uuid.uuid4().hex}"
+    """A path of its own in the work folder; what is there goes when the application ends."""
+    path = f"{work_root(spark)}/tessella-{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:

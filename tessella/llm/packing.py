@@ -6,9 +6,11 @@ the sum of N(g)^2 over all gaps becomes smallest; a new sequence opens only when
 come in falling length, which keeps the rule's result within a fraction of a percent of the bound.
 
 Distribution: only piece sizes are shuffled, never ids. Pieces are dealt by hash into buckets of about
-``BUCKET`` pieces, each packed alone; what stands in sequences that stayed under ``KEEP`` full is
-packed again with fewer buckets until one bucket is left, so each round is smaller by a large factor
-and no task ever holds more than a bounded bucket. There is no key, so nothing can be hot.
+``BUCKET`` pieces, each packed alone; what stands in sequences that stayed under ``KEEP`` full is dealt
+again into as many buckets as it fills, until one bucket holds it or a round closes less than ``GAIN`` of
+what it got: lengths that nothing completes stay as they are packed. So no task ever holds more than
+about ``BUCKET`` pieces, whatever the lengths. There is no key, so nothing can be hot. A sequence is named
+by the key of its first piece, so two buckets never share a name.
 
 Edge cases: a null or empty text is one piece holding only the end id; repeated rows are packed each
 by itself; an empty table gives an empty result; other columns are ignored; null ids pass through.
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, id_and_text, kept, map_arrow, store
+from ._common import id_and_text, kept, map_arrow, store
 from .tokenizer import ByteBPE
 
-BUCKET, KEEP, FAN = 8_192, 0.97, 32
+BUCKET, KEEP, GAIN = 8_192, 0.97, 0.25
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -91,8 +93,9 @@ def pack_round(items: DataFrame, buckets: int, round_no: int, capacity: int) ->
         pdf = pdf.sort_values("key", kind="stable")
         seq, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
         level = np.bincount(seq, weights=pdf["length"].to_numpy())
-        where = (int(pdf["bucket"].iloc[0]) + 1) * (1 << 20) + seq
-        return pd.DataFrame({"key": pdf["key"], "length": pdf["length"], "seq": where * 64 + round_no, "offset": offset, "closed": level[seq] >= keep})
+        name = np.empty(len(level), np.int64)
+        name[seq[offset == 0]] = pdf["key"].to_numpy()[offset == 0]
+        return pd.DataFrame({"key": pdf["key"], "length": pdf["length"], "seq": name[seq], "offset": offset, "closed": level[seq] >= keep})
 
     dealt = items.select("key", "length", F.pmod(F.xxhash64("key", F.lit(round_no)), F.lit(buckets)).alias("bucket"))
     return dealt.groupBy("bucket").applyInPandas(pack, "key long, length long, seq long, offset long, closed boolean")
@@ -100,19 +103,18 @@ def pack_round(items: DataFrame, buckets: int, round_no: int, capacity: int) ->
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """``pieces`` (with length at most ``capacity``) plus sequence_id and offset, gapless in each."""
-    spark = pieces.sparkSession
     kept_pieces, _ = store(pieces.withColumn("key", F.monotonically_increasing_id()), "pieces")
-    whole = kept_pieces.filter(F.col("length") == capacity).select("key", (-F.col("key") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = kept_pieces.filter(F.col("length") == capacity).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = kept_pieces.filter(F.col("length") < capacity).select("key", "length")
-    buckets = max(1, -(-items.count() // BUCKET))
-    placed, last, round_no = whole, None, 0
-    while True:
-        done, path = store(pack_round(items, buckets, round_no, capacity), "packed")
-        final = done if buckets == 1 else done.filter("closed")
+    left, round_no = items.count(), 0
+    while left:
+        buckets = -(-left // BUCKET)
+        done, _ = store(pack_round(items, buckets, round_no, capacity), "packed")
+        still = done.filter("not closed").count()
+        last = buckets == 1 or still > (1 - GAIN) * left
+        final = done if last else done.filter("closed")
         placed = placed.unionByName(final.select("key", F.col("seq").alias("sequence_id"), "offset"))
-        if buckets == 1:
-            break
-        items, buckets, round_no = done.filter("not closed").select("key", "length"), -(-buckets // FAN), round_no + 1
+        items, left, round_no = done.filter("not closed").select("key", "length"), 0 if last else still, round_no + 1
     return kept_pieces.join(placed, "key").drop("key")
 
 

@@ -98,6 +98,32 @@ def test_rounds_over_several_buckets(spark, monkeypatch):
     assert len(levels) <= 1.06 * -(-sum(levels.values()) // 100)
 
 
+def test_lengths_that_nothing_completes_stay_in_their_buckets(spark, monkeypatch):
+    """All lengths over half: no round can close anything, and no task gets more than about a bucket."""
+    monkeypatch.setattr(packing, "BUCKET", 50)
+    sizes = []
+    plain = packing.pack_round
+    monkeypatch.setattr(packing, "pack_round", lambda items, buckets, *a: sizes.append((items.count(), buckets)) or plain(items, buckets, *a))
+    rng = random.Random(4)
+    pieces = spark.createDataFrame([(i, 0, 0, rng.randrange(520, 901), 0) for i in range(2000)], packing.PIECE)
+    rows = packing.pack(pieces, 1024).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) == 2000 and {r.offset for r in rows} == {0}
+    assert sizes == [(2000, 40)]
+
+
+def test_rounds_use_buckets_of_what_is_left(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 40)
+    sizes = []
+    plain = packing.pack_round
+    monkeypatch.setattr(packing, "pack_round", lambda items, buckets, *a: sizes.append((items.count(), buckets)) or plain(items, buckets, *a))
+    rng = random.Random(6)
+    pieces = spark.createDataFrame([(i, 0, 0, rng.randrange(1, 101), 0) for i in range(3000)], packing.PIECE)
+    rows = packing.pack(pieces, 100).collect()
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all((b[1] == a[1] + a[2] if a[0] == b[0] else b[1] == 0) for a, b in zip(places, places[1:])) and places[0][1] == 0
+    assert len(sizes) > 1 and all(b == -(-n // 40) for n, b in sizes)
+
+
 def test_sum_of_squares_by_hand():
     # 6 and 5 don't fit together; 4 may go to gap 4 (closing it) or gap 5: closing leaves the smaller sum
     seq, offset = packing.sum_of_squares(np.array([6, 5, 4]), 10)
