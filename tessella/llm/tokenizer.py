@@ -1,7 +1,8 @@
 """Byte-level BPE from a tokenizer file, through the tiktoken library.
 
-The file's vocabulary ids are also the merge ranks, so one rank table built from the JSON gives the
-ids that the ``tokenizers`` library gives (held to it in tests/llm). Tokenizers are never trained.
+Where the file's vocabulary ids rise along its merge list, as is checked, they are also the merge ranks,
+so one rank table built from the JSON gives the ids that the ``tokenizers`` library gives (held to it in
+tests/llm). Files that need more than that are refused. Tokenizers are never trained.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ class ByteBPE:
         pre = spec["pre_tokenizer"]
         if spec["model"]["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"]:
             raise ValueError("a byte-level BPE file without normalizer and prefix space is needed")
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec["added_tokens"]):
+            raise ValueError("added tokens that take white space or whole words only are not supported")
+        vocabulary = spec["model"]["vocab"]
+        merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        if None in merged or any(a >= b for a, b in zip(merged, merged[1:])):
+            raise ValueError("the vocabulary's ids don't follow the merge list")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}

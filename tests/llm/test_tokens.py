@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
@@ -11,6 +12,7 @@ import pytest
 from helpers import SF
 from tessella.llm import packing, sentencepiece_codec, token_counts
 from tessella.llm._common import BoundedCache
+from tessella.llm.tokenizer import ByteBPE
 from tokenizers import Tokenizer
 
 FILE, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -40,6 +42,26 @@ def test_the_table_is_bounded_and_frequent(spark):
     assert sorted(token_counts.frequent_words(df, 3)) == ["common", "here", "words"]
 
 
+def test_the_compact_table_finds_what_it_holds():
+    rng = random.Random(7)
+    entries = {"".join(rng.choice("abé ▁") for _ in range(rng.randrange(0, 9))): rng.randrange(1, 300) for _ in range(5_000)}
+    table = token_counts.LengthTable(entries)
+    assert all(table.get(k) == v for k, v in entries.items())
+    assert all(table.get(k + "!") == 0 for k in entries)
+    assert table.nbytes() < 40 * len(entries) and token_counts.LengthTable({}).get("a") == 0
+
+
+def test_files_that_rank_otherwise_are_refused():
+    with open(FILE) as f:
+        spec = json.load(f)
+    ByteBPE(json.dumps(spec).encode())
+    for change in (lambda s: s["model"]["merges"].reverse(), lambda s: s["added_tokens"][0].update(lstrip=True), lambda s: s["pre_tokenizer"].update(add_prefix_space=True)):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        with pytest.raises(ValueError):
+            ByteBPE(json.dumps(other).encode())
+
+
 def test_cache_keeps_what_is_used():
     made = []
     cache = BoundedCache(lambda k: made.append(k) or k * 2, {0: "base"}, limit=10)
