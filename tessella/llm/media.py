@@ -2,19 +2,22 @@
 
 A text becomes a payload (UTF-8, zero bytes appended to a positive multiple of ``WIDTH``) and is
 stored as an 8-bit grey PNG of that width, one sample a byte. Each task appends its images to tar
-shards under names ``<sha256 of the image>.png``; an image that its shard already has isn't stored
-again, and rows only carry (shard, digest, offset, length). After a shard is closed, the metadata
-columns (width, height, bit depth) come from range reads of the image headers alone, and the features
-from reading whole stored images back.
-
-Scale and recovery: there is no shuffle; a task holds one open shard buffer of ``SHARD_BYTES`` at
-most plus one text. Shards lie under the shared work folder, in any store pyarrow knows by URI, and
-have names of their own for every attempt: only rows of the successful attempt refer to them, so
-retries and speculative copies do no harm. The index is written once; reading it again stores nothing.
-
-Edge cases: null and empty texts become one row of 64 zero samples; equal texts get equal values
-everywhere but in ``shard`` and ``offset``; very long texts are one tall image; an empty table writes
-no shard; other columns are ignored.
+shards under names ``<sha256 of the image>.png``; rows only carry (shard, digest, offset, length).
+Equal payloads are stored once over all tasks: a first pass over the payloads' digests finds those that
+several rows have, the row with the smallest id stores the image and the others take its place in the
+store. After a shard is closed, the metadata columns (width, height, bit depth) come from range reads of
+the image headers alone, and the features from reading whole stored images back.
+
+Scale and recovery: digests are shuffled, texts aren't, unless more than ``BROADCAST_COPIES`` different
+payloads repeat; then texts meet their digests by a join. Digests of a large share of all rows are looked
+up in a broadcast of bounded size. A task holds one open shard buffer of ``SHARD_BYTES`` at most plus one
+text. Shards lie under the shared work folder, in any store pyarrow knows by URI, and have names of their
+own for every attempt: only rows of the successful attempt refer to them, so retries and speculative
+copies do no harm. The index is written once; reading it again stores nothing.
+
+Edge cases: null and empty texts become one row of 64 zero samples; equal texts get equal values; rows
+that share id and text, or copies without any id, may be stored once a shard; very long texts are one
+tall image; an empty table writes no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +34,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import id_and_bytes, new_folder, store
+from ._common import id_and_bytes, join_on_hot_keys, new_folder, store
 
 WIDTH, SHARD_BYTES, LEVEL = 64, 16 << 20, 4
+#: Digests of repeated payloads are broadcast up to this many (48 bytes each).
+BROADCAST_COPIES = 100_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of an image that its metadata needs: signature and IHDR chunk.
 HEADER = 33
@@ -155,4 +161,16 @@ def media_index(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in INDEX.split(", ")])
-    return store(id_and_bytes(docs).mapInArrow(run, INDEX), "media-index")[0]
+    body, size = F.col("body"), F.octet_length("body")
+    padding = F.unhex(F.repeat(F.lit("00"), F.when(size == 0, WIDTH).otherwise(F.pmod(-size, F.lit(WIDTH))).cast("int")))
+    rows = id_and_bytes(docs).withColumn("key", F.unhex(F.sha2(F.concat(body, padding), 256)))
+    keys, _ = store(rows.select("doc_id", size.cast("long").alias("n_bytes"), "key"), "media-keys")
+    copies, _ = store(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).filter("n > 1"), "media-copies")
+    of_key = copies.select("key", "owner", F.lit(True).alias("repeated"))
+    owned = rows.join(F.broadcast(of_key) if of_key.count() <= BROADCAST_COPIES else of_key, "key", "left").filter(F.col("repeated").isNull() | F.col("doc_id").eqNullSafe(F.col("owner")))
+    stored, _ = store(owned.select("doc_id", "body").mapInArrow(run, INDEX), "media-stored")
+    # the other rows take the place of their owner's image
+    others = join_on_hot_keys(keys, copies, "key").filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).drop("owner")
+    places = stored.drop("doc_id", "n_bytes").withColumn("key", F.unhex("payload_sha256")).join(copies.select("key", "n"), "key").dropDuplicates(["key"])
+    shared = join_on_hot_keys(others, store(places, "media-places")[0], "key")
+    return store(stored.unionByName(shared.select(stored.columns)), "media-index")[0]

@@ -45,7 +45,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = media_index(_table(spark, sf_dir, "documents"))
-    return index.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth")
+    return index.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "digest", "offset", "length", "width", "height", "bit_depth")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow.fs as pafs
 import pytest
 from helpers import SF, words
-from tessella.llm import html_extract, media, quality
+from tessella.llm import _common, html_extract, media, quality
 from tessella.llm._common import new_folder
 
 
@@ -40,9 +40,25 @@ def test_media_round_trip(spark, odd, none):
         equal: dict = {}
         for r in rows:
             assert equal.setdefault(r.payload_sha256, (r.media_sha256, r.media_bytes, r.feature)) == (r.media_sha256, r.media_bytes, r.feature)
+        with_id = [r for r in rows if r.doc_id != 6]  # two rows share that id and text
+        assert len({(r.digest, r.shard, r.offset) for r in with_id}) == len({r.digest for r in with_id})
     assert media.media_index(none).count() == 0
 
 
+@pytest.mark.parametrize(("limit", "hot"), [(100_000, 1_000), (0, 1_000), (0, 2)])
+def test_equal_payloads_are_stored_once_over_all_tasks(spark, monkeypatch, limit, hot):
+    monkeypatch.setattr(media, "BROADCAST_COPIES", limit)
+    monkeypatch.setattr(_common, "HOT_ROWS", hot)
+    rows = [(i, "copy" if i % 3 else f"own {i}") for i in range(60)] + [(100, "a"), (101, "a\x00"), (None, "copy"), (None, "own 3")]
+    folder = new_folder(spark, "test-media")
+    got = media.media_index(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), folder).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted((str(i), len(t)) for i, t in rows)
+    fs, root = pafs.FileSystem.from_uri(folder)
+    names = [m for f in fs.get_file_info(pafs.FileSelector(root)) for m in tarfile.open(fileobj=fs.open_input_file(f.path)).getnames()]
+    assert len(names) == len(set(names)) == 22 and {n[:-4] for n in names} == {r.digest for r in got}
+    assert len({(r.digest, r.shard, r.offset) for r in got}) == 22
+
+
 def test_media_reads_again_the_same(spark):
     index = media.media_index(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string"))
     assert index.collect() == index.collect()
