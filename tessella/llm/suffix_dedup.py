@@ -1,29 +1,36 @@
 """Exact removal of repeated byte strings by a logarithmic family of suffix arrays.
 
-A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document with a smaller
-id, judged on the input; matches never cross documents.
+A byte goes if it lies in a string of ``LENGTH`` bytes (a window) that also starts in a document with a
+smaller id, judged on the input; matches never cross documents.
 
-How it is spread. Every window (string of ``LENGTH`` bytes) belongs to the smallest hash among its
-``GRAM``-byte strings, so equal windows meet in the shard of that hash wherever they stand. Runs of
-neighbouring windows with one hash travel as one segment, about four bytes a window.
+How it is spread. Every window belongs to the smallest hash among its ``GRAM``-byte strings, so equal
+windows meet in the shard of that hash wherever they stand, and neighbouring windows mostly travel as one
+piece of text. A hash that stands for more than ``HOT_WINDOWS`` windows is split: its windows are dealt by
+the hash of all their bytes. The number of shards follows from the bytes written, so a shard is of one
+size whatever the input.
 
 1. Documents are written as compressed blocks of about ``BLOCK_BYTES`` in the shared folder.
 2. Each block sends its distinct hashes (32 bits each) to their shards, which answer with a bit for
    each: does the hash stand in another document? The rest of the text is done: it can't repeat.
-3. Blocks send the segments of repeated hashes, each distinct one once with its smallest document id.
-   What a phase can derive from a block again is not stored.
-4. In a shard, segments come in batches. A batch gets a suffix array of its windows; levels of equal
-   size merge geometrically, and the merge-scan of sorted neighbours finds matches of full length
-   and the smallest document of each. Hashes with one distinct segment match as a whole.
-5. Blocks get the owners back and cut out every window that a smaller document owns.
+3. The other windows of a block are a batch with a suffix array: positions in the block's text, ranked by
+   prefix doubling up to ``LENGTH`` bytes. The block sends the text of each distinct window once, with the
+   smallest id of its documents. What a phase can derive from a block again is not stored.
+4. In a shard a ``SuffixFamily`` takes the batches: each gets its suffix array (positions in the shard's
+   text), levels of equal size merge geometrically, and the merge-scan of neighbouring suffixes finds
+   matches of full length and the smallest document of each. Every candidate window goes this way.
+5. Blocks get the smaller owners back and cut out every window that a smaller document owns.
+
+With a folder for ``index``, the family is kept: a later call's documents send every window (anything may
+repeat something earlier), meet the stored levels of their shard by a merge-scan, and become a level of
+their own, which takes up stored levels that aren't larger. Documents of earlier calls are not cut again.
 
 Blocks deduplicate before they send, so a passage that stands in a third of all documents reaches its
 shard once a block, not once a document; nothing is collected on the driver, and every phase is
 written before the next reads it. Hash collisions only add candidates: matches compare whole bytes.
 
-Edge cases: null and empty texts and texts shorter than ``LENGTH`` keep all bytes; a null id counts
-as larger than every other; rows with equal ids never remove from each other; very long texts make a
-block of their own; an empty table gives an empty result; other columns are ignored.
+Edge cases: null and empty texts and texts shorter than ``LENGTH`` keep all bytes; a null id counts as
+the largest number; rows with equal ids never remove from each other; very long texts make a block of
+their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,17 +45,20 @@ import pyarrow.compute
 import pyarrow.ipc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import shuffle_width, small_batches, store
+from ._common import small_batches, store
 
 LENGTH, GRAM = 50, 20
-BLOCK_BYTES, SLICE, SHARDS_A_PARTITION, BATCH_WINDOWS = 8 << 20, 1 << 17, 2, 1 << 16
+BLOCK_BYTES, SLICE, BATCH_WINDOWS, HOT_WINDOWS = 4 << 20, 1 << 17, 1 << 18, 1 << 18
+#: Bytes of documents for each task that holds shards, and shards a task.
+PART_BYTES, SHARDS_A_PART = 8 << 20, 4
 NO_ID = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -126,25 +136,25 @@ class Block:
         first = np.flatnonzero(new)
         return start[first], stop[np.append(first[1:], len(start)) - 1] - start[first], h[first], doc[first]
 
-    def distinct_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The segments' distinct hashes, sorted, and whether each stands in two documents here."""
-        _, _, h, doc = self.segments()
+    def distinct_hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The segments' distinct hashes, sorted, whether each stands in two documents here, and its windows."""
+        _, count, h, doc = self.segments()
         names, first, of = np.unique(h, return_index=True, return_inverse=True)
         twice = np.zeros(len(names), bool)
         twice[of[self.ids[doc] != self.ids[doc[first]][of]]] = True
-        return names, twice
+        return names, twice, np.bincount(of, weights=count, minlength=len(names)).astype(np.int64)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """(block, ids, ends, data, rest): documents in compressed blocks, numbered by task and order.
+    """(block, size, ids, unnamed, ends, data, rest): documents in compressed blocks, numbered by task and order.
 
-    ``rest`` holds the columns of ``carry`` in Arrow's stream format.
+    ``unnamed`` has a bit for each null id; ``rest`` holds the columns of ``carry`` in Arrow's stream format.
     """
     rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), *(F.col(c) for c in carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids: list[int] = []
+        ids: list[int | None] = []
         bodies: list[bytes] = []
         parts: list[pa.RecordBatch] = []
         size = 0
@@ -158,14 +168,15 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
                 with pa.ipc.new_stream(out, table.schema) as stream:
                     stream.write_table(table)
                 rest = _squeeze(out.getvalue().to_pybytes())
-            row = [[number], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [_squeeze(b"".join(bodies))], [rest]]
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(r, pa.binary()) for r in row[1:])], ["block", "ids", "ends", "data", "rest"])
+            unnamed = np.array([i is None for i in ids])
+            row = [np.array([NO_ID if i is None else i for i in ids], np.int64).tobytes(), np.packbits(unnamed).tobytes(), ends.tobytes(), _squeeze(b"".join(bodies)), rest]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), *(pa.array([r], pa.binary()) for r in row)], names)
 
         for batch in batches:
             begin = 0
             others = pa.RecordBatch.from_arrays(batch.columns[2:], carry) if carry else None
             for i, (doc, body) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                ids.append(NO_ID if doc is None else doc)
+                ids.append(doc)
                 bodies.append(body.as_py())
                 size += len(bodies[-1])
                 if size >= BLOCK_BYTES or i + 1 == batch.num_rows:
@@ -178,7 +189,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Dat
         if ids:
             yield close()
 
-    return rows.mapInArrow(run, "block long, ids binary, ends binary, data binary, rest binary")
+    names = ["block", "size", "ids", "unnamed", "ends", "data", "rest"]
+    return rows.mapInArrow(run, "block long, size long, ids binary, unnamed binary, ends binary, data binary, rest binary")
 
 
 def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,9 +205,9 @@ def _send_hashes(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                names, twice = Block(row["ids"], row["ends"], row["data"]).distinct_hashes()
+                names, twice, windows = Block(row["ids"], row["ends"], row["data"]).distinct_hashes()
                 order, present, cut = _by_shard(names, shards)
-                low, flag = (names[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), twice[order]
+                low, flag, count = (names[order] & _LOW).astype(np.uint32), twice[order], np.minimum(windows[order], 65_535).astype(np.uint16)
                 parts = list(zip(present.tolist(), cut[:-1].tolist(), cut[1:].tolist()))
                 if parts:
                     yield pa.RecordBatch.from_arrays(
@@ -204,249 +216,343 @@ def _send_hashes(shards: int):
                             pa.array([row["block"]] * len(parts), pa.int64()),
                             pa.array([low[a:b].tobytes() for _, a, b in parts], pa.binary()),
                             pa.array([np.packbits(flag[a:b]).tobytes() for _, a, b in parts], pa.binary()),
+                            pa.array([count[a:b].tobytes() for _, a, b in parts], pa.binary()),
                         ],
-                        ["shard", "block", "low", "twice"],
+                        ["shard", "block", "low", "twice", "windows"],
                     )
 
     return run
 
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which of each block's hashes stand in another document: bits in the order they were sent."""
+    """Which of each block's hashes stand in another document: bits in the order they were sent, and the hot ones."""
     lows = [np.frombuffer(b, np.uint32) for b in pdf["low"]]
     flags = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(n)).astype(bool) for t, n in zip(pdf["twice"], lows)]
-    every, twice = np.concatenate(lows), np.concatenate(flags)
-    order = np.sort(every)
-    again = np.union1d(order[1:][order[1:] == order[:-1]], every[twice])
-    place = np.searchsorted(again, every)
-    found = again[np.minimum(place, len(again) - 1)] == every if len(again) else np.zeros(len(every), bool)
-    bits = np.split(found, np.cumsum([len(n) for n in lows])[:-1])
+    every, twice, windows = np.concatenate(lows), np.concatenate(flags), np.concatenate([np.frombuffer(w, np.uint16) for w in pdf["windows"]])
+    names, of = np.unique(every, return_inverse=True)
+    again = (np.bincount(of, minlength=len(names)) > 1) | (np.bincount(of, weights=twice, minlength=len(names)) > 0)
+    hot = names[again & (np.bincount(of, weights=windows, minlength=len(names)) > HOT_WINDOWS)]
+    bits = np.split(again[of], np.cumsum([len(n) for n in lows])[:-1])
     some = [b.any() for b in bits]
     out = pdf[["block", "shard"]].copy()
     out["bits"] = [np.packbits(b).tobytes() for b in bits]
+    out["hot"] = hot.tobytes()
     return out[some]
 
 
-def _candidates(block: Block, bits: dict[int, bytes], shards: int) -> Iterator[tuple]:
-    """For each shard asked about: distinct segments, their hashes and smallest documents, and every place.
+def _told(table: pa.Table) -> dict[int, tuple[bytes, bytes]]:
+    return {s: (b, h) for s, b, h in zip(table["shard"].to_pylist(), table["bits"].to_pylist(), table["hot"].to_pylist())}
 
-    Both phases that need it compute it again from the block, in the same order, instead of storing it.
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1].astype(np.uint32)
+
+
+def suffix_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Dense ranks of the windows that start at ``at`` (ascending) in the order of their ``LENGTH`` bytes.
+
+    Prefix doubling from 8 to 16 and 32 bytes over the text that windows cover, and 32 + 18 for the whole.
+    """
+    if not len(at):
+        return np.empty(0, np.uint32)
+    edge = np.zeros(len(data) + 1, np.int32)
+    edge[at] += 1
+    edge[at + LENGTH] -= 1
+    covered = np.cumsum(edge[:-1]) > 0
+    place = (np.cumsum(covered) - 1)[at]
+    text = data[covered]
+    n = len(text) - 7
+    key = np.zeros(n, np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | text[k : k + n]
+    rank, span = _ranks(key), 8
+    while span < 32:
+        key = (rank[:-span].astype(np.uint64) << np.uint64(32)) | rank[span:]
+        rank, span = _ranks(key), span * 2
+    return _ranks((rank[place].astype(np.uint64) << np.uint64(32)) | rank[place + LENGTH - 32])
+
+
+def _ramps(count: np.ndarray) -> np.ndarray:
+    """0, 1, .. of each count, one after the other."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _whole_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of some windows."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(LENGTH):
+        out = (out ^ data[at + k]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Batch:
+    """A block's candidate windows: where they stand, their shards and, by their suffix array, the distinct ones.
+
+    Both phases that need it make it again from the block, in the same order, instead of storing it.
     """
-    start, count, h, doc = block.segments()
-    names, of = np.unique(h, return_inverse=True)
-    order, present, cut = _by_shard(names, shards)
-    marked = np.zeros(len(names), bool)
-    place = {s: i for i, s in enumerate(present.tolist())}
-    for s, packed in bits.items():
-        a, b = cut[place[s]], cut[place[s] + 1]
-        marked[order[a:b]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
-    use = np.flatnonzero(marked[of])
-    start, count, h, doc = start[use], count[use], h[use], doc[use]
-    order, present, cut = _by_shard(h, shards)
-    raw, ids = block.raw, block.ids[doc]
-    for i, s in enumerate(present.tolist()):
-        own = order[cut[i] : cut[i + 1]]
-        at = start[own]
-        seen: dict[bytes, int] = {}
-        of = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(at.tolist(), (at + count[own] + LENGTH - 1).tolist())], np.int64)
-        least = np.full(len(seen), NO_ID)
-        np.minimum.at(least, of, ids[own])
-        grams = np.empty(len(seen), np.uint64)
-        grams[of] = h[own]
-        yield s, list(seen), grams, least, of, at, ids[own]
-
-
-def _bits(table: pa.Table) -> dict[int, bytes]:
-    return dict(zip(table["shard"].to_pylist(), table["bits"].to_pylist()))
-
-
-def _send_segments(shards: int):
-    """Distinct segments of repeated hashes, packed for their shards."""
+
+    def __init__(self, block: Block, told: dict[int, tuple[bytes, bytes]] | None, shards: int):
+        start, count, h, doc = block.segments()
+        names, of = np.unique(h, return_inverse=True)
+        marked, hot = np.full(len(names), told is None), np.zeros(len(names), bool)
+        if told:
+            order, present, cut = _by_shard(names, shards)
+            place = {s: i for i, s in enumerate(present.tolist())}
+            for s, (bits, lows) in told.items():
+                own = order[cut[place[s]] : cut[place[s] + 1]]
+                marked[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+                if lows:
+                    hot[own] = np.isin((names[own] & _LOW).astype(np.uint32), np.frombuffer(lows, np.uint32))
+        use = np.flatnonzero(marked[of])
+        start, count, h, doc, split = start[use], count[use], h[use], doc[use], hot[of[use]]
+        self.block = block
+        self.at = np.repeat(start, count) + _ramps(count)
+        self.ids = np.repeat(block.ids[doc], count)
+        shard = np.repeat((h >> np.uint64(32)) % np.uint64(shards), count).astype(np.int64)
+        alone = np.flatnonzero(np.repeat(split, count))
+        shard[alone] = ((_whole_hashes(block.data, self.at[alone]) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        self.rank = suffix_ranks(block.data, self.at)
+        classes = int(self.rank.max()) + 1 if len(self.rank) else 0
+        self.least = np.full(classes, NO_ID)
+        np.minimum.at(self.least, self.rank, self.ids)
+        first = np.empty(classes, np.int64)
+        first[self.rank[::-1]] = np.arange(len(self.rank))[::-1]  # the last that is written is the first in the text
+        self.sent = np.argsort(shard[first] * len(block.data) + self.at[first], kind="stable")  # classes, by shard and place
+        self.places = self.at[first][self.sent]
+        present, begin = np.unique(shard[first][self.sent], return_index=True)
+        self.parts = list(zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(self.sent)]))
+
+    def message(self, a: int, b: int) -> bytes:
+        """Distinct windows a to b as runs of text and runs of owners."""
+        at, least = self.places[a:b], self.least[self.sent[a:b]]
+        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+        runs = np.diff(np.append(new, b - a)).astype(np.int32)
+        raw = self.block.raw
+        texts = [raw[x : x + n + LENGTH - 1] for x, n in zip(at[new].tolist(), runs.tolist())]
+        return _squeeze(b"".join([np.int32(len(runs)).tobytes(), runs.tobytes(), _pack_owners(least), *texts]))
+
+
+def _pack_owners(owner: np.ndarray) -> bytes:
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return b"".join([np.int32(len(first)).tobytes(), np.diff(np.append(first, len(owner))).astype(np.int32).tobytes(), owner[first].astype(np.int64).tobytes()])
+
+
+def _read_owners(raw: bytes, at: int) -> tuple[np.ndarray, int]:
+    n = int(np.frombuffer(raw, np.int32, 1, at)[0])
+    count, owner = np.frombuffer(raw, np.int32, n, at + 4), np.frombuffer(raw, np.int64, n, at + 4 + 4 * n)
+    return np.repeat(owner, count), at + 4 + 12 * n
+
+
+def _read_message(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, window starts and owners of a message."""
+    raw = _expand(body)
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    runs = np.frombuffer(raw, np.int32, n, 4).astype(np.int64)
+    owner, at = _read_owners(raw, 4 + 4 * n)
+    begin = np.cumsum(runs + LENGTH - 1) - (runs + LENGTH - 1)
+    return np.frombuffer(raw, np.uint8, offset=at), np.repeat(begin, runs) + _ramps(runs), owner
+
+
+def _send_windows(shards: int, filtered: bool):
+    """Distinct candidate windows, packed for their shards."""
     schema = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("body", pa.binary())])
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        row = left.to_pylist()[0]
-        out: list[tuple] = []
-        for s, texts, grams, least, *_ in _candidates(Block(row["ids"], row["ends"], row["data"]), _bits(right), shards):
-            sizes = np.array([len(t) for t in texts], np.int32)
-            out.append((row["block"], s, _squeeze(b"".join([np.int32(len(texts)).tobytes(), sizes.tobytes(), grams.tobytes(), least.tobytes(), *texts]))))
+    def one(row: dict, told: dict | None) -> pa.Table:
+        batch = Batch(Block(row["ids"], row["ends"], row["data"]), told, shards)
+        out = [(row["block"], s, batch.message(a, b)) for s, a, b in batch.parts]
         cols = list(zip(*out)) if out else [()] * 3
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    return run
+    def cogrouped(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        return one(left.to_pylist()[0], _told(right)) if left.num_rows and right.num_rows else schema.empty_table()
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from one(row, None).to_batches()
+
+    return cogrouped if filtered else every
 
 
 class SuffixFamily:
     """Suffix arrays over windows of ``LENGTH`` bytes, in levels that merge when sizes are equal.
 
-    ``add`` gives a batch its suffix array and carries it up the levels; ``owners`` merges what is
-    left and returns, for every window added, the smallest owner among equal windows.
+    A level is (suffixes, owners, batches): window starts in ``data`` in the order of their bytes, the
+    smallest owner among equal windows, and the numbers of the batches in it.
     """
 
     def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.total = 0
+        self.data = np.empty(0, np.uint8)
+        self.levels: list[tuple[np.ndarray, np.ndarray, tuple[int, ...]]] = []
 
-    @staticmethod
-    def _merge(a: tuple, b: tuple) -> tuple:
-        """Merge-scan of two levels: sorted neighbours that match in full length share an owner."""
-        keys, ids, owner = (np.concatenate(x) for x in zip(a, b))
-        order = np.argsort(keys, kind="stable")  # two sorted runs: a linear merge
-        keys, ids, owner = keys[order], ids[order], owner[order]
-        return keys, ids, SuffixFamily._share(keys, owner)
+    def _windows(self, suffixes: np.ndarray) -> np.ndarray:
+        """The bytes that some suffixes start with, only while levels are compared."""
+        if not len(suffixes):
+            return np.empty(0, f"S{LENGTH}")
+        view = np.lib.stride_tricks.sliding_window_view(self.data, LENGTH)[suffixes]
+        return np.ascontiguousarray(view).view(f"S{LENGTH}").ravel()
 
     @staticmethod
-    def _share(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
+    def _share(new: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The smallest owner of each run; ``new`` marks where runs begin."""
         first = np.flatnonzero(new)
-        return np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(keys))))
-
-    def add(self, windows: np.ndarray, owner: np.ndarray) -> None:
-        """``windows``: bytes of fixed width; ``owner``: the document id of each."""
-        if not len(windows):
-            return
-        order = np.argsort(windows, kind="stable")
-        level = (windows[order], self.total + order, self._share(windows[order], owner[order]))
-        self.total += len(windows)
+        return np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(owner)))) if len(first) else owner
+
+    def _merge(self, a: tuple, b: tuple) -> tuple:
+        """Merge-scan of two levels: sorted neighbours that match in full length share an owner."""
+        suffixes, owner = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        windows = np.concatenate([self._windows(a[0]), self._windows(b[0])])
+        order = np.argsort(windows, kind="stable")  # two sorted runs: a linear merge
+        windows = windows[order]
+        new = np.ones(len(windows), bool)
+        new[1:] = windows[1:] != windows[:-1]
+        return suffixes[order], self._share(new, owner[order]), (*a[2], *b[2])
+
+    def put(self, data: np.ndarray, suffixes: np.ndarray, owner: np.ndarray, batches: tuple[int, ...]) -> None:
+        """A level as it is, over a text of its own."""
+        self.levels.append((suffixes + len(self.data), owner, batches))
+        self.data = np.concatenate([self.data, data])
+
+    def level(self, data: np.ndarray, at: np.ndarray, owner: np.ndarray, number: int = 0) -> tuple:
+        """A batch's suffix array: windows of ``data`` that start at ``at``, in text order, and their owners."""
+        rank = suffix_ranks(data, at)
+        order = np.argsort(rank, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = rank[order][1:] != rank[order][:-1]
+        level = (at[order] + len(self.data), self._share(new, owner[order]), (number,))
+        self.data = np.concatenate([self.data, data])
+        return level
+
+    def matches(self, level: tuple) -> np.ndarray:
+        """The smallest owner of each of the level's windows, in it and in every level of the family."""
+        least, windows = level[1].copy(), self._windows(level[0])
+        for suffixes, owner, _ in self.levels:
+            own = self._windows(suffixes)
+            at = np.minimum(np.searchsorted(own, windows), len(own) - 1)
+            same = own[at] == windows
+            least[same] = np.minimum(least[same], owner[at[same]])
+        return least
+
+    def add(self, level: tuple) -> None:
         while self.levels and len(self.levels[-1][0]) <= len(level[0]):
             level = self._merge(self.levels.pop(), level)
         self.levels.append(level)
 
-    def owners(self) -> np.ndarray:
-        out = np.empty(self.total, np.int64)
-        if self.levels:
-            level = self.levels.pop()
-            while self.levels:
-                level = self._merge(self.levels.pop(), level)
-            out[level[1]] = level[2]
-            self.levels = [level]
-        return out
-
-
-def _windows(texts: list[bytes]) -> np.ndarray:
-    """All windows of the texts, in order, as an array of fixed-width byte strings."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    n = sizes - LENGTH + 1
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(first, n)
-    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
-    return np.ascontiguousarray(view).view(f"V{LENGTH}").view(f"S{LENGTH}").ravel()
+    def owners(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every window's start, ascending, and the smallest owner among equal windows of all levels."""
+        if not self.levels:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        while len(self.levels) > 1:
+            a = self.levels.pop()
+            self.levels.append(self._merge(self.levels.pop(), a))
+        order = np.argsort(self.levels[0][0], kind="stable")
+        return self.levels[0][0][order], self.levels[0][1][order]
+
+
+_MESSAGES = "block long, shard long, body binary"
+
+
+def _answers(sent: list[tuple[int, np.ndarray]], owner: np.ndarray, shard: int) -> list[tuple[int, int, bytes]]:
+    """Owners for each block whose windows have a smaller one elsewhere."""
+    out, at = [], 0
+    for block, least in sent:
+        found = owner[at : at + len(least)]
+        at += len(least)
+        if (found < least).any():
+            out.append((block, shard, _squeeze(_pack_owners(found))))
+    return out
 
 
 def _own(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The owners of a shard's segments, to each block that sent some: see ``_answer``."""
+    """The owners of a shard's windows, to each block that sent some."""
     pdf = pdf.sort_values("block")
-    seen: dict[bytes, int] = {}
-    least: list[int] = []
-    gram: list[int] = []
-    sent: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for number, body in zip(pdf["block"].tolist(), pdf["body"]):
-        raw = _expand(body)
-        n = int(np.frombuffer(raw, np.int32, 1)[0])
-        sizes = np.frombuffer(raw, np.int32, n, 4)
-        grams = np.frombuffer(raw, np.uint64, n, 4 + 4 * n).tolist()
-        docs = np.frombuffer(raw, np.int64, n, 4 + 12 * n)
-        ends = (4 + 20 * n + np.cumsum(sizes)).tolist()
-        of = np.empty(n, np.int64)
-        for i, (end, size, doc) in enumerate(zip(ends, sizes.tolist(), docs.tolist())):
-            text = raw[end - size : end]
-            k = seen.setdefault(text, len(seen))
-            if k == len(least):
-                least.append(doc)
-                gram.append(grams[i])
-            elif doc < least[k]:
-                least[k] = doc
-            of[i] = k
-        sent.append((number, of, docs))
-    texts = list(seen)
-    owner, grams = np.array(least, np.int64), np.array(gram, np.uint64)
-    order = np.argsort(grams, kind="stable")
-    g = grams[order]
-    alike = np.zeros(len(g), bool)
-    alike[1:] |= g[1:] == g[:-1]
-    alike[:-1] |= g[1:] == g[:-1]
-    shared = np.sort(order[alike])  # segments that share their hash with other segments
-    counts = np.array([len(texts[i]) - LENGTH + 1 for i in shared], np.int64)
     family = SuffixFamily()
-    at = 0
-    sums = np.cumsum(counts)
-    while at < len(shared):  # batches of about BATCH_WINDOWS windows, in the order they came
-        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + BATCH_WINDOWS, side="right")))
-        family.add(_windows([texts[i] for i in shared[at:stop]]), np.repeat(owner[shared[at:stop]], counts[at:stop]))
-        at = stop
-    by_window = family.owners()
-    # runs of equal owners: (segment, windows, owner)
-    whole = np.setdiff1d(np.arange(len(texts)), shared)
-    seg = np.repeat(shared, counts)
-    new = np.ones(len(seg), bool)
-    new[1:] = (seg[1:] != seg[:-1]) | (by_window[1:] != by_window[:-1])
-    first = np.flatnonzero(new)
-    run_seg = np.concatenate([whole, seg[first]])
-    run_len = np.concatenate([np.array([len(texts[i]) - LENGTH + 1 for i in whole], np.int64), np.diff(np.append(first, len(seg)))])
-    run_own = np.concatenate([owner[whole], by_window[first]])
-    order = np.argsort(run_seg, kind="stable")
-    run_seg, run_len, run_own = run_seg[order], run_len[order], run_own[order]
-    begin = np.searchsorted(run_seg, np.arange(len(texts)))
-    runs = np.diff(np.append(begin, len(run_seg)))
-    best = np.minimum.reduceat(run_own, begin) if len(texts) else run_own
-    rows = [(number, _answer(np.flatnonzero(best[of] < docs), of, begin, runs, run_len, run_own)) for number, of, docs in sent]
-    return pd.DataFrame({"block": [n for n, b in rows if b], "shard": int(pdf["shard"].iloc[0]), "body": [b for _, b in rows if b]})
-
-
-def _answer(which: np.ndarray, of: np.ndarray, begin: np.ndarray, runs: np.ndarray, run_len: np.ndarray, run_own: np.ndarray) -> bytes | None:
-    """Segment numbers, runs of each, and the runs' lengths and owners, for segments with a smaller owner."""
-    if not which.size:
-        return None
-    k = of[which]
-    n = runs[k]
-    at = np.repeat(begin[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return _squeeze(b"".join([np.array([len(which), len(at)], np.int32).tobytes(), which.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), run_len[at].astype(np.int32).tobytes(), run_own[at].tobytes()]))
-
-
-def _removed(block: Block, bits: dict[int, bytes], answers: dict[int, bytes], shards: int) -> np.ndarray:
+    sent: list[tuple[int, np.ndarray]] = []
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add() -> None:
+        data, at, owner = zip(*waiting)
+        shift = np.cumsum([0, *map(len, data)])
+        family.add(family.level(np.concatenate(data), np.concatenate([a + s for a, s in zip(at, shift)]), np.concatenate(owner)))
+        waiting.clear()
+
+    for block, body in zip(pdf["block"].tolist(), pdf["body"]):
+        waiting.append(_read_message(body))
+        sent.append((block, waiting[-1][2]))
+        if sum(len(w[1]) for w in waiting) >= BATCH_WINDOWS:
+            add()
+    if waiting:
+        add()
+    return pd.DataFrame(_answers(sent, family.owners()[1], int(pdf["shard"].iloc[0])), columns=["block", "shard", "body"])
+
+
+_LEVELS = "shard long, batch long, absorbed array<long>, data binary, suffixes binary, owners binary"
+
+
+def _meet(number: int):
+    """A later batch in its shard: matches with the stored levels, its owners' answers and the new level."""
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("body", pa.binary()), ("batch", pa.int64()), ("absorbed", pa.list_(pa.int64())), ("data", pa.binary()), ("suffixes", pa.binary()), ("owners", pa.binary())])
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = sorted(left.to_pylist(), key=lambda r: r["block"])
+        if not rows:
+            return schema.empty_table()
+        shard = rows[0]["shard"]
+        stored = right.to_pylist()
+        gone = {b for r in stored for b in r["absorbed"]}
+        live = [r for r in stored if r["batch"] not in gone]
+        family = SuffixFamily()
+        for r in sorted(live, key=lambda r: -len(r["suffixes"])):
+            family.put(np.frombuffer(_expand(r["data"]), np.uint8), np.frombuffer(_expand(r["suffixes"]), np.int64), np.frombuffer(_expand(r["owners"]), np.int64), (r["batch"],))
+        read = [_read_message(r["body"]) for r in rows]
+        shift = np.cumsum([0, *(len(d) for d, _, _ in read)])
+        at = np.concatenate([a + s for (_, a, _), s in zip(read, shift)])
+        base = len(family.data)
+        level = family.level(np.concatenate([d for d, _, _ in read]), at, np.concatenate([o for _, _, o in read]), number)
+        owner = family.matches(level)[np.argsort(level[0] - base, kind="stable")]
+        out = [(b, s, body, None, None, None, None, None) for b, s, body in _answers([(r["block"], o) for r, (_, _, o) in zip(rows, read)], owner, shard)]
+        family.add(level)
+        suffixes, owners, batches = family.levels[-1]
+        covered = np.zeros(len(family.data) + 1, np.int32)
+        np.add.at(covered, suffixes, 1)
+        np.add.at(covered, suffixes + LENGTH, -1)
+        inside = np.cumsum(covered[:-1]) > 0
+        place = np.cumsum(inside) - 1
+        blobs = [_squeeze(x.tobytes()) for x in (family.data[inside], place[suffixes].astype(np.int64), owners)]
+        out.append((None, shard, None, number, [b for b in batches if b != number], *blobs))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def _removed(batch: Batch, answers: dict[int, bytes]) -> np.ndarray:
     """A mask of the block's bytes that smaller documents own."""
-    change = np.zeros(len(block.data) + 1, np.int32)
-    for s, texts, _, least, of, start, doc in _candidates(block, bits, shards):
-        m = len(texts)
-        runs, begin = np.ones(m, np.int64), np.arange(m)
-        run_len, run_own = np.array([len(t) - LENGTH + 1 for t in texts], np.int64), least
+    least = batch.least.copy()
+    for s, a, b in batch.parts:
         if s in answers:
-            raw = _expand(answers[s])
-            q, t = np.frombuffer(raw, np.int32, 2).tolist()
-            which, count = np.frombuffer(raw, np.int32, q, 8), np.frombuffer(raw, np.int32, q, 8 + 4 * q)
-            begin[which] = m + np.cumsum(count) - count
-            runs[which] = count
-            run_len = np.concatenate([run_len, np.frombuffer(raw, np.int32, t, 8 + 8 * q)])
-            run_own = np.concatenate([run_own, np.frombuffer(raw, np.int64, t, 8 + 8 * q + 4 * t)])
-        k = runs[of]
-        before_runs = np.cumsum(k) - k
-        at = np.repeat(begin[of] - before_runs, k) + np.arange(k.sum())
-        length = run_len[at]
-        before = np.cumsum(length) - length
-        gone = run_own[at] < np.repeat(doc, k)
-        a = (np.repeat(start - before[before_runs], k) + before)[gone]
-        np.add.at(change, a, 1)
-        np.add.at(change, a + length[gone] + LENGTH - 1, -1)
+            own = batch.sent[a:b]
+            least[own] = np.minimum(least[own], _read_owners(_expand(answers[s]), 0)[0])
+    at = batch.at[least[batch.rank] < batch.ids]
+    change = np.zeros(len(batch.block.data) + 1, np.int32)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(shards: int, carry: list[str], as_text: bool):
+def _cut(shards: int, carry: list[str], as_text: bool, filtered: bool):
     names = ["doc_id", "n_bytes", "n_removed", "edges", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string() if as_text else pa.binary()]
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         block = Block(row["ids"], row["ends"], row["data"])
-        asked = right.filter(pa.compute.is_valid(right["bits"]))
-        told = right.filter(pa.compute.is_valid(right["body"]))
-        gone = _removed(block, _bits(asked), dict(zip(told["shard"].to_pylist(), told["body"].to_pylist())), shards)
+        unnamed = np.unpackbits(np.frombuffer(row["unnamed"], np.uint8), count=len(block.ids)).tolist()
+        told = _told(right.filter(pa.compute.is_valid(right["bits"]))) if filtered else None
+        answers = right.filter(pa.compute.is_valid(right["body"]))
+        gone = _removed(Batch(block, told, shards), dict(zip(answers["shard"].to_pylist(), answers["body"].to_pylist())))
         out: list[tuple] = []
-        for doc, a, b in zip(block.ids.tolist(), block.begins.tolist(), block.ends.tolist()):
+        for doc, no_id, a, b in zip(block.ids.tolist(), unnamed, block.begins.tolist(), block.ends.tolist()):
             mask = gone[a:b]
             n = int(mask.sum())
             spans: list[int] = []
@@ -454,7 +560,7 @@ def _cut(shards: int, carry: list[str], as_text: bool):
             if n:
                 spans = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
                 kept = block.data[a:b][~mask].tobytes()
-            out.append((None if doc == NO_ID else doc, b - a, n, spans, kept.decode(errors="ignore") if as_text else kept))
+            out.append((None if no_id else doc, b - a, n, spans, kept.decode(errors="ignore") if as_text else kept))
         cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
         rest = pa.ipc.open_stream(_expand(row["rest"])).read_all().combine_chunks() if carry else None
         return pa.Table.from_arrays([*cols, *(rest.columns if carry else [])], names + carry)
@@ -462,11 +568,20 @@ def _cut(shards: int, carry: list[str], as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def stored_batches(spark: SparkSession, index: str) -> list[int]:
+    """Numbers of the batches whose levels stand in an index folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n.removeprefix("batch-")) for n in names if n.startswith("batch-"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False, index: str | None = None, index_shards: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_removed, edges (begin, end, begin, ... of the removed runs) and the kept bytes.
 
     The columns named in ``carry`` come along unchanged. ``as_text``: kept is a string, without the
-    rests of characters that lost some of their bytes.
+    rests of characters that lost some of their bytes. ``index``: a folder with the levels of earlier
+    calls, which these documents meet and join; it has ``index_shards`` shards from the first call on.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -476,17 +591,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"columns to carry must not be named like {out.names}")
     for c in carry:
         out.add(c, docs.schema[c].dataType)
-    shards = SHARDS_A_PARTITION * shuffle_width(spark)
     texts, _ = store(blocks(docs, id_col, text_col, carry), "blocks")
-    hashes = texts.select("block", "ids", "ends", "data").mapInArrow(_send_hashes(shards), "shard long, block long, low binary, twice binary")
-    bits, _ = store(hashes.groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary"), "bits")
-    _free(spark)
-    asked = texts.select("block", "ids", "ends", "data").groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_segments(shards), "block long, shard long, body binary")
-    owners, _ = store(asked.groupBy("shard").applyInPandas(_own, "block long, shard long, body binary"), "owners")
-    _free(spark)
+    bodies = texts.select("block", "ids", "ends", "data")
     none = F.lit(None).cast("binary")
-    back = bits.select("block", "shard", "bits", none.alias("body")).unionByName(owners.select("block", "shard", none.alias("bits"), "body"))
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(shards, carry, as_text), out)
+    if index:
+        before = stored_batches(spark, index)
+        number, shards = (before[-1] if before else 0) + 1, index_shards
+        sent = bodies.mapInArrow(_send_windows(shards, False), _MESSAGES)
+        levels = spark.read.schema(_LEVELS).parquet(*(f"{index}/batch-{k:08d}" for k in before)) if before else spark.createDataFrame([], _LEVELS)
+        met, _ = store(sent.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(_meet(number), "block long, shard long, body binary, batch long, absorbed array<long>, data binary, suffixes binary, owners binary"), "met")
+        met.filter("batch is not null").select("shard", "batch", "absorbed", "data", "suffixes", "owners").write.parquet(f"{index}/batch-{number:08d}")
+        back = met.filter("batch is null").select("block", "shard", none.alias("bits"), none.alias("hot"), "body")
+    else:
+        parts = max(1, -(-(texts.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+        shards = SHARDS_A_PART * parts
+        hashes = bodies.mapInArrow(_send_hashes(shards), "shard long, block long, low binary, twice binary, windows binary")
+        bits, _ = store(hashes.repartition(parts, "shard").groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary, hot binary"), "bits")
+        _free(spark)
+        sent = bodies.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_windows(shards, True), _MESSAGES)
+        owners, _ = store(sent.repartition(parts, "shard").groupBy("shard").applyInPandas(_own, _MESSAGES), "owners")
+        _free(spark)
+        back = bits.select("block", "shard", "bits", "hot", none.alias("body")).unionByName(owners.select("block", "shard", none.alias("bits"), none.alias("hot"), "body"))
+    return texts.drop("size").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(shards, carry, as_text, not index), out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -68,19 +68,65 @@ def test_edge_cases(odd, none):
     assert run(none) == []
 
 
+def test_hot_hashes_are_split(spark, monkeypatch):
+    """Windows of one common passage with many neighbourhoods, dealt by all their bytes; shards by bytes."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(suffix_dedup, "HOT_WINDOWS", 20)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 4_000)
+    rng = random.Random(8)
+    line = "a line that every one of the documents has got in it"
+    rows = [(i, "".join(rng.choice("abc ") for _ in range(rng.randrange(5, 90))) + line + "".join(rng.choice("xy ") for _ in range(rng.randrange(90)))) for i in range(120)]
+    rows += [(200 + i, rows[i][1][10:]) for i in range(0, 100, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert run(df) == brute(encoded(df))
+
+
+def test_ranks_order_windows_by_their_bytes():
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 2, 600).astype(np.uint8)
+    data[100:250] = data[300:450]
+    at = np.array([i for i in range(551) if not 260 <= i < 290])
+    windows = [bytes(data[i : i + 50]) for i in at]
+    assert suffix_dedup.suffix_ranks(data, at).tolist() == [sorted(set(windows)).index(w) for w in windows]
+    assert suffix_dedup.suffix_ranks(data, at[:0]).tolist() == []
+
+
 def test_family_merges_levels_geometrically():
     family = suffix_dedup.SuffixFamily()
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab") for _ in range(56)).encode() for _ in range(64)]
     for i, t in enumerate(texts):
-        family.add(suffix_dedup._windows([t]), np.full(7, 100 - i))
+        family.add(family.level(np.frombuffer(t, np.uint8), np.arange(7), np.full(7, 100 - i)))
     sizes = [len(x[0]) for x in family.levels]
     assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes) and len(sizes) <= 7
+    assert all(x[0].dtype.kind == "i" and sorted(family._windows(x[0]).tolist()) == family._windows(x[0]).tolist() for x in family.levels)
     owner: dict = {}
     windows = [(t[k : k + 50], 100 - i) for i, t in enumerate(texts) for k in range(7)]
     for w, o in windows:
         owner[w] = min(owner.get(w, HUGE), o)
-    assert family.owners().tolist() == [owner[w] for w, _ in windows]
+    late = family.level(np.frombuffer(texts[0] + texts[5], np.uint8), np.array([0, 3, 56]), np.array([200, 1, 200]))
+    found = dict(zip((late[0] - 64 * 56).tolist(), family.matches(late).tolist()))
+    assert found == {0: owner[texts[0][:50]], 3: 1, 56: owner[texts[5][:50]]}
+    assert family.owners()[1].tolist() == [owner[w] for w, _ in windows]
+
+
+def test_a_later_batch_meets_the_stored_levels(spark, monkeypatch, tmp_path, odd):
+    """Four batches through one index: each is cut by all documents so far, and levels merge geometrically."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
+    index = f"file://{tmp_path}/index"
+    docs = [(r.doc_id, (r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    cuts = [docs[:100], docs[100:130], docs[130:160], docs[160:]]
+    seen: list = []
+    for some in cuts:
+        rows = [(i, t) for i, t in some]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.edges) // 2, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, index=index, index_shards=8).collect()), key=repr)
+        seen += [(i, t.encode()) for i, t in rows]
+        want = [x for x in brute(seen) if x[0] in {i for i, _ in rows}]
+        assert got == want
+    assert suffix_dedup.stored_batches(spark, index) == [1, 2, 3, 4]
+    levels = spark.read.schema(suffix_dedup._LEVELS).parquet(*(f"{index}/batch-{k:08d}" for k in range(1, 5)))
+    assert levels.filter("size(absorbed) > 0").count() > 0
 
 
 def test_carried_columns_and_pipeline_form(spark, odd):
