@@ -13,12 +13,13 @@ size whatever the input.
 2. Each block sends its distinct hashes (32 bits each) to their shards, which answer with a bit for
    each: does the hash stand in another document? The rest of the text is done: it can't repeat.
 3. The other windows of a block are a batch with a suffix array: positions in the block's text, ranked by
-   prefix doubling up to ``LENGTH`` bytes. The block sends the text of each distinct window once, with the
-   smallest id of its documents. What a phase can derive from a block again is not stored.
+   8-byte words up to ``LENGTH`` bytes. The block sends the text of each distinct window once, with the
+   smallest id of its documents and its place there, and what it knows already: which windows have a
+   smaller owner in the block itself, and which say the same twice in one document.
 4. In a shard a ``SuffixFamily`` takes the batches: each gets its suffix array (positions in the shard's
    text), levels of equal size merge geometrically, and the merge-scan of neighbouring suffixes finds
    matches of full length and the smallest document of each. Every candidate window goes this way.
-5. Blocks get the smaller owners back and cut out every window that a smaller document owns.
+5. Blocks get back which of these windows a smaller document owns elsewhere and cut all such windows out.
 
 With a folder for ``index``, the family is kept: a later call's documents send every window (anything may
 repeat something earlier), meet the stored levels of their shard by a merge-scan, and become a level of
@@ -41,7 +42,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 import pyarrow.ipc
 import zstandard
 from pyspark import TaskContext
@@ -245,31 +245,53 @@ def _told(table: pa.Table) -> dict[int, tuple[bytes, bytes]]:
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.uint32)
+    """Dense ranks of numbers."""
+    values = values.astype(np.uint64)
+    order = np.argsort(values)
+    values = values[order]
+    new = np.zeros(len(values), np.uint32)
+    new[1:] = values[1:] != values[:-1]
+    out = np.empty(len(values), np.uint32)
+    out[order] = np.cumsum(new, dtype=np.uint32)
+    return out
 
 
 def suffix_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Dense ranks of the windows that start at ``at`` (ascending) in the order of their ``LENGTH`` bytes.
+    """Dense ranks of the windows that start at ``at`` in the order of their ``LENGTH`` bytes.
 
-    Prefix doubling from 8 to 16 and 32 bytes over the text that windows cover, and 32 + 18 for the whole.
+    A first pass ranks by 8 bytes; windows that still share a rank are told apart by 16 more at a time.
     """
-    if not len(at):
-        return np.empty(0, np.uint32)
-    edge = np.zeros(len(data) + 1, np.int32)
-    edge[at] += 1
-    edge[at + LENGTH] -= 1
-    covered = np.cumsum(edge[:-1]) > 0
-    place = (np.cumsum(covered) - 1)[at]
-    text = data[covered]
-    n = len(text) - 7
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | text[k : k + n]
-    rank, span = _ranks(key), 8
-    while span < 32:
-        key = (rank[:-span].astype(np.uint64) << np.uint64(32)) | rank[span:]
-        rank, span = _ranks(key), span * 2
-    return _ranks((rank[place].astype(np.uint64) << np.uint64(32)) | rank[place + LENGTH - 32])
+    n = len(at)
+    if not n:
+        return np.empty(0, np.int64)
+    word = np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), 0, (1,))
+    key = word[at].astype(np.uint64)
+    order, rank, rest = np.argsort(key), np.zeros(n, np.int64), np.arange(n)  # a rank is the number of smaller windows
+    for a, b in ((8, 16), (24, 32), (40, LENGTH - 8), (None, None)):
+        key, old = key[order], rank[rest[order]]
+        index = np.arange(len(rest))
+        new = np.ones(len(rest), bool)
+        new[1:] = key[1:] != key[:-1]
+        group = np.ones(len(rest), bool)
+        group[1:] = old[1:] != old[:-1]
+        begin = np.maximum.accumulate(np.where(new, index, 0))
+        rank[rest[order]] = old + begin - np.maximum.accumulate(np.where(group, index, 0))
+        alone = new & np.append(new[1:], True)
+        rest = rest[order[~alone]]
+        if a is None or not rest.size:
+            break
+        parts = [rank[rest].astype(np.uint64), *(_ranks(word[at[rest] + k]).astype(np.uint64) for k in (a, b))]
+        bits = [int(x.max()).bit_length() for x in parts]
+        if sum(bits) > 64:
+            parts = [parts[0], _ranks((parts[1] << np.uint64(32)) | parts[2]).astype(np.uint64)]
+            bits = [int(x.max()).bit_length() for x in parts]
+        key = parts[0]
+        for x, width in zip(parts[1:], bits[1:]):
+            key = (key << np.uint64(width)) | x
+        order = np.argsort(key)
+    taken = np.zeros(n, bool)
+    taken[rank] = True
+    return (np.cumsum(taken) - 1)[rank]
 
 
 def _ramps(count: np.ndarray) -> np.ndarray:
@@ -287,10 +309,7 @@ def _whole_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """A block's candidate windows: where they stand, their shards and, by their suffix array, the distinct ones.
-
-    Both phases that need it make it again from the block, in the same order, instead of storing it.
-    """
+    """A block's candidate windows: where they stand, their shards and, by their suffix array, the distinct ones."""
 
     def __init__(self, block: Block, told: dict[int, tuple[bytes, bytes]] | None, shards: int):
         start, count, h, doc = block.segments()
@@ -307,30 +326,56 @@ class Batch:
         use = np.flatnonzero(marked[of])
         start, count, h, doc, split = start[use], count[use], h[use], doc[use], hot[of[use]]
         self.block = block
-        self.at = np.repeat(start, count) + _ramps(count)
-        self.ids = np.repeat(block.ids[doc], count)
+        at = np.repeat(start, count) + _ramps(count)
+        ids = np.repeat(block.ids[doc], count)
         shard = np.repeat((h >> np.uint64(32)) % np.uint64(shards), count).astype(np.int64)
         alone = np.flatnonzero(np.repeat(split, count))
-        shard[alone] = ((_whole_hashes(block.data, self.at[alone]) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-        self.rank = suffix_ranks(block.data, self.at)
-        classes = int(self.rank.max()) + 1 if len(self.rank) else 0
-        self.least = np.full(classes, NO_ID)
-        np.minimum.at(self.least, self.rank, self.ids)
+        shard[alone] = ((_whole_hashes(block.data, at[alone]) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        rank = suffix_ranks(block.data, at)
+        classes = int(rank.max()) + 1 if len(rank) else 0
+        least = np.full(classes, NO_ID)
+        np.minimum.at(least, rank, ids)
+        owned = ids == least[rank]
         first = np.empty(classes, np.int64)
-        first[self.rank[::-1]] = np.arange(len(self.rank))[::-1]  # the last that is written is the first in the text
-        self.sent = np.argsort(shard[first] * len(block.data) + self.at[first], kind="stable")  # classes, by shard and place
-        self.places = self.at[first][self.sent]
-        present, begin = np.unique(shard[first][self.sent], return_index=True)
-        self.parts = list(zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(self.sent)]))
+        own = np.flatnonzero(owned)
+        first[rank[own[::-1]]] = own[::-1]  # the last that is written is the first in the text
+        self.gone = at[~owned]  # the block itself has a smaller document
+        again = own[first[rank[own]] != own]
+        self.again = at[again], at[first[rank[again]]]  # the same window of the same document, and the first one
+        sent = np.argsort(shard[first] * len(block.data) + at[first], kind="stable")  # classes, by shard and place
+        self.places, self.least = at[first][sent], least[sent]
+        present, begin = np.unique(shard[first][sent], return_index=True)
+        self.parts = list(zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(sent)]))
 
     def message(self, a: int, b: int) -> bytes:
-        """Distinct windows a to b as runs of text and runs of owners."""
-        at, least = self.places[a:b], self.least[self.sent[a:b]]
-        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
-        runs = np.diff(np.append(new, b - a)).astype(np.int32)
+        """Distinct windows a to b: runs of places, runs of owners and the text of each run of places."""
+        start, count = _runs(self.places[a:b])
         raw = self.block.raw
-        texts = [raw[x : x + n + LENGTH - 1] for x, n in zip(at[new].tolist(), runs.tolist())]
-        return _squeeze(b"".join([np.int32(len(runs)).tobytes(), runs.tobytes(), _pack_owners(least), *texts]))
+        texts = [raw[x : x + n + LENGTH - 1] for x, n in zip(start.tolist(), count.tolist())]
+        return _squeeze(b"".join([_pack(start, count), _pack_owners(self.least[a:b]), *texts]))
+
+    def known(self) -> bytes:
+        """What the block knows alone: windows that go, and windows that go with another one."""
+        there, here = self.again
+        new = np.flatnonzero(np.concatenate([[True], (there[1:] != there[:-1] + 1) | (here[1:] != here[:-1] + 1)])) if len(there) else there
+        return _squeeze(_pack(*_runs(self.gone)) + _pack(there[new], np.diff(np.append(new, len(there))), here[new]))
+
+
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of the runs of neighbouring places."""
+    if not len(at):
+        return at, at
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    return at[new], np.diff(np.append(new, len(at)))
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    return b"".join([np.int64(len(columns[0])).tobytes(), *(c.astype(np.int64).tobytes() for c in columns)])
+
+
+def _unpack(raw: bytes, at: int, columns: int) -> tuple[list[np.ndarray], int]:
+    n = int(np.frombuffer(raw, np.int64, 1, at)[0])
+    return [np.frombuffer(raw, np.int64, n, at + 8 + 8 * n * k) for k in range(columns)], at + 8 + 8 * n * columns
 
 
 def _pack_owners(owner: np.ndarray) -> bytes:
@@ -344,14 +389,13 @@ def _read_owners(raw: bytes, at: int) -> tuple[np.ndarray, int]:
     return np.repeat(owner, count), at + 4 + 12 * n
 
 
-def _read_message(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, window starts and owners of a message."""
+def _read_message(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, window starts in it, owners and places in the block of a message."""
     raw = _expand(body)
-    n = int(np.frombuffer(raw, np.int32, 1)[0])
-    runs = np.frombuffer(raw, np.int32, n, 4).astype(np.int64)
-    owner, at = _read_owners(raw, 4 + 4 * n)
-    begin = np.cumsum(runs + LENGTH - 1) - (runs + LENGTH - 1)
-    return np.frombuffer(raw, np.uint8, offset=at), np.repeat(begin, runs) + _ramps(runs), owner
+    (start, runs), at = _unpack(raw, 0, 2)
+    owner, at = _read_owners(raw, at)
+    begin, ramp = np.cumsum(runs + LENGTH - 1) - (runs + LENGTH - 1), _ramps(runs)
+    return np.frombuffer(raw, np.uint8, offset=at), np.repeat(begin, runs) + ramp, owner, np.repeat(start, runs) + ramp
 
 
 def _send_windows(shards: int, filtered: bool):
@@ -361,6 +405,8 @@ def _send_windows(shards: int, filtered: bool):
     def one(row: dict, told: dict | None) -> pa.Table:
         batch = Batch(Block(row["ids"], row["ends"], row["data"]), told, shards)
         out = [(row["block"], s, batch.message(a, b)) for s, a, b in batch.parts]
+        if len(batch.gone) or len(batch.again[0]):
+            out.append((row["block"], -1 - row["block"] % shards, batch.known()))  # passes through to the block
         cols = list(zip(*out)) if out else [()] * 3
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -453,22 +499,25 @@ class SuffixFamily:
 _MESSAGES = "block long, shard long, body binary"
 
 
-def _answers(sent: list[tuple[int, np.ndarray]], owner: np.ndarray, shard: int) -> list[tuple[int, int, bytes]]:
-    """Owners for each block whose windows have a smaller one elsewhere."""
+def _answers(sent: list[tuple[int, np.ndarray, np.ndarray]], owner: np.ndarray, shard: int) -> list[tuple[int, int, bytes]]:
+    """For each block the places of its windows that have a smaller owner elsewhere."""
     out, at = [], 0
-    for block, least in sent:
-        found = owner[at : at + len(least)]
+    for block, least, places in sent:
+        gone = places[owner[at : at + len(least)] < least]
         at += len(least)
-        if (found < least).any():
-            out.append((block, shard, _squeeze(_pack_owners(found))))
+        if len(gone):
+            out.append((block, shard, _squeeze(_pack(*_runs(gone)))))
     return out
 
 
 def _own(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The owners of a shard's windows, to each block that sent some."""
+    """To each block that sent windows to a shard, those that a smaller document owns."""
+    shard = int(pdf["shard"].iloc[0])
+    if shard < 0:
+        return pdf[["block", "shard", "body"]]
     pdf = pdf.sort_values("block")
     family = SuffixFamily()
-    sent: list[tuple[int, np.ndarray]] = []
+    sent: list[tuple[int, np.ndarray, np.ndarray]] = []
     waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add() -> None:
@@ -478,13 +527,14 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
         waiting.clear()
 
     for block, body in zip(pdf["block"].tolist(), pdf["body"]):
-        waiting.append(_read_message(body))
-        sent.append((block, waiting[-1][2]))
+        *message, places = _read_message(body)
+        waiting.append(tuple(message))
+        sent.append((block, message[2], places))
         if sum(len(w[1]) for w in waiting) >= BATCH_WINDOWS:
             add()
     if waiting:
         add()
-    return pd.DataFrame(_answers(sent, family.owners()[1], int(pdf["shard"].iloc[0])), columns=["block", "shard", "body"])
+    return pd.DataFrame(_answers(sent, family.owners()[1], shard), columns=["block", "shard", "body"])
 
 
 _LEVELS = "shard long, batch long, absorbed array<long>, data binary, suffixes binary, owners binary"
@@ -499,6 +549,8 @@ def _meet(number: int):
         if not rows:
             return schema.empty_table()
         shard = rows[0]["shard"]
+        if shard < 0:
+            return pa.Table.from_pylist(rows, schema=schema)
         stored = right.to_pylist()
         gone = {b for r in stored for b in r["absorbed"]}
         live = [r for r in stored if r["batch"] not in gone]
@@ -506,12 +558,12 @@ def _meet(number: int):
         for r in sorted(live, key=lambda r: -len(r["suffixes"])):
             family.put(np.frombuffer(_expand(r["data"]), np.uint8), np.frombuffer(_expand(r["suffixes"]), np.int64), np.frombuffer(_expand(r["owners"]), np.int64), (r["batch"],))
         read = [_read_message(r["body"]) for r in rows]
-        shift = np.cumsum([0, *(len(d) for d, _, _ in read)])
-        at = np.concatenate([a + s for (_, a, _), s in zip(read, shift)])
+        shift = np.cumsum([0, *(len(r[0]) for r in read)])
+        at = np.concatenate([r[1] + s for r, s in zip(read, shift)])
         base = len(family.data)
-        level = family.level(np.concatenate([d for d, _, _ in read]), at, np.concatenate([o for _, _, o in read]), number)
+        level = family.level(np.concatenate([r[0] for r in read]), at, np.concatenate([r[2] for r in read]), number)
         owner = family.matches(level)[np.argsort(level[0] - base, kind="stable")]
-        out = [(b, s, body, None, None, None, None, None) for b, s, body in _answers([(r["block"], o) for r, (_, _, o) in zip(rows, read)], owner, shard)]
+        out = [(b, s, body, None, None, None, None, None) for b, s, body in _answers([(r["block"], x[2], x[3]) for r, x in zip(rows, read)], owner, shard)]
         family.add(level)
         suffixes, owners, batches = family.levels[-1]
         covered = np.zeros(len(family.data) + 1, np.int32)
@@ -526,21 +578,31 @@ def _meet(number: int):
     return run
 
 
-def _removed(batch: Batch, answers: dict[int, bytes]) -> np.ndarray:
-    """A mask of the block's bytes that smaller documents own."""
-    least = batch.least.copy()
-    for s, a, b in batch.parts:
-        if s in answers:
-            own = batch.sent[a:b]
-            least[own] = np.minimum(least[own], _read_owners(_expand(answers[s]), 0)[0])
-    at = batch.at[least[batch.rank] < batch.ids]
-    change = np.zeros(len(batch.block.data) + 1, np.int32)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + LENGTH, -1)
+def _removed(size: int, known: bytes | None, answers: list[bytes]) -> np.ndarray:
+    """A mask of a block's bytes that smaller documents own."""
+    change = np.zeros(size + 1, np.int32)
+    again = None
+    for body in [known, *answers]:
+        if body is not None:
+            raw = _expand(body)
+            (start, count), at = _unpack(raw, 0, 2)
+            np.add.at(change, start, 1)
+            np.add.at(change, start + count, -1)
+            if body is known:
+                again, _ = _unpack(raw, at, 3)
+    gone = np.cumsum(change) > 0  # windows, by their starts
+    if again and len(again[0]):
+        there, count, here = again
+        ramp = _ramps(count)
+        gone[np.repeat(there, count) + ramp] |= gone[np.repeat(here, count) + ramp]
+    start, count = _runs(np.flatnonzero(gone))
+    change = np.zeros(size + 1, np.int32)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + count + LENGTH - 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _cut(shards: int, carry: list[str], as_text: bool, filtered: bool):
+def _cut(carry: list[str], as_text: bool):
     names = ["doc_id", "n_bytes", "n_removed", "edges", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string() if as_text else pa.binary()]
 
@@ -548,9 +610,8 @@ def _cut(shards: int, carry: list[str], as_text: bool, filtered: bool):
         row = left.to_pylist()[0]
         block = Block(row["ids"], row["ends"], row["data"])
         unnamed = np.unpackbits(np.frombuffer(row["unnamed"], np.uint8), count=len(block.ids)).tolist()
-        told = _told(right.filter(pa.compute.is_valid(right["bits"]))) if filtered else None
-        answers = right.filter(pa.compute.is_valid(right["body"]))
-        gone = _removed(Batch(block, told, shards), dict(zip(answers["shard"].to_pylist(), answers["body"].to_pylist())))
+        told = list(zip(right["shard"].to_pylist(), right["body"].to_pylist()))
+        gone = _removed(len(block.data), next((b for s, b in told if s < 0), None), [b for s, b in told if s >= 0])
         out: list[tuple] = []
         for doc, no_id, a, b in zip(block.ids.tolist(), unnamed, block.begins.tolist(), block.ends.tolist()):
             mask = gone[a:b]
@@ -593,7 +654,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out.add(c, docs.schema[c].dataType)
     texts, _ = store(blocks(docs, id_col, text_col, carry), "blocks")
     bodies = texts.select("block", "ids", "ends", "data")
-    none = F.lit(None).cast("binary")
     if index:
         before = stored_batches(spark, index)
         number, shards = (before[-1] if before else 0) + 1, index_shards
@@ -601,7 +661,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         levels = spark.read.schema(_LEVELS).parquet(*(f"{index}/batch-{k:08d}" for k in before)) if before else spark.createDataFrame([], _LEVELS)
         met, _ = store(sent.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(_meet(number), "block long, shard long, body binary, batch long, absorbed array<long>, data binary, suffixes binary, owners binary"), "met")
         met.filter("batch is not null").select("shard", "batch", "absorbed", "data", "suffixes", "owners").write.parquet(f"{index}/batch-{number:08d}")
-        back = met.filter("batch is null").select("block", "shard", none.alias("bits"), none.alias("hot"), "body")
+        back = met.filter("batch is null").select("block", "shard", "body")
     else:
         parts = max(1, -(-(texts.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
         shards = SHARDS_A_PART * parts
@@ -609,10 +669,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bits, _ = store(hashes.repartition(parts, "shard").groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary, hot binary"), "bits")
         _free(spark)
         sent = bodies.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_windows(shards, True), _MESSAGES)
-        owners, _ = store(sent.repartition(parts, "shard").groupBy("shard").applyInPandas(_own, _MESSAGES), "owners")
+        back, _ = store(sent.repartition(parts, "shard").groupBy("shard").applyInPandas(_own, _MESSAGES), "owners")
         _free(spark)
-        back = bits.select("block", "shard", "bits", "hot", none.alias("body")).unionByName(owners.select("block", "shard", none.alias("bits"), none.alias("hot"), "body"))
-    return texts.drop("size").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(shards, carry, as_text, not index), out)
+    return texts.drop("size").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(carry, as_text), out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
