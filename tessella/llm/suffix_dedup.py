@@ -653,7 +653,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for c in carry:
         out.add(c, docs.schema[c].dataType)
     texts, _ = store(blocks(docs, id_col, text_col, carry), "blocks")
+    parts = max(1, -(-(texts.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
     bodies = texts.select("block", "ids", "ends", "data")
+    by_block = lambda df: df.repartition(parts, "block").groupBy("block")
     if index:
         before = stored_batches(spark, index)
         number, shards = (before[-1] if before else 0) + 1, index_shards
@@ -663,15 +665,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         met.filter("batch is not null").select("shard", "batch", "absorbed", "data", "suffixes", "owners").write.parquet(f"{index}/batch-{number:08d}")
         back = met.filter("batch is null").select("block", "shard", "body")
     else:
-        parts = max(1, -(-(texts.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
         shards = SHARDS_A_PART * parts
         hashes = bodies.mapInArrow(_send_hashes(shards), "shard long, block long, low binary, twice binary, windows binary")
         bits, _ = store(hashes.repartition(parts, "shard").groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary, hot binary"), "bits")
         _free(spark)
-        sent = bodies.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_windows(shards, True), _MESSAGES)
+        sent = by_block(bodies).cogroup(by_block(bits)).applyInArrow(_send_windows(shards, True), _MESSAGES)
         back, _ = store(sent.repartition(parts, "shard").groupBy("shard").applyInPandas(_own, _MESSAGES), "owners")
         _free(spark)
-    return texts.drop("size").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_cut(carry, as_text), out)
+    return by_block(texts.drop("size")).cogroup(by_block(back)).applyInArrow(_cut(carry, as_text), out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

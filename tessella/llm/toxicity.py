@@ -4,8 +4,10 @@ A word is itself plus its character n-grams (with edge marks), hashed into a fix
 window of ``WINDOW`` words is the average of its subwords' vectors under a two-class softmax, and a
 text is as toxic as its worst window, so a few words tell in a long text too. Embeddings and softmax
 are trained together (Adagrad, on the driver) on windows of a bounded sample of labelled texts:
-``TRAIN_TEXTS`` of each class at most, whole texts, chosen by a hash of the id. The first round takes
-each window's label from its text; the second takes toxic texts' innocent windows as clean. Unseen
+``TRAIN_TEXTS`` of each class at most, chosen by a hash of the id, and ``TRAIN_BYTES`` of each class; a
+text over ``TEXT_BYTES`` trains with its beginning. Subwords that few training texts have learn in
+proportion to how many do (``RARE``), for they would mostly be memorised. The first round takes each
+window's label from its text; the second takes toxic texts' innocent windows as clean. Unseen
 misspellings share the n-gram vectors of the words they distort.
 
 Scoring: the logit is linear in the subwords, so the broadcast model is one number a table entry (a
@@ -31,15 +33,15 @@ from pyspark.sql import functions as F
 
 from ._common import BoundedCache, id_and_text, kept, map_arrow
 
-#: The documented bound of the training sample, in texts of each class.
-TRAIN_TEXTS = 1_500
+#: The documented bounds of the training sample, for each class and each text.
+TRAIN_TEXTS, TRAIN_BYTES, TEXT_BYTES = 1_500, 16 << 20, 256 << 10
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 17, 4, 8, (3, 4, 5)
 #: A window with fewer subwords is averaged as if empty ones filled it, so that short ones aren't shrill.
 FILL = 64
 #: Every so many-th training text only calibrates.
 CALIBRATE = 5
-#: Subwords of fewer training texts are left out: they would only be memorised.
-LEAST_TEXTS = 3
+#: A subword of n training texts learns at n / (n + RARE) of the rate, from as small a start.
+RARE = 2.0
 #: First round: what all windows of toxic texts weigh together, as a share of the clean ones' weight.
 WEAK = 0.08
 ROUNDS, EPOCHS, STEPS, BATCH, RATE, DECAY = 3, 2, 120, (64, 2_048), 0.3, 1e-4
@@ -150,7 +152,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         u = np.unique(ids)
         m = gram_n[u]
         texts_with[np.unique(gram[np.repeat(gram_at[u], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)])] += 1
-    known = texts_with >= LEAST_TEXTS
+    known = (texts_with / (texts_with + RARE)).astype(np.float32)
     flat = np.concatenate(words)
     begin, count = [], []
     at = 0
@@ -233,8 +235,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -
             chosen[r.doc_id] = kind
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    texts = id_and_text(docs).join(F.broadcast(ids), "doc_id", "left_semi").toLocalIterator()  # ids: 2 * TRAIN_TEXTS at most
-    sample = sorted({r.doc_id: r.text for r in texts}.items())
+    texts = id_and_text(docs).join(F.broadcast(ids), "doc_id", "left_semi")  # ids: 2 * TRAIN_TEXTS at most
+    # rows that share an id count once, the one with the smallest digest
+    sizes = texts.groupBy("doc_id").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"), F.octet_length("text").alias("size"))).alias("t")).select("doc_id", "t.*")
+    left, parts = [TRAIN_BYTES, TRAIN_BYTES], []
+    for r in sorted(sizes.collect(), key=lambda r: (zlib.crc32(r.digest.encode()), r.doc_id)):
+        size = min(r.size, TEXT_BYTES, left[chosen[r.doc_id]])
+        left[chosen[r.doc_id]] -= size
+        if size or not r.size:
+            parts.append((r.doc_id, r.digest, r.chars * size // max(1, r.size)))
+    wanted = spark.createDataFrame(parts, "doc_id long, digest string, chars int")
+    cut = texts.withColumn("digest", F.sha2("text", 256)).join(F.broadcast(wanted), ["doc_id", "digest"]).select("doc_id", F.expr("substring(text, 1, chars)").alias("text"))
+    sample = sorted({r.doc_id: r.text for r in cut.toLocalIterator()}.items())
     return fit_texts([t for _, t in sample], [chosen[i] for i, _ in sample], counts.get(1, 0) / max(1, sum(counts.values())))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from math import log2
+from math import exp, log2
 
 import numpy as np
 import pytest
@@ -59,7 +59,46 @@ def test_toxicity_edges(spark, odd, none):
     assert {r.predicted for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0}
     assert toxicity.toxicity(none, labels).count() == 0
     assert toxicity.without_toxic(odd, labels.limit(0)).columns == odd.columns
-    assert toxicity.fit(docs, labels).bias < 0 or True
+    assert toxicity.fit(docs, labels.filter("toxic = 0")).bias < -10 and toxicity.fit(docs, labels.filter("toxic = 1")).bias > 10
+
+
+def plain_score(model, text):
+    """The score of a text by the definition: its worst window of eight words, over at least FILL subwords."""
+    w = (text or "").split()
+    worst = None
+    for i in range(0, len(w), toxicity.WINDOW):
+        own = [g for x in w[i : i + toxicity.WINDOW] for g in toxicity.subwords(x)]
+        logit = sum(model.logits[g] for g in own) / max(len(own), toxicity.FILL) + model.bias
+        worst = logit if worst is None else max(worst, logit)
+    x = model.scale * (model.bias if worst is None else worst) + model.shift
+    return 1 / (1 + exp(-max(-30, min(30, x))))
+
+
+def test_scores_equal_a_plain_scorer(spark, odd):
+    docs, labels = corpus(spark, 300)
+    model = toxicity.fit(docs, labels)
+    model.logits = model.logits.astype(np.float32).astype(np.float64)  # as they are broadcast
+    both = docs.filter("doc_id < 60").unionByName(odd.select(docs.columns))
+    texts = [(r.doc_id, r.text) for r in both.select("doc_id", "text").collect()]
+    got = sorted(((r.doc_id, r.score) for r in toxicity.toxicity(docs.unionByName(odd.select(docs.columns)), labels).filter("doc_id < 60 or doc_id is null").collect()), key=str)
+    own = toxicity.fit(docs.unionByName(odd.select(docs.columns)), labels)
+    own.logits = own.logits.astype(np.float32).astype(np.float64)
+    want = sorted(((i, plain_score(own, t)) for i, t in texts), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-6)
+    assert np.allclose([plain_score(model, "one two"), plain_score(model, None)], [model.scores(np.array([model.word("one"), model.word("two")]), np.array([2]))[0], model.scores(np.empty(0, complex), np.array([0]))[0]])
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 100)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 2_000)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_texts", lambda texts, labels, share: seen.append((texts, labels)) or toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0))
+    docs, labels = corpus(spark, 120)
+    toxicity.fit(docs, labels)
+    texts, marks = seen[0]
+    assert max(len(t) for t in texts) <= 100
+    for kind in (0, 1):
+        assert 1_500 < sum(len(t) for t, m in zip(texts, marks) if m == kind) <= 2_000
 
 
 def test_subwords_share_grams():
