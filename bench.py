@@ -40,8 +40,8 @@ def main() -> None:
     vectors = tables.table(spark, sf_dir, "embeddings").count()
     rates = {
         "snapshot_scan_rows_per_s": round(events / took["snapshot_scan"]),
-        "point_keys_per_s": round(286 / took["point_get_states"]),
-        "knn_pairs_per_s": round(20 * vectors / took["knn_batch"]),
+        "point_keys_per_s": round(asked / took["point_get_states"]),
+        "knn_pairs_per_s": round(-(-vectors // 50) * vectors / took["knn_batch"]),
         "quorum_rows_per_s": round(3 * events / took["quorum_read"]),
         "reconcile_rows_per_s": round(2 * events / took["reconcile_plan"]),
     }

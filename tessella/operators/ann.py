@@ -59,6 +59,8 @@ def assign_cells(base: DataFrame, centroids: np.ndarray, probes: int = 1, key: s
 def ivf_search(base: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 8, metric: int = D.L2) -> DataFrame:
     """(qid, rank, id, distance) of the k nearest rows in the probed cells of each query."""
     c = fit_cells(base, cells)
+    if not len(c):
+        return base.sparkSession.createDataFrame([], "qid long, rank long, id long, distance double")
     asked = assign_cells(queries, c, probes, "qid").withColumnRenamed("vec", "q")
     pairs = assign_cells(base, c).join(asked, "cell").select("qid", "id", D.by_metric(metric)(F.col("vec"), F.col("q")).alias("distance"))
     w = Window.partitionBy("qid").orderBy("distance", "id")
@@ -68,7 +70,7 @@ def ivf_search(base: DataFrame, queries: DataFrame, k: int, cells: int = 64, pro
 class Graph:
     """A hierarchical navigable small world over rows of a matrix."""
 
-    def __init__(self, dim: int, m: int = 16, ef_construct: int = 200, metric: int = D.L2, seed: int = 11):
+    def __init__(self, dim: int, m: int = 16, ef_construct: int = 200, metric: int = D.L2, seed: int = 11, max_bytes: int = 0):
         if dim < 1 or m < 2 or ef_construct < 1:
             raise ValueError("dim >= 1, m >= 2 and ef_construct >= 1 are needed")
         self.m, self.ef, self.metric = m, ef_construct, metric
@@ -77,16 +79,20 @@ class Graph:
         self.ids: list[int] = []
         self.links: list[list[list[int]]] = []
         self.deleted: set[int] = set()
+        self.max_bytes, self.bytes = max_bytes, 0  # 0: no limit
         self.entry = -1
 
     def _far(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         return D.matrix(self.metric, q[None], self.vecs[nodes])[0]
 
-    def _layer(self, q: np.ndarray, entries: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
-        """Beam search: the ``ef`` nearest nodes found in a layer, nearest first."""
-        seen = set(entries)
+    def _layer(self, q: np.ndarray, entries: list[int], ef: int, layer: int, live: bool = False) -> list[tuple[float, int]]:
+        """Beam search: the ``ef`` nearest nodes found in a layer, nearest first.
+
+        ``live``: deleted nodes lead on but take no place among them, so the beam keeps its width.
+        """
+        seen, hidden = set(entries), self.deleted if live else ()
         near = [(float(d), n) for d, n in zip(self._far(q, entries), entries)]
-        todo, best = list(near), [(-d, n) for d, n in near]
+        todo, best = list(near), [(-d, n) for d, n in near if n not in hidden]
         heapq.heapify(todo)
         heapq.heapify(best)
         while todo:
@@ -100,9 +106,10 @@ class Graph:
             for x, dx in zip(new, self._far(q, new)):
                 if len(best) < ef or dx < -best[0][0]:
                     heapq.heappush(todo, (float(dx), x))
-                    heapq.heappush(best, (-float(dx), x))
-                    if len(best) > ef:
-                        heapq.heappop(best)
+                    if x not in hidden:
+                        heapq.heappush(best, (-float(dx), x))
+                        if len(best) > ef:
+                            heapq.heappop(best)
         return sorted((-d, n) for d, n in best)
 
     def _spread(self, near: list[tuple[float, int]], most: int) -> list[int]:
@@ -115,12 +122,25 @@ class Graph:
             (kept if not kept or (self._far(self.vecs[n], kept) > d).all() else rest).append(n)
         return kept + rest[: most - len(kept)]
 
+    def node_bytes(self, level: int) -> int:
+        """What a node of a level is counted with: its vector, room for its links and a fixed part."""
+        return 4 * self.vecs.shape[1] + 8 * self.m * (level + 2) + 64
+
     def add(self, ids: list[int], vecs: np.ndarray) -> None:
+        """Insert new ids. An id that is there, a wrong length or a full graph are refused before anything changes."""
+        if len(set(ids)) != len(ids) or not set(ids).isdisjoint(self.ids):
+            raise ValueError("an id is in the graph already")
+        if vecs.shape != (len(ids), self.vecs.shape[1]):
+            raise ValueError("vectors of another length")
+        levels = [int(-math.log(1 - self.rng.random()) / math.log(self.m)) for _ in ids]
+        size = sum(map(self.node_bytes, levels))
+        if self.max_bytes and self.bytes + size > self.max_bytes:
+            raise MemoryError(f"the graph may hold {self.max_bytes} bytes")
+        self.bytes += size
         first = len(self.ids)
         self.vecs = np.concatenate([self.vecs, vecs])
         self.ids += ids
-        for n in range(first, len(self.ids)):
-            level = int(-math.log(1 - self.rng.random()) / math.log(self.m))
+        for n, level in zip(range(first, len(self.ids)), levels):
             self.links.append([[] for _ in range(level + 1)])
             if self.entry < 0:
                 self.entry = n
@@ -154,11 +174,11 @@ class Graph:
         entries = [self.entry]
         for layer in range(len(self.links[self.entry]) - 1, 0, -1):
             entries = [self._layer(q, entries, 1, layer)[0][1]]
-        near = self._layer(q, entries, max(ef, k) + len(self.deleted), 0)
-        return sorted((d, self.ids[n]) for d, n in near if n not in self.deleted)[:k]
+        near = self._layer(q, entries, max(ef, k), 0, live=True)
+        return sorted((d, self.ids[n]) for d, n in near)[:k]
 
     def stats(self) -> dict[str, int]:
-        return {"live": len(self.ids) - len(self.deleted), "deleted": len(self.deleted), "levels": max((len(x) for x in self.links), default=0)}
+        return {"live": len(self.ids) - len(self.deleted), "deleted": len(self.deleted), "levels": max((len(x) for x in self.links), default=0), "bytes": self.bytes}
 
     def cleanup(self) -> "Graph":
         """A new graph of the live nodes only."""
@@ -183,6 +203,7 @@ class Graph:
         g.vecs, g.ids, g.links = np.array([r[2] for r in rows], np.float64), [r[1] for r in rows], [[list(x) for x in r[3]] for r in rows]
         g.deleted = {r[0] for r in rows if r[4]}
         g.entry = max(range(len(rows)), key=lambda n: len(g.links[n]))
+        g.bytes = sum(g.node_bytes(len(x) - 1) for x in g.links)
         return g
 
 
@@ -217,7 +238,7 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, ef_search: int
 
     step = max(1, QUERY_BYTES // max(8, 8 * len(rows[0].vec)))
     out = None
-    for i in range(0, len(rows), step):
+    for i in range(0, len(rows), step):  # a block's size is checked before it is broadcast
         part = _search_block(graphs, rows[i : i + step], k, ef_search, metric)
         out = part if out is None else out.unionByName(part)
     return out
@@ -239,3 +260,46 @@ def _search_block(graphs: DataFrame, rows: list, k: int, ef_search: int, metric:
 def hnsw_search(base: DataFrame, queries: DataFrame, k: int, m: int = 16, ef_construct: int = 200, ef_search: int = 100, metric: int = D.L2) -> DataFrame:
     """(qid, rank, id, distance): each part's graph answers every query, the best k of all parts stay."""
     return search_graphs(build_graphs(base, m, ef_construct, metric), queries, k, ef_search, None, metric)
+
+
+def graph_stats(graphs: DataFrame, m: int = 16) -> DataFrame:
+    """Nodes, tombstones, levels and estimated bytes of each saved graph."""
+    levels = F.size("links")
+    size = 4 * F.size("vec") + 8 * m * (levels + 1) + 64
+    return graphs.groupBy("part").agg(F.count("*").alias("nodes"), F.count_if("deleted").alias("deleted"), F.max(levels).cast("long").alias("levels"), F.sum(size).cast("long").alias("bytes"))
+
+
+def rebuild(rows: DataFrame, m: int = 16, ef_construct: int = 200, metric: int = D.L2) -> DataFrame:
+    """The graphs of a collection from its stored rows: what a start without a snapshot does."""
+    from .vectors import live
+
+    return build_graphs(live(rows).select("id", "vec"), m, ef_construct, metric)
+
+
+def snapshot_all(collections: dict[str, DataFrame], folder: str, number: int) -> dict[str, str]:
+    """Write the graphs of all collections as snapshot ``number``; their folders by name."""
+    paths = {}
+    for name, graphs in collections.items():
+        paths[name] = f"{folder}/{name}/snapshot-{number:08d}"
+        graphs.write.parquet(paths[name])
+    return paths
+
+
+def snapshots(spark, folder: str, name: str) -> list[str]:
+    """A collection's complete snapshots, the newest first; one without its success mark doesn't count."""
+    from ..workspace import file_system
+
+    fs, at = file_system(spark, f"{folder}/{name}")
+    found = [s.getPath().toString() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted((p for p in found if fs.exists(file_system(spark, f"{p}/_SUCCESS")[1])), reverse=True)
+
+
+def cleanup_snapshots(spark, folder: str, name: str, keep: int = 1) -> list[str]:
+    """Delete a collection's snapshots but the newest; what went."""
+    from ..workspace import file_system
+
+    old = snapshots(spark, folder, name)[keep:]
+    for path in old:
+        fs, at = file_system(spark, path)
+        fs.delete(at, True)
+    return old

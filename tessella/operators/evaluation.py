@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ def nearest_rank(values: DataFrame, by: list[str], column: str, fractions: list[
     over ranges of values, so no task holds a group's.
     """
     counts = values.groupBy(*by, column).agg(F.count("*").alias("c"))
-    run = running(counts, by, [column], upto=("sum", F.col("c"))).join(values.groupBy(*by).agg(F.count("*").alias("n")), by)
+    sizes = values.groupBy(*by).agg(F.count("*").alias("n")).withColumnsRenamed({c: f"_of_{c}" for c in by})
+    run = running(counts, by, [column], upto=("sum", F.col("c"))).join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
 
     def at(p: float) -> Column:
         index = F.floor(F.lit(p) * F.col("n")) if definition == "floor" else F.floor((F.col("n") - 1) * F.lit(p))
@@ -52,10 +55,11 @@ def timeline(ops: DataFrame, bucket_ns: int, kill_ns: int, restart_ns: int) -> D
 
 
 def histogram(values: DataFrame, column: str, first: float, factor: float, buckets: int) -> DataFrame:
-    """(bucket, upper bound, n) of exponential buckets; the last has no bound."""
+    """(bucket, upto, n) of exponential buckets; the last has no upper bound."""
     bounds = [first * factor**i for i in range(buckets)]
     index = sum((F.when(F.col(column) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    return values.groupBy(index.cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+    upto = F.when(F.col("bucket") < buckets, F.lit(first) * F.pow(F.lit(factor), F.col("bucket")))
+    return values.groupBy(index.cast("long").alias("bucket")).agg(F.count("*").alias("n")).select("bucket", upto.alias("upto"), "n")
 
 
 def median_run(runs: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -66,7 +70,26 @@ def median_run(runs: DataFrame, by: list[str], column: str) -> DataFrame:
 
 
 def text_table(rows: DataFrame) -> str:
-    """A result of a few rows as aligned text."""
-    cells = [list(rows.columns), *([f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in rows.limit(1000).collect())]
+    """All rows of a small result, a report, as aligned text."""
+    cells = [list(rows.columns), *([f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in rows.toLocalIterator())]
     widths = [max(len(r[i]) for r in cells) for i in range(len(cells[0]))]
     return "\n".join("  ".join(c.rjust(w) for c, w in zip(r, widths)) for r in cells)
+
+
+def sweep(settings: list[dict], run: Callable[[dict], dict], progress: Callable[[dict], None] | None = None) -> list[dict]:
+    """Results of each setting in turn, reported as they come; settings that can't be built are left out."""
+    out = []
+    for s in settings:  # each a distributed job
+        try:
+            out.append(s | run(s))
+        except ValueError:
+            continue
+        if progress:
+            progress(out[-1])
+    return out
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A report as CSV with a header, doubles with four decimals."""
+    shown = [F.format_string("%.4f", c).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes]
+    rows.select(*shown).coalesce(1).write.option("header", True).csv(path)  # a report of a few rows

@@ -84,3 +84,37 @@ def stats(a: DataFrame, b: DataFrame, cutoff: int | None = None) -> DataFrame:
     apart = divergent(leaves(a, cutoff), leaves(b, cutoff)).agg(F.count("*").alias("divergent"))
     acts = plan(a, b, cutoff).agg(F.count_if(F.col("action") == "pull").alias("pulls"), F.count_if(F.col("action") == "push").alias("pushes"))
     return scanned.crossJoin(apart).crossJoin(acts)  # one row each
+
+
+def fitting_depth(rows: int, fanout: int = FANOUT, leaf_rows: int = 1_000, most: int = 5) -> int:
+    """The depth at which a leaf holds about ``leaf_rows`` rows, so that a few differences leave most leaves equal."""
+    depth = 1
+    while depth < most and fanout**depth * leaf_rows < rows:
+        depth += 1
+    return depth
+
+
+def check_digest(fanout: int, depth: int, replication: int, initiator: str, target: str) -> None:
+    """Refuse a request that names no ends, or a tree that can't be built."""
+    if not initiator or not target:
+        raise ValueError("both ends of the comparison must be named")
+    if fanout < 2 or depth < 1 or replication < 1:
+        raise ValueError("fanout >= 2, depth >= 1 and a replication factor >= 1 are needed")
+
+
+def subtree(tree: DataFrame, path: list[int], fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+    """(child, hash) of the node that ``path`` leads to from the root, in the ``levels`` of a tree."""
+    if len(path) >= depth or any(not 0 <= p < fanout for p in path):
+        raise ValueError(f"a path has fewer than {depth} steps below {fanout}")
+    node = 0
+    for p in path:
+        node = node * fanout + p
+    inside = (F.col("level") == len(path) + 1) & (F.col("idx") >= node * fanout) & (F.col("idx") < (node + 1) * fanout)
+    return tree.filter(inside).select((F.col("idx") - node * fanout).alias("child"), "hash")
+
+
+def leaf_keys(rows: DataFrame, leaf: int | None = None, cutoff: int | None = None, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+    """(idx, key, wall, logical, node, deleted) of a leaf, or of all, as they are compared key by key."""
+    old = rows if cutoff is None else rows.filter(F.col("wall") < cutoff)
+    placed = old.select(leaf_of(fanout, depth).alias("idx"), "key", "wall", "logical", "node", "deleted")
+    return placed if leaf is None else placed.filter(F.col("idx") == leaf)

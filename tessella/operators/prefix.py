@@ -7,6 +7,8 @@ the ranges after it. The ranges are written first, so that both uses see the sam
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ def running(df: DataFrame, by: list[str], order: list[str], **values: tuple[str,
     totals = cut.groupBy("_range", *by).agg(*(fold[how](named[n]).alias(f"_all_{n}") for n, (how, _) in values.items()))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_range", *by, *(fold[how](f"_all_{n}").over(before).alias(f"_before_{n}") for n, (how, _) in values.items()))
-    joined = local.join(offsets, ["_range", *by])
+    # groups may be null, and all their rows stay
+    place = offsets.withColumnsRenamed({c: f"_of_{c}" for c in ["_range", *by]})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ["_range", *by]]
+    joined = local.join(place, reduce(lambda a, b: a & b, same)).drop(*(f"_of_{c}" for c in ["_range", *by]))
     add = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b)}
     return joined.withColumns({n: add[how](F.col(n), F.col(f"_before_{n}")) for n, (how, _) in values.items()}).drop("_range", *named.values(), *(f"_before_{n}" for n in values))

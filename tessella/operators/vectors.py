@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 
-#: Bytes of query vectors a search broadcasts at most; larger query sets are searched in blocks.
-QUERY_BYTES, OVERSAMPLE = 32 << 20, 4
+#: Bytes of query vectors a search broadcasts at most, and of a matrix of distances; larger query sets are searched in blocks.
+QUERY_BYTES, MATRIX_BYTES, ROWS, OVERSAMPLE = 32 << 20, 32 << 20, 1_024, 4
 
 
 def latest(rows: DataFrame, by: tuple[str, ...] = ("wall", "logical")) -> DataFrame:
@@ -60,13 +60,14 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int, metric: int = D.L2) -
 
     Queries go to all tasks in blocks of a checked size; each task keeps only the k best of its rows
     for each query, as one matrix product an Arrow batch, so the shuffle carries k rows a query and task.
-    Candidates are chosen with slack and their distances computed again in plain double arithmetic.
+    The product only preselects, with room for its rounding; what is returned are sums added up component
+    by component, so distances and ties don't depend on the number of queries.
     """
     # collected on the driver: the stated query set, cut into blocks of a bounded size
     rows = queries.select("qid", "vec").orderBy("qid").collect()
     if not rows or k < 1:
         return base.sparkSession.createDataFrame([], "qid long, rank long, id long, distance double")
-    step = max(1, QUERY_BYTES // max(8, 8 * len(rows[0].vec)))
+    step = max(1, min(QUERY_BYTES // max(8, 8 * len(rows[0].vec)), MATRIX_BYTES // (8 * ROWS)))
     out = None
     for i in range(0, len(rows), step):
         part = _knn_block(base, rows[i : i + step], k, metric)
@@ -87,11 +88,19 @@ def _knn_block(base: DataFrame, rows: list, k: int, metric: int) -> DataFrame:
                 continue
             ids = np.asarray(b.column(0), np.int64)
             vecs = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            for a in range(0, len(ids), 8192):
-                own = vecs[a : a + 8192]
-                d = _exact(metric, q, own) if len(q) * own.size <= 1 << 24 else D.matrix(metric, q, own)
-                best_d = np.concatenate([best_d, d], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids[a : a + 8192], (len(q), len(own)))], 1)
+            for a in range(0, len(ids), ROWS):
+                own, names = vecs[a : a + ROWS], ids[a : a + ROWS]
+                # the rows that may be among the k best of some query: rounding moves a product by far less than the slack
+                rough = D.matrix(metric, q, own)
+                slack = 1e-6 * (1 + np.abs(rough) + (q * q).sum(1)[:, None] + (own * own).sum(1)[None, :])
+                bound = best_d.max(1, initial=-np.inf) if best_d.shape[1] == k else np.full(len(q), np.inf)
+                if len(own) > k:
+                    bound = np.minimum(bound, np.partition(rough + slack, k - 1, axis=1)[:, k - 1])
+                use = np.flatnonzero(((rough - slack) <= bound[:, None]).any(0))
+                if not use.size:
+                    continue
+                best_d = np.concatenate([best_d, _exact(metric, q, own[use])], 1)
+                best_i = np.concatenate([best_i, np.broadcast_to(names[use], (len(q), len(use)))], 1)
                 if best_d.shape[1] > k:
                     order = np.lexsort((best_i, best_d), axis=1)[:, :k]
                     best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
@@ -177,6 +186,50 @@ def reconcile_index(index: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("id", action.alias("action")).filter("action is not null")
 
 
-def with_meta(rows: DataFrame, name: str, value: str | Column) -> DataFrame:
-    """Rows whose string metadata field has a value; applied before the search, so k rows are found."""
-    return rows.filter(F.col("meta")[name] == value)
+#: A typed metadata value: exactly one field is set.
+META = "map<string, struct<s: string, i: bigint, d: double, b: boolean, x: binary>>"
+_FIELD = {str: "s", bool: "b", int: "i", float: "d", bytes: "x"}
+
+
+def meta_value(value: Column, field: str) -> Column:
+    """A typed metadata value (of ``META``) of a column: field s, i, d, b or x."""
+    kinds = {"s": "string", "i": "bigint", "d": "double", "b": "boolean", "x": "binary"}
+    return F.struct(*((value if f == field else F.lit(None)).cast(k).alias(f) for f, k in kinds.items()))
+
+
+def with_meta(rows: DataFrame, name: str, value: str | bool | int | float | bytes) -> DataFrame:
+    """Rows whose metadata field has this value in its own type; applied before the search, so k rows are found."""
+    return rows.filter(F.col("meta")[name][_FIELD[type(value)]] == F.lit(value))
+
+
+def shown_meta(rows: DataFrame) -> DataFrame:
+    """Metadata as text, as replies show it: map<string, string>."""
+    text = lambda _, v: F.coalesce(v["s"], v["i"].cast("string"), v["d"].cast("string"), v["b"].cast("string"), F.hex(v["x"]))
+    return rows.withColumn("meta", F.transform_values("meta", text))
+
+
+def provenance(replicas: DataFrame) -> DataFrame:
+    """For each id where its rows came from: (replica, wall, logical) in that order."""
+    return replicas.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("replica", "wall", "logical"))).alias("sources"))  # a few replicas an id
+
+
+def replicate(writes: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
+    """Fan-out of vector rows (id, ..) to their owners (id, node): replica, hinted and the row.
+
+    A dead owner's copy is hinted instead of stored; every column of the row goes along.
+    """
+    state = members.select(F.col("node").alias("replica"), "liveness")
+    sent = writes.join(owners.select("id", F.col("node").alias("replica")), "id").join(F.broadcast(state), "replica")  # one row a member
+    return sent.withColumn("hinted", F.col("liveness") == 2).drop("liveness")
+
+
+def applied(stored: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Each replica's newest row of an id after more rows arrived in any order."""
+    both = stored.unionByName(arrived.select(stored.columns))
+    others = [c for c in stored.columns if c not in ("replica", "id")]
+    return both.groupBy("replica", "id").agg(F.max_by(F.struct(*others), F.struct("wall", "logical")).alias("r")).select("replica", "id", "r.*")
+
+
+def dimension_report(rows: DataFrame, dim: int) -> DataFrame:
+    """(ok, n): how many vectors have the collection's number of components."""
+    return rows.groupBy((F.size("vec") == dim).alias("ok")).agg(F.count("*").alias("n"))

@@ -31,6 +31,14 @@ def overlay(log: DataFrame, at: int, buffer: DataFrame) -> DataFrame:
     return seen.unionByName(own).groupBy("key").agg(*(F.max_by(c, "own").alias(c) for c in cols), (F.max("own") == 1).alias("own_write"))
 
 
+def point_get(log: DataFrame, at: int, buffer: DataFrame, keys: DataFrame) -> DataFrame:
+    """A transaction's point read: its own newest write of a key, else the snapshot. state, seq and value."""
+    asked = keys.select("key").distinct()
+    view = overlay(log.join(asked, "key", "left_semi"), at, buffer.join(asked, "key", "left_semi"))
+    state = F.when(F.col("tombstone").isNull(), "miss").when(F.col("tombstone"), "tombstone").otherwise("hit")
+    return keys.join(view, "key", "left").select("key", state.alias("state"), F.when(state == "hit", F.col("value")).alias("value"), F.coalesce("own_write", F.lit(False)).alias("own_write"))
+
+
 def conflicts(log: DataFrame, at: int, writes: DataFrame) -> DataFrame:
     """Keys of the write set that someone committed after the snapshot; none means it may commit.
 

@@ -6,13 +6,15 @@ returns what it wrote, for tests and for batch callers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.hlc import MAX_DRIFT_NS, step
+from ..operators.merkle import DEPTH, FANOUT, entry_hash, leaf_of
 from ..workspace import folder
 
 
@@ -42,13 +44,127 @@ def unexpired(hints: DataFrame, delay: str) -> DataFrame:
     return hints.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["target", "key"])
 
 
+#: State of a member that was reaped.
+FORGOTTEN = -1
+
+
+def _micros(t: pd.Timestamp) -> int:
+    return (t - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
+
+
 def hint_expiry(hints: DataFrame, ttl_s: int, delay: str) -> DataFrame:
-    """Pending hints a target (target, ts, key) as they come, each once, and ``expired`` by the watermark's clock.
+    """(target, key, expired_at) of pending hints (target, key, ts, done) whose time to live passed by the watermark.
+
+    State is a pending hint's newest time. A row with ``done`` takes it back; an event-time timer purges
+    what stays, so state never outlives the time to live.
+    """
+    span = pd.Timedelta(seconds=ttl_s)
+
+    def purge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at = pd.Timestamp(state.get[0], unit="us") + span
+            state.remove()
+            yield pd.DataFrame({"target": [key[0]], "key": [key[1]], "expired_at": [at]})
+            return
+        rows = pd.concat(list(frames)).sort_values("ts")
+        if bool(rows["done"].iloc[-1]):
+            if state.exists:
+                state.remove()
+            return
+        state.update((_micros(rows["ts"].iloc[-1]),))
+        state.setTimeoutTimestamp(max(_micros(rows["ts"].iloc[-1] + span) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    return hints.withWatermark("ts", delay).groupBy("target", "key").applyInPandasWithState(purge, "target string, key long, expired_at timestamp", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    A hint that is older than the time to live when it comes is marked; its state goes with the watermark.
+def reaped(reports: DataFrame, timeout_s: int, delay: str) -> DataFrame:
+    """(node, reaped_at) of members reported dead (node, ts, liveness) and nothing else for the timeout.
+
+    A forgotten member comes back when it is reported alive, not by another report of its death.
     """
-    age = F.unix_micros(F.current_timestamp()) - F.unix_micros("ts")
-    return unexpired(hints, delay).withColumn("expired", age > ttl_s * 1_000_000)
+    span = pd.Timedelta(seconds=timeout_s)
+
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at = pd.Timestamp(state.get[0], unit="us") + span
+            state.update((FORGOTTEN,))
+            yield pd.DataFrame({"node": [key[0]], "reaped_at": [at]})
+            return
+        rows = pd.concat(list(frames)).sort_values("ts")
+        had = state.get[0] if state.exists else None
+        forgotten = had == FORGOTTEN
+        since = None if had is None or forgotten else pd.Timestamp(had, unit="us")
+        found = []
+        for ts, liveness in zip(rows["ts"], rows["liveness"]):
+            if since is not None and ts - since >= span:
+                found.append(since + span)
+                since, forgotten = None, True
+            if liveness != 2:
+                since, forgotten = None, False
+            elif since is None and not forgotten:
+                since = ts
+        if since is not None:
+            state.update((_micros(since),))
+            state.setTimeoutTimestamp(max(_micros(since + span) // 1000, state.getCurrentWatermarkMs() + 1))
+        elif forgotten:
+            state.update((FORGOTTEN,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"node": [key[0]] * len(found), "reaped_at": pd.Series(found, dtype="datetime64[ns]")})
+
+    return reports.withWatermark("ts", delay).groupBy("node").applyInPandasWithState(watch, "node string, reaped_at timestamp", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def received(events: DataFrame, max_drift: int = MAX_DRIFT_NS) -> DataFrame:
+    """The clock's receive rule over a stream of (node, i, physical, remote_wall, remote_logical), in order of i a batch.
+
+    State is a node's clock alone: two numbers.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(state.get) if state.exists else (0, 0)
+        rows = pd.concat(list(frames)).sort_values("i")
+        out = []
+        for i, physical, remote, wall, logical in zip(rows["i"], rows["physical"], rows["remote"], rows["remote_wall"], rows["remote_logical"]):
+            now, ok = step(now, int(physical), (int(wall), int(logical)) if remote else None, max_drift)
+            out.append((key[0], int(i), *now, ok))
+        state.update(now)
+        yield pd.DataFrame(out, columns=["node", "i", "wall", "logical", "accepted"])
+
+    # without nulls: a column that has some would come as doubles, which can't hold nanoseconds
+    whole = events.withColumn("remote", F.col("remote_wall").isNotNull()).fillna(0, ["remote_wall", "remote_logical"])
+    return whole.groupBy("node").applyInPandasWithState(fold, "node string, i long, wall long, logical long, accepted boolean", "wall long, logical long", "append", GroupStateTimeout.NoTimeout)
+
+
+def leaf_entries(rows: DataFrame, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+    """Rows of a stream as Merkle entries (idx, key, hash): each row by itself, without state."""
+    return rows.select(leaf_of(fanout, depth).alias("idx"), "key", entry_hash().alias("hash"))
+
+
+def per_second(ops: DataFrame, delay: str) -> DataFrame:
+    """Operations and errors (ts, ok) of each second that the watermark closed."""
+    w = ops.withWatermark("ts", delay).groupBy(F.window("ts", "1 second").alias("w")).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"))
+    return w.select(F.col("w.start").alias("second"), "n", "errors")
+
+
+def on_change(stream: DataFrame, fn: Callable[[DataFrame, int], None], check: str) -> None:
+    """Run a callback on each batch of changes of liveness or ring state that is there now."""
+    stream.writeStream.foreachBatch(fn).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain_on_recovery(recoveries: DataFrame, hints: DataFrame, out: str, check: str, replay: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Whenever members come back (target, ts), write their pending hints up to then to ``out``.
+
+    Hints are a table that each batch reads anew, so what came meanwhile goes along; a batch that is run
+    again writes the same folder again. ``replay`` turns hints into what the target gets.
+    """
+
+    def send(batch: DataFrame, number: int) -> None:
+        back = batch.groupBy("target").agg(F.max(F.unix_micros("ts")).alias("upto"))  # a row a member
+        due = hints.join(F.broadcast(back), "target").filter(F.col("wall") <= F.col("upto") * 1000).drop("upto")
+        (replay(due) if replay else due).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/b={number}")
+
+    on_change(recoveries, send, check)
 
 
 def suspects(beats: DataFrame, timeout_s: int, delay: str) -> DataFrame:

@@ -238,7 +238,8 @@ def test_vector_files(spark, tmp_path):
     spark.dataSource.register(vectors_file.VectorsFile)
     back = spark.read.format("vecs").load(str(tmp_path / "a.fvecs"))
     assert as_set(back.select("id", F.col("vec")[0]), "*") == {(i, float(i)) for i in range(100)}
-    raw = (tmp_path / "a.fvecs").read_bytes()
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "a.fvecs").glob("part-*")))
+    assert len(raw) == 100 * 16 and not list((tmp_path / "a.fvecs").glob(".part-*"))
     for bad in (raw[:3], raw[:-1], b"\0\0\0\0" + raw[4:]):
         (tmp_path / "b.fvecs").write_bytes(bad)
         with pytest.raises(Exception, match="small|whole|dimension"):
@@ -271,6 +272,90 @@ def test_codecs_round_trip():
         codecs.encode_vector([1.0], {"x": None})
 
 
+def test_records_byte_for_byte():
+    """Records worked out by hand from their layouts."""
+    assert codecs.encode_collection(4, 1, 16, 200, 50, 9).hex() == "01" "0400" "01" "1000" "c800" "3200" "0900000000000000"
+    record = codecs.encode_vector([1.0, -2.5], {"b": True, "a": "xy", "n": 7, "d": 0.5, "r": b"\x01"}, 8, 1)
+    assert record.hex() == (
+        "02" "0000000000000008" "00000001" "0200" "0000803f" "000020c0" "0500"
+        "0100" "61" "01" "0200" "7879" "0100" "62" "04" "0100" "01" "0100" "64" "03" "0800" "000000000000e03f" "0100" "6e" "02" "0800" "0700000000000000" "0100" "72" "05" "0100" "01"
+    )
+    assert codecs.decode_vector(bytes.fromhex("01" "0100" "0000803f" "0000")) == ([1.0], {}, 0, 0)  # the first version has no clock
+    assert codecs.encode_clock(5, 2, "ab").hex() == "0000000000000005" "00000002" "0002" "6162"
+    assert codecs.encode_internal_key(b"k", 1).hex() == "6b" "fffffffffffffffe"
+    assert codecs.vector_key("ab").hex() == "02" "0200" "6162" "00"
+    assert codecs.vector_key("ab", bytes(16)).hex() == "02" "0200" "6162" "01" + "00" * 16
+    assert [k.hex() for k in codecs.vector_key_bounds("ab")] == ["020200616201", "020200616202"]
+    assert codecs.read_vector_key(codecs.vector_key("é", bytes(range(16)))) == ("é", bytes(range(16))) and codecs.read_vector_key(codecs.vector_key("x")) == ("x", None)
+    assert codecs.hint_key("n1", 3, 4, b"k").hex() == "0002" "6e31" "0000000000000003" "00000004" "6b"
+    assert codecs.read_hint_key(codecs.hint_key("n1", 3, 4, b"k")) == ("n1", 3, 4, b"k")
+    assert codecs.read_hint_value(b"\xf1ab") == ("vector_write", b"ab") and codecs.read_hint_value(b"\x01ab") == ("write", b"\x01ab") and codecs.read_hint_value(b"") == ("write", b"")
+    for bad in (lambda: codecs.encode_vector([1.0], {"a": "x" * 65_536}), lambda: codecs.read_vector_key(b"\x02\x09\x00a"), lambda: codecs.read_hint_key(b"\x00\x09a"), lambda: codecs.decode_collection(b"\x02" + bytes(17)), lambda: codecs.vector_key("a", b"short")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_null_groups_stay(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "g string, x long")
+    got = prefix.running(rows, ["g"], ["x"], s=("sum", F.col("x"))).collect()
+    assert sorted((str(r.g), r.x, r.s) for r in got) == [("None", 2, 2), ("None", 3, 5), ("a", 1, 1)]
+    assert {r.g: r.p50 for r in evaluation.nearest_rank(rows, ["g"], "x", [0.5]).collect()} == {"a": 1, None: 3}
+    hints = spark.createDataFrame([(None, 1, 0, "n", 1, 5, False), ("t", 1, 0, "n", 1, 5, False), (None, 2, 0, "n", 2, 9, False)], "target string, wall long, logical long, node string, key long, size long, tombstone boolean")
+    assert replication.within_capacity(hints, 10).count() == 3 and replication.hint_batches(hints).count() == 3
+
+
+def test_searches_over_nothing(spark):
+    none = spark.createDataFrame([], "id long, vec array<float>")
+    some = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<float>")
+    asked = some.withColumnRenamed("id", "qid")
+    assert ann.ivf_search(none, asked, 3).count() == 0 and ann.ivf_search(some, asked.limit(0), 3).count() == 0
+    assert vectors.knn_batch(none, asked, 3).count() == 0 and ann.hnsw_search(some, asked, 3).count() == 1
+
+
+def test_search_blocks_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = spark.createDataFrame([(i, [float(x) for x in rng.integers(0, 3, 4)]) for i in range(300)], "id long, vec array<float>")  # many ties
+    asked = base.filter("id % 7 = 0").withColumnRenamed("id", "qid")
+    for metric in (D.L2, D.COSINE, D.INNER):
+        whole = vectors.knn_batch(base, asked, 5, metric).orderBy("qid", "rank").collect()
+        monkeypatch.setattr(vectors, "MATRIX_BYTES", 8 * vectors.ROWS * 4)
+        monkeypatch.setattr(vectors, "ROWS", 16)
+        assert vectors.knn_batch(base, asked, 5, metric).orderBy("qid", "rank").collect() == whole
+        monkeypatch.undo()
+
+
+def test_graph_limits():
+    g = ann.Graph(2, m=4, max_bytes=4 * g_bytes(2, 4))
+    g.add([1, 2], np.zeros((2, 2)))
+    for ids in ([2], [3, 3]):
+        with pytest.raises(ValueError):
+            g.add(ids, np.zeros((len(ids), 2)))
+    with pytest.raises(ValueError):
+        g.add([9], np.zeros((1, 3)))
+    with pytest.raises(MemoryError):
+        g.add(list(range(10, 40)), np.zeros((30, 2)))
+    assert g.ids == [1, 2] and g.stats()["bytes"] == g.bytes > 0
+
+
+def g_bytes(dim, m):
+    return 4 * dim + 8 * m * 4 + 64
+
+
+def test_tombstones_lead_on_without_widening_the_beam():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8))
+    g = ann.Graph(8, m=8, ef_construct=60)
+    g.add(list(range(600)), x)
+    g.remove(set(range(0, 600, 2)))
+    hits = 0
+    for q in x[:40]:
+        want = [i for i in np.argsort(((x - q) ** 2).sum(1)) if i % 2][:5]
+        got = [i for _, i in g.search(q, 5, 60)]
+        assert all(i % 2 for i in got) and len(got) == 5
+        hits += len(set(got) & set(want))
+    assert hits / 200 >= 0.95
+
+
 def test_percentile_rules(spark):
     df = spark.createDataFrame([("g", float(x)) for x in (5, 1, 4, 2, 3, 3)], "g string, x double")
     floor = evaluation.nearest_rank(df, ["g"], "x", [0.0, 0.5, 0.99]).first()
