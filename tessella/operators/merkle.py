@@ -49,11 +49,13 @@ def divergent(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.filter("hash_a != hash_b")
 
 
-def plan(a: DataFrame, b: DataFrame, cutoff: int | None = None, fanout: int = FANOUT, depth: int = DEPTH) -> DataFrame:
+def plan(a: DataFrame, b: DataFrame, cutoff: int | None = None, fanout: int = FANOUT, depth: int | None = None) -> DataFrame:
     """(key, action): pull from b, push to b, or conflict (equal clocks, different rows).
 
-    Only rows of divergent leaves are joined. One cutoff holds for trees and rows on both sides.
+    Only rows of divergent leaves are joined. One cutoff holds for trees and rows on both sides. Without a
+    depth the tree gets one that fits the rows; the plan is the same at any.
     """
+    depth = depth or fitting_depth(a.count(), fanout)
     old = (lambda d: d) if cutoff is None else (lambda d: d.filter(F.col("wall") < cutoff))
     apart = divergent(leaves(a, cutoff, fanout, depth), leaves(b, cutoff, fanout, depth)).select("idx")  # fanout ** depth rows at most
     pick = lambda d, n: old(d).withColumn("idx", leaf_of(fanout, depth)).join(F.broadcast(apart), "idx", "left_semi").select("key", F.struct("wall", "logical", "node").alias(f"s{n}"), F.struct("value", "deleted").alias(f"v{n}"))

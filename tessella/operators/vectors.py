@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
@@ -51,8 +51,9 @@ def admitted(rows: DataFrame, incoming: DataFrame, limit: int) -> DataFrame:
 
 def knn(base: DataFrame, query: list[float], k: int, metric: int = D.L2) -> DataFrame:
     """The k nearest rows to one vector: (id, distance), ties by id. One pass, top k a task."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return base.select("id", D.by_metric(metric)(F.col("vec"), q).alias("distance")).orderBy("distance", "id").limit(k)
+    if k < 1:
+        return base.sparkSession.createDataFrame([], "id long, distance double")
+    return _knn_block(base.filter("vec is not null"), [Row(qid=0, vec=list(query))], k, metric).select("id", "distance")
 
 
 def knn_batch(base: DataFrame, queries: DataFrame, k: int, metric: int = D.L2) -> DataFrame:
