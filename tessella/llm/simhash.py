@@ -37,8 +37,6 @@ from ._common import drop, id_and_bytes, join_on_hot_keys, map_arrow, store
 from .components import components, forest
 
 SHARD, TREE, QUERIES, STEP = 1_024, 16_384, 2_048, 200_000
-#: Ids of documents to drop are broadcast up to this many (8 bytes each); beyond, documents are joined.
-BROADCAST_IDS = 500_000
 SEED = 42
 #: Byte value -> its eight bits as eight byte lanes, to add up to 255 hashes at once.
 LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
@@ -125,15 +123,11 @@ class BKForest:
             d = np.bitwise_count(fps[query] ^ self.fps[node]).astype(np.int64)
             near = d <= radius
             found.append((query[near], node[near]))
-            queries, nodes = [], []
-            for key in range(-radius, radius + 1):
-                edge = np.where((d + key >= 0) & (d + key <= 64), node * 65 + d + key, -1)
-                i = np.searchsorted(self.edges, edge)
-                ok = i < len(self.edges)
-                ok[ok] = self.edges[i[ok]] == edge[ok]
-                queries.append(query[ok])
-                nodes.append(self.children[i[ok]])
-            query, node = np.concatenate(queries), np.concatenate(nodes)
+            # a node's edges stand in the order of their distances: those within the radius are one range
+            low = np.searchsorted(self.edges, node * 65 + np.maximum(d - radius, 0))
+            count = np.searchsorted(self.edges, node * 65 + np.minimum(d + radius, 64), side="right") - low
+            ramp = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            query, node = np.repeat(query, count), self.children[np.repeat(low, count) + ramp]
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found])
@@ -178,16 +172,6 @@ def link_edges(classes: DataFrame, radius: int = 2) -> DataFrame:
     return cells.groupBy("shard", "tree", "block").applyInPandas(lambda pdf: shard_links(pdf, radius), "u long, v long")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose id isn't its component's smallest.
-
-    Rows without an id stay; rows that share an id stand and fall together.
-    """
-    gone, _ = store(near_duplicates(docs).filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable)."""
     prints, _ = store(fingerprints(docs, width, id_col, text_col), "prints")

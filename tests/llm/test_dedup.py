@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from helpers import SF
 from pyspark.sql import functions as F
-from tessella.llm import _common, components, simhash, suffix_dedup
+from tessella.llm import _common, components, near_copies, simhash, suffix_dedup
 from tessella.llm import queries as llm
 
 HUGE = 1 << 62
@@ -202,6 +202,63 @@ def test_bk_tree_follows_the_triangle():
     assert simhash.BKForest(np.empty(0, np.uint64), np.empty(0, np.int64)).within(fps, np.zeros(len(fps), np.int64), 2)[0].size == 0
 
 
+def shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([" ".join(w)] * bool(w))
+
+
+def similar_components(rows):
+    """Smallest id of each row's component over pairs of sets with a Jaccard similarity of 0.8."""
+    sets = [shingles(t) for _, t in rows]
+    u, v = [], []
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)):
+                u.append(i)
+                v.append(j)
+    root = components.forest(np.array(u, np.int64), np.array(v, np.int64), len(rows))
+    least: dict = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, HUGE), HUGE if i is None else i)
+    return [least[r] for r in root]
+
+
+def planted(rng, n):
+    """Texts, copies, and near copies of one another by a few changed words, one large family among them."""
+    from helpers import words
+
+    rows, at = [], 0
+    for _ in range(n):
+        base = [f"{w}{rng.randrange(50)}" for w in words(rng, rng.randrange(8, 160)).split()]
+        for k in range(rng.choice([1, 1, 2, 4])):
+            own = list(base)
+            for _ in range(k * len(own) // 60):
+                own[rng.randrange(len(own))] = f"changed{rng.randrange(9)}"
+            rows.append((at, " ".join(own)))
+            at += 1
+    family = [f"word{i}" for i in range(100)]
+    for i in range(60):
+        own = list(family)
+        own[i] = "other"
+        rows.append((at + i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("cell", "hot"), [(1_024, 1_000), (16, 5)])
+def test_near_copies_equal_brute_force(spark, odd, monkeypatch, cell, hot):
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(_common, "HOT_ROWS", hot)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = docs + [(10**6 + i, t) for i, t in planted(random.Random(cell), 80)] + [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((str(r.doc_id), HUGE if r.component_id is None else r.component_id) for r in near_copies.near_copies(df).collect()))
+    want = sorted((str(i), c) for (i, _), c in zip(rows, similar_components(rows)))
+    assert got == want
+    assert len({c for _, c in want}) < len(rows) - 100
+
+
 def test_shards_stay_of_one_size():
     assert [simhash.block_bits(n) for n in (0, 1_024, 1_025, 1_024 << 10, 1 << 50)] == [0, 0, 1, 10, 21]
     rng = np.random.default_rng(2)
@@ -227,7 +284,8 @@ def test_long_chains_connect(spark):
 
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.one_of_each(none).count() == 0
+    assert near_copies.near_copies(none).count() == 0
+    assert near_copies.one_of_each(none).count() == 0
 
 
 def test_queries_have_the_contract_columns(spark):
