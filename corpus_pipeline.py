@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows as Parquet in the shared work folder and reads them
-again for the next, so a stage is never computed twice and lost executors cost no more than a stage.
+again for the next, so a stage is never computed twice and lost executors cost no more than a stage;
+what a stage read is deleted once the next one is written.
+
+Edge cases: a null or empty text is toxic only if the bias says so and goes with the language stage, for it
+has no letters; a null id is never dropped as a copy; rows that share an id stand and fall together as copies
+and never lose bytes to each other; very long texts pass whole; ties go to the smaller id; an empty table
+passes every stage; other columns, whatever their names, come along until packing.
 """
 
 from __future__ import annotations
@@ -10,10 +16,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm._common import store
+from tessella.llm._common import drop, store
 from tessella.llm.language import with_language
+from tessella.llm.near_copies import one_of_each
 from tessella.llm.packing import pack_documents
-from tessella.llm.simhash import one_of_each
 from tessella.llm.suffix_dedup import without_repeats
 from tessella.llm.toxicity import without_toxic
 
@@ -29,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
+    """One document, the one with the smallest id, of each group that is 0.8 similar in shingles of five words."""
     return one_of_each(docs)
 
 
@@ -51,6 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs, _ = store(stage(spark, docs, sf_dir), f"stage-{name}")
-    return store(STAGES[-1][1](spark, docs, sf_dir), "stage-packing")[0]
+    before = []
+    for name, stage in STAGES:
+        docs, path = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(spark, *before)
+        before = [path]
+    return docs
