@@ -7,6 +7,7 @@ storage.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,7 +89,7 @@ def join_on_hot_keys(rows: DataFrame, of_key: DataFrame, key: str) -> DataFrame:
 
 
 #: Bytes of a record batch that a function of ``map_arrow`` gets at once, unless one row is larger.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -100,6 +101,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Give what finished work left free in this worker back to the system: workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library frees as it likes
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """``mapInArrow`` for functions that turn one record batch into one, in batches of bounded size."""
     small_batches(df.sparkSession)
@@ -109,6 +119,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             step = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 yield fn(batch.slice(at, step))
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -159,5 +170,6 @@ def kept(name: str, key: object, make: Callable[[], object]) -> object:
     """The worker's value of operator ``name`` if it was the last one kept and made for ``key``, else a new one."""
     if (name, key) not in _KEPT:
         _KEPT.clear()
+        trim()
         _KEPT[name, key] = make()
     return _KEPT[name, key]

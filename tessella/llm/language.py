@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, map_arrow
+from ._common import kept, map_arrow, trim
 
 #: The documented bounds of training, and the least number of times a context must occur.
 TRAIN_BYTES, TRAIN_ROWS, TOTAL_BYTES, LEAST = 400_000, 400, 32 << 20, 4
@@ -229,7 +229,10 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_i
             texts[r.lang].append(bytes(r.body)[: budget - used[r.lang]])
             used[r.lang] += len(texts[r.lang][-1])
     texts = {n: t for n, t in texts.items() if t}
-    return with_limits(fit_trees(texts), texts)
+    try:
+        return with_limits(fit_trees(texts), texts)
+    finally:
+        trim()
 
 
 def identify_language(docs: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trees: ContextTrees | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches, store
+from ._common import small_batches, store, trim
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES, SLICE, BATCH_WINDOWS, HOT_WINDOWS = 4 << 20, 1 << 17, 1 << 18, 1 << 18
@@ -404,6 +404,7 @@ def _send_windows(shards: int, filtered: bool):
 
     def one(row: dict, told: dict | None) -> pa.Table:
         batch = Batch(Block(row["ids"], row["ends"], row["data"]), told, shards)
+        trim()
         out = [(row["block"], s, batch.message(a, b)) for s, a, b in batch.parts]
         if len(batch.gone) or len(batch.again[0]):
             out.append((row["block"], -1 - row["block"] % shards, batch.known()))  # passes through to the block
@@ -534,7 +535,10 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
             add()
     if waiting:
         add()
-    return pd.DataFrame(_answers(sent, family.owners()[1], shard), columns=["block", "shard", "body"])
+    out = pd.DataFrame(_answers(sent, family.owners()[1], shard), columns=["block", "shard", "body"])
+    del family, sent
+    trim()
+    return out
 
 
 _LEVELS = "shard long, batch long, absorbed array<long>, data binary, suffixes binary, owners binary"
@@ -623,6 +627,8 @@ def _cut(carry: list[str], as_text: bool):
                 kept = block.data[a:b][~mask].tobytes()
             out.append((None if no_id else doc, b - a, n, spans, kept.decode(errors="ignore") if as_text else kept))
         cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+        del out, gone, block
+        trim()
         rest = pa.ipc.open_stream(_expand(row["rest"])).read_all().combine_chunks() if carry else None
         return pa.Table.from_arrays([*cols, *(rest.columns if carry else [])], names + carry)
 

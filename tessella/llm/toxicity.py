@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BoundedCache, id_and_text, kept, map_arrow
+from ._common import BoundedCache, id_and_text, kept, map_arrow, trim
 
 #: The documented bounds of the training sample, for each class and each text.
 TRAIN_TEXTS, TRAIN_BYTES, TEXT_BYTES = 1_500, 16 << 20, 256 << 10
@@ -247,7 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -
     wanted = spark.createDataFrame(parts, "doc_id long, digest string, chars int")
     cut = texts.withColumn("digest", F.sha2("text", 256)).join(F.broadcast(wanted), ["doc_id", "digest"]).select("doc_id", F.expr("substring(text, 1, chars)").alias("text"))
     sample = sorted({r.doc_id: r.text for r in cut.toLocalIterator()}.items())
-    return fit_texts([t for _, t in sample], [chosen[i] for i, _ in sample], counts.get(1, 0) / max(1, sum(counts.values())))
+    trim()
+    try:
+        return fit_texts([t for _, t in sample], [chosen[i] for i, _ in sample], counts.get(1, 0) / max(1, sum(counts.values())))
+    finally:
+        trim()
 
 
 def _score(shared, call: str, texts: list[str | None]) -> np.ndarray:
