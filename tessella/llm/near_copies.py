@@ -3,18 +3,18 @@
 At that similarity two 64-bit fingerprints differ in about ten bits, too many for blocks that must agree,
 so shards are dealt by minima instead: of ``BANDS`` * ``ROWS`` hash functions each text keeps the smallest
 hash among its shingles, and texts that agree in all ``ROWS`` minima of a band share a shard (at 0.8 a pair
-misses all bands once in 5,000). Equal sets form one class before, so copies cost one row. First every
-class is compared with the smallest one of each of its shards; a family of copies of one text is mostly
-connected by that. Then the shards that aren't are searched: a BK-tree over the SimHash fingerprints
-proposes the pairs at ``RADIUS`` bits or fewer, nearest first, for all classes outside the shard's largest
-component. The exact similarity of the shingle sets decides every link; pairs that are connected already
+misses all bands once in 5,000). Equal sets form one class before, so copies cost one row, and shards are
+named by their smallest class, so that the bands of one family fall together. In a shard a BK-tree over the
+SimHash fingerprints proposes the pairs at ``RADIUS`` bits or fewer, nearest first, and the exact similarity
+of the shingle sets decides every link. A shard of more than ``CELL`` classes is first compared with its
+smallest class, which connects most of a family of copies; the trees are then searched for all classes
+outside the shard's largest component. Pairs that are connected already
 aren't looked at again.
 
-Scale: what is shuffled for every text is its fingerprint and minima, not its words. Shards with the same
-members are kept once. Only classes that share a shard send their shingle sets (8 bytes a shingle). A shard
-of more than ``CELL`` classes becomes a grid of cells, so no task holds more than two times ``CELL`` sets of
-it; members of hot keys are looked up in broadcasts of bounded size. Components come from star steps
-(components.py).
+Scale: what is shuffled for every text is its fingerprint and minima, not its words. Only classes that
+share a shard send their shingle sets (8 bytes a shingle). A shard of more than ``CELL`` classes becomes a
+grid of cells, so no task holds more than two times ``CELL`` sets of it; members of hot keys are looked up
+in broadcasts of bounded size. Components come from star steps (components.py).
 
 Edge cases: texts are compared by their words as in simhash.py; null, empty and word-free texts are copies
 of each other and of nothing else; fewer words than a shingle are one shingle; very long texts are read
@@ -37,7 +37,7 @@ from ._common import id_and_bytes, join_on_hot_keys, map_arrow, store
 from .components import components
 from .simhash import BKForest, majority, shingle_hashes
 
-WIDTH, SIMILARITY, BANDS, ROWS, RADIUS, CELL = 5, 0.8, 16, 4, 20, 1_024
+WIDTH, SIMILARITY, BANDS, ROWS, RADIUS, CELL = 5, 0.8, 16, 4, 24, 1_024
 #: Shingles that are hashed at once, and pairs that are compared between two looks at what is connected.
 STEP, PAIRS = 4_096, 256
 #: Ids of texts whose sets are needed are broadcast up to this many (8 bytes each).
@@ -133,11 +133,10 @@ def _cell_links(similarity: float):
 
 
 def _hub_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links of classes with the smallest class of one of their shards."""
-    hubs = members.groupBy("shard").agg(F.min("class").alias("hub"), F.count("*").alias("n"))
-    pairs, _ = store(join_on_hot_keys(members.select("shard", "class"), hubs, "shard").filter("class != hub").select("class", "hub").distinct(), "pairs")
+    """Links of classes with the smallest class of their shard."""
+    pairs = members.select("class", F.col("shard").alias("hub")).filter("class != hub")
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
-    of_hub, _ = store(sets.select(F.col("class").alias("hub"), F.col("body").alias("other")).join(sizes, "hub"), "hubs")
+    of_hub, _ = store(sets.select(F.col("class").alias("hub"), F.col("body").alias("other")).join(sizes, "hub"), "of-hub")
     both = join_on_hot_keys(pairs.join(sets, "class"), of_hub, "hub").select("class", "hub", "body", "other")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -148,9 +147,20 @@ def _hub_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return map_arrow(both, run, "u long, v long")
 
 
+def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All links: shards that one task holds are searched at once, larger ones by their hub and then by cells."""
+    small = members.filter(F.col("n") <= CELL).select("shard", "class", "fp", F.col("class").alias("root"), F.lit(True).alias("node"), F.lit(True).alias("asks"))
+    found = small.join(sets, "class").groupBy("shard").applyInPandas(_cell_links(similarity), "u long, v long")
+    large = members.filter(F.col("n") > CELL)
+    if large.isEmpty():
+        return found
+    first, _ = store(_hub_links(large, sets, similarity), "first")
+    return found.unionByName(first).unionByName(_rest_links(large, sets, first, similarity))
+
+
 def _rest_links(members: DataFrame, sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """Links that BK-trees find in the shards that the ``known`` components (class, root) leave apart."""
-    placed = members.join(known.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    """Links that BK-trees find in the shards that the ``known`` links (u, v), each class by its smallest, leave apart."""
+    placed = members.join(known.groupBy(F.col("u").alias("class")).agg(F.min("v").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class"))
     placed, _ = store(placed.select("shard", "class", "fp", "root"), "placed")
     parts = placed.groupBy("shard", "root").agg(F.count("*").alias("m"))
     apart = parts.groupBy("shard").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
@@ -166,13 +176,13 @@ def _rest_links(members: DataFrame, sets: DataFrame, known: DataFrame, similarit
 
 
 def _shards(classes: DataFrame) -> DataFrame:
-    """(shard, class, fp, n): members of every shard that several classes share, shards of equal members once."""
-    dealt, _ = store(classes.select("class", "fp", F.explode("bands").alias("shard")), "dealt")
-    member = F.xxhash64("class")
-    groups = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftrightunsigned(member, 24)).alias("s"), F.min("class").alias("least"))
-    once = groups.filter("n > 1").groupBy("n", "x", "s", "least").agg(F.min("shard").alias("shard"))
-    kept, _ = store(once.select("shard", "n", F.col("n").alias("members")), "shards")
-    return store(join_on_hot_keys(dealt, kept, "shard").withColumnRenamed("members", "n"), "members")[0]
+    """(shard, class, fp, n): classes by the smallest class that they share a band with, each pair once; n: of the shard."""
+    dealt, _ = store(classes.select("class", "fp", F.explode("bands").alias("band")), "dealt")
+    hubs = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("shard")).filter("n > 1")
+    pairs = join_on_hot_keys(dealt, store(hubs, "hubs")[0], "band").select("shard", "class", "fp").distinct()
+    pairs, _ = store(pairs, "pairs")
+    sizes, _ = store(pairs.groupBy("shard").agg(F.count("*").alias("n")).withColumn("members", F.col("n")), "sizes")
+    return store(join_on_hot_keys(pairs, sizes, "shard").withColumnRenamed("members", "n"), "members")[0]
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -190,7 +200,9 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, id
                 own = shingle_set(body.as_py(), width)
                 yield pa.RecordBatch.from_arrays([pa.array([set_name(own)], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["name", "body"])
 
-    found = rows.mapInArrow(run, "name binary, body binary").join(named.select("class", "name"), "name").select("class", "body")
+    names = named.select("class", "name")
+    names = F.broadcast(names) if names.count() <= BROADCAST_IDS // 4 else names  # 24 bytes each
+    found = rows.mapInArrow(run, "name binary, body binary").join(names, "name").select("class", "body")
     return store(found.dropDuplicates(["class"]), "sets")[0]
 
 
@@ -201,9 +213,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     classes, _ = store(some.withColumn("class", F.monotonically_increasing_id()), "classes")
     members = _shards(classes)
     sets = _sets(docs, classes, members.select("class").distinct(), width, id_col, text_col)
-    first = components(_hub_links(members, sets, similarity))
-    links, _ = store(first.unionByName(_rest_links(members, sets, first, similarity)), "links")
-    stars = components(links)
+    stars = components(_links(members, sets, similarity))
     rooted = classes.select("class", "name", "least", "rows").join(stars.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rooted, _ = store(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
