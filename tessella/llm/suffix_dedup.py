@@ -244,14 +244,31 @@ def _told(table: pa.Table) -> dict[int, tuple[bytes, bytes]]:
     return {s: (b, h) for s, b, h in zip(table["shard"].to_pylist(), table["bits"].to_pylist(), table["hot"].to_pylist())}
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    """Dense ranks of numbers."""
-    values = values.astype(np.uint64)
-    order = np.argsort(values)
-    values = values[order]
-    new = np.zeros(len(values), np.uint32)
-    new[1:] = values[1:] != values[:-1]
-    out = np.empty(len(values), np.uint32)
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of numbers from 0 on, and the numbers in it; sorted with their places where 64 bits hold both."""
+    key = key.astype(np.uint64)
+    place = max(len(key) - 1, 0).bit_length()
+    if not len(key) or int(key.max()).bit_length() + place > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    key <<= np.uint64(place)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << place) - 1)).view(np.int64)
+    key >>= np.uint64(place)
+    return order, key
+
+
+def _ranks(high: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+    """Dense ranks of numbers or pairs of numbers."""
+    key = high.astype(np.uint64)
+    if low is not None:
+        key <<= np.uint64(int(low.max()).bit_length())
+        key |= low
+    order, key = _sorted(key)
+    new = np.zeros(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    out = np.empty(len(key), np.uint32)
     out[order] = np.cumsum(new, dtype=np.uint32)
     return out
 
@@ -259,39 +276,26 @@ def _ranks(values: np.ndarray) -> np.ndarray:
 def suffix_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Dense ranks of the windows that start at ``at`` in the order of their ``LENGTH`` bytes.
 
-    A first pass ranks by 8 bytes; windows that still share a rank are told apart by 16 more at a time.
+    Prefix doubling over the bytes that these windows cover: every place is ranked by 5 bytes, then by
+    pairs of such ranks 5, 10 and 20 places apart, and the windows by two ranks of 40 bytes.
     """
-    n = len(at)
-    if not n:
+    if not len(at):
         return np.empty(0, np.int64)
-    word = np.ndarray((len(data) - 7,), ">u8", np.ascontiguousarray(data), 0, (1,))
-    key = word[at].astype(np.uint64)
-    order, rank, rest = np.argsort(key), np.zeros(n, np.int64), np.arange(n)  # a rank is the number of smaller windows
-    for a, b in ((8, 16), (24, 32), (40, LENGTH - 8), (None, None)):
-        key, old = key[order], rank[rest[order]]
-        index = np.arange(len(rest))
-        new = np.ones(len(rest), bool)
-        new[1:] = key[1:] != key[:-1]
-        group = np.ones(len(rest), bool)
-        group[1:] = old[1:] != old[:-1]
-        begin = np.maximum.accumulate(np.where(new, index, 0))
-        rank[rest[order]] = old + begin - np.maximum.accumulate(np.where(group, index, 0))
-        alone = new & np.append(new[1:], True)
-        rest = rest[order[~alone]]
-        if a is None or not rest.size:
-            break
-        parts = [rank[rest].astype(np.uint64), *(_ranks(word[at[rest] + k]).astype(np.uint64) for k in (a, b))]
-        bits = [int(x.max()).bit_length() for x in parts]
-        if sum(bits) > 64:
-            parts = [parts[0], _ranks((parts[1] << np.uint64(32)) | parts[2]).astype(np.uint64)]
-            bits = [int(x.max()).bit_length() for x in parts]
-        key = parts[0]
-        for x, width in zip(parts[1:], bits[1:]):
-            key = (key << np.uint64(width)) | x
-        order = np.argsort(key)
-    taken = np.zeros(n, bool)
-    taken[rank] = True
-    return (np.cumsum(taken) - 1)[rank]
+    begins = np.zeros(len(data), bool)
+    begins[at] = True
+    inside = np.cumsum(begins, dtype=np.int64)
+    inside[LENGTH:] -= inside[:-LENGTH].copy()
+    inside = inside > 0
+    text = np.concatenate([data[inside], np.zeros(3, np.uint8)])
+    if len(text) < len(data) + 3:
+        at = (np.cumsum(inside) - 1)[at]
+    del begins, inside
+    span = 5
+    rank = _ranks(np.ndarray((len(text) - 7,), ">u8", text, 0, (1,)) >> np.uint64(64 - 8 * span))
+    while 2 * span <= LENGTH:
+        rank = _ranks(rank[:-span], rank[span:])
+        span *= 2
+    return _ranks(rank[at], rank[at + LENGTH - span]).astype(np.int64)
 
 
 def _ramps(count: np.ndarray) -> np.ndarray:
@@ -333,8 +337,9 @@ class Batch:
         shard[alone] = ((_whole_hashes(block.data, at[alone]) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
         rank = suffix_ranks(block.data, at)
         classes = int(rank.max()) + 1 if len(rank) else 0
-        least = np.full(classes, NO_ID)
-        np.minimum.at(least, rank, ids)
+        order, held = _sorted(rank)
+        least = np.minimum.reduceat(ids[order], np.flatnonzero(np.diff(held, prepend=np.uint64(1 << 63)))) if classes else np.empty(0, np.int64)
+        del order, held
         owned = ids == least[rank]
         first = np.empty(classes, np.int64)
         own = np.flatnonzero(owned)
@@ -342,7 +347,7 @@ class Batch:
         self.gone = at[~owned]  # the block itself has a smaller document
         again = own[first[rank[own]] != own]
         self.again = at[again], at[first[rank[again]]]  # the same window of the same document, and the first one
-        sent = np.argsort(shard[first] * len(block.data) + at[first], kind="stable")  # classes, by shard and place
+        sent = _sorted(shard[first] * len(block.data) + at[first])[0]  # classes, by shard and place
         self.places, self.least = at[first][sent], least[sent]
         present, begin = np.unique(shard[first][sent], return_index=True)
         self.parts = list(zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(sent)]))
@@ -464,9 +469,9 @@ class SuffixFamily:
     def level(self, data: np.ndarray, at: np.ndarray, owner: np.ndarray, number: int = 0) -> tuple:
         """A batch's suffix array: windows of ``data`` that start at ``at``, in text order, and their owners."""
         rank = suffix_ranks(data, at)
-        order = np.argsort(rank, kind="stable")
+        order, rank = _sorted(rank)
         new = np.ones(len(order), bool)
-        new[1:] = rank[order][1:] != rank[order][:-1]
+        new[1:] = rank[1:] != rank[:-1]
         level = (at[order] + len(self.data), self._share(new, owner[order]), (number,))
         self.data = np.concatenate([self.data, data])
         return level
@@ -493,7 +498,7 @@ class SuffixFamily:
         while len(self.levels) > 1:
             a = self.levels.pop()
             self.levels.append(self._merge(self.levels.pop(), a))
-        order = np.argsort(self.levels[0][0], kind="stable")
+        order = _sorted(self.levels[0][0])[0]
         return self.levels[0][0][order], self.levels[0][1][order]
 
 
