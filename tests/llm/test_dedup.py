@@ -89,6 +89,25 @@ def test_ranks_order_windows_by_their_bytes():
     windows = [bytes(data[i : i + 50]) for i in at]
     assert suffix_dedup.suffix_ranks(data, at).tolist() == [sorted(set(windows)).index(w) for w in windows]
     assert suffix_dedup.suffix_ranks(data, at[:0]).tolist() == []
+    few = np.array([400, 20, 320, 520, 120])  # out of order, one text's bytes at both ends, gaps that aren't covered
+    windows = [bytes(data[i : i + 50]) for i in few]
+    assert suffix_dedup.suffix_ranks(data, few).tolist() == [sorted(set(windows)).index(w) for w in windows]
+
+
+@pytest.mark.parametrize("bits", [3, 20, 31, 32])
+def test_ranks_of_any_width(bits):
+    """With and without room for the places beside the numbers."""
+    rng = np.random.default_rng(bits)
+    high, low = (rng.integers(0, 1 << bits, 4_000).astype(np.uint32) for _ in range(2))
+    high[:2_000], low[:1_000] = high[2_000:], low[2_000:3_000]
+    high[0], low[0] = (1 << bits) - 1, (1 << bits) - 1
+    pairs = list(zip(high.tolist(), low.tolist()))
+    place = {p: i for i, p in enumerate(sorted(set(pairs)))}
+    assert suffix_dedup._ranks(high, low).tolist() == [place[p] for p in pairs]
+    order, key = suffix_dedup._sorted(high)
+    assert order.tolist() == sorted(range(len(high)), key=lambda i: high[i]) and key.tolist() == sorted(high.tolist())
+    assert [len(x) for x in suffix_dedup._sorted(high[:0])] == [0, 0]
+    assert suffix_dedup._ranks(high[:1], low[:1]).tolist() == [0]
 
 
 def test_family_merges_levels_geometrically():
