@@ -7,11 +7,13 @@ How it is spread. Every window belongs to the smallest hash among its ``GRAM``-b
 windows meet in the shard of that hash wherever they stand, and neighbouring windows mostly travel as one
 piece of text. A hash that stands for more than ``HOT_WINDOWS`` windows is split: its windows are dealt by
 the hash of all their bytes. The number of shards follows from the bytes written, so a shard is of one
-size whatever the input.
+size whatever the input. What goes from a block to a task is one message whatever the number of shards in
+it, and the parts that tasks hold grow with the input (``PARTS``, ``HASH_PARTS``) before their number does:
+else blocks times shards, a square of the input, would be the number of messages.
 
 1. Documents are written as compressed blocks of about ``BLOCK_BYTES`` in the shared folder.
-2. Each block sends its distinct hashes (32 bits each) to their shards, which answer with a bit for
-   each: does the hash stand in another document? The rest of the text is done: it can't repeat.
+2. Each block sends its distinct hashes (32 bits each) to the tasks that hold them, which answer with a bit
+   for each: does the hash stand in another document? The rest of the text is done: it can't repeat.
 3. The other windows of a block are a batch with a suffix array: positions in the block's text, ranked by
    8-byte words up to ``LENGTH`` bytes. The block sends the text of each distinct window once, with the
    smallest id of its documents and its place there, and what it knows already: which windows have a
@@ -53,8 +55,10 @@ from ._common import small_batches, store, trim
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES, SLICE, BATCH_WINDOWS, HOT_WINDOWS = 4 << 20, 1 << 17, 1 << 18, 1 << 18
-#: Bytes of documents for each task that holds shards, and shards a task.
+#: Bytes of documents for each part, the shards that a task holds, and shards in it.
 PART_BYTES, SHARDS_A_PART = 8 << 20, 4
+#: Beyond so many parts (of windows, of hashes) they grow instead, up to so many times.
+PARTS, HASH_PARTS, PART_GROWTH, HASH_GROWTH = 256, 64, 4, 8
 NO_ID = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -201,6 +205,17 @@ def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray,
     return order, names.astype(np.int64), np.append(first, len(order))
 
 
+def layout(total: int) -> tuple[int, int, int]:
+    """Parts, shards in each and parts of hashes for so many bytes of documents."""
+
+    def parts(most: int, growth: int) -> tuple[int, int]:
+        larger = min(growth, max(1, -(-total // (PART_BYTES * most))))
+        return max(1, -(-total // (PART_BYTES * larger))), larger
+
+    (windows, larger), (hashes, _) = parts(PARTS, PART_GROWTH), parts(HASH_PARTS, HASH_GROWTH)
+    return windows, SHARDS_A_PART * larger, hashes
+
+
 def _send_hashes(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,12 +330,13 @@ def _whole_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Batch:
     """A block's candidate windows: where they stand, their shards and, by their suffix array, the distinct ones."""
 
-    def __init__(self, block: Block, told: dict[int, tuple[bytes, bytes]] | None, shards: int):
+    def __init__(self, block: Block, told: dict[int, tuple[bytes, bytes]] | None, parts: int, inner: int = 1, hash_parts: int = 1):
+        shards = parts * inner
         start, count, h, doc = block.segments()
         names, of = np.unique(h, return_inverse=True)
         marked, hot = np.full(len(names), told is None), np.zeros(len(names), bool)
         if told:
-            order, present, cut = _by_shard(names, shards)
+            order, present, cut = _by_shard(names, hash_parts)
             place = {s: i for i, s in enumerate(present.tolist())}
             for s, (bits, lows) in told.items():
                 own = order[cut[place[s]] : cut[place[s] + 1]]
@@ -348,16 +364,23 @@ class Batch:
         again = own[first[rank[own]] != own]
         self.again = at[again], at[first[rank[again]]]  # the same window of the same document, and the first one
         sent = _sorted(shard[first] * len(block.data) + at[first])[0]  # classes, by shard and place
-        self.places, self.least = at[first][sent], least[sent]
-        present, begin = np.unique(shard[first][sent], return_index=True)
-        self.parts = list(zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(sent)]))
-
-    def message(self, a: int, b: int) -> bytes:
-        """Distinct windows a to b: runs of places, runs of owners and the text of each run of places."""
-        start, count = _runs(self.places[a:b])
-        raw = self.block.raw
+        places, least, shard = at[first][sent], least[sent], shard[first][sent]
+        self.start, self.count, of = _runs_of(places, shard)
+        self.run_cut = np.searchsorted(of, np.arange(shards + 1))
+        self.owner, self.owned, of = _runs_of(least, shard, 0)
+        self.owner_cut = np.searchsorted(of, np.arange(shards + 1))
+        self.inner = inner
+        self.parts = np.unique(shard // inner).tolist()
+
+    def message(self, part: int) -> bytes:
+        """A part's distinct windows by shard and place: numbers of runs a shard, runs of places, of owners, and the text of each run of places."""
+        at = slice(part * self.inner, (part + 1) * self.inner + 1)
+        runs, owners = self.run_cut[at], self.owner_cut[at]
+        r, o = slice(runs[0], runs[-1]), slice(owners[0], owners[-1])
+        raw, start, count = self.block.raw, self.start[r], self.count[r]
         texts = [raw[x : x + n + LENGTH - 1] for x, n in zip(start.tolist(), count.tolist())]
-        return _squeeze(b"".join([_pack(start, count), _pack_owners(self.least[a:b]), *texts]))
+        head = [np.diff(runs).astype(np.int32), np.diff(owners).astype(np.int32), start, count, self.owned[o].astype(np.int32), self.owner[o]]
+        return _squeeze(b"".join([*(c.tobytes() for c in head), *texts]))
 
     def known(self) -> bytes:
         """What the block knows alone: windows that go, and windows that go with another one."""
@@ -374,6 +397,14 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[new], np.diff(np.append(new, len(at)))
 
 
+def _runs_of(at: np.ndarray, key: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First value, length and key of the runs of one key whose values rise by ``step``."""
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + step) | (key[1:] != key[:-1])
+    first = np.flatnonzero(new)
+    return at[first], np.diff(np.append(first, len(at))), key[first]
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     return b"".join([np.int64(len(columns[0])).tobytes(), *(c.astype(np.int64).tobytes() for c in columns)])
 
@@ -383,36 +414,55 @@ def _unpack(raw: bytes, at: int, columns: int) -> tuple[list[np.ndarray], int]:
     return [np.frombuffer(raw, np.int64, n, at + 8 + 8 * n * k) for k in range(columns)], at + 8 + 8 * n * columns
 
 
-def _pack_owners(owner: np.ndarray) -> bytes:
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    return b"".join([np.int32(len(first)).tobytes(), np.diff(np.append(first, len(owner))).astype(np.int32).tobytes(), owner[first].astype(np.int64).tobytes()])
+class Message:
+    """A block's windows of a part, as ``Batch.message`` packs them; ``shard`` gives those of one shard."""
+
+    def __init__(self, body: bytes, inner: int = 1):
+        self.raw = _expand(body)
+        runs, owners = np.frombuffer(self.raw, np.int32, inner), np.frombuffer(self.raw, np.int32, inner, 4 * inner)
+        r, o, at = int(runs.sum()), int(owners.sum()), 8 * inner
+        self.start, self.count = np.frombuffer(self.raw, np.int64, r, at), np.frombuffer(self.raw, np.int64, r, at + 8 * r)
+        self.owned, self.owner = np.frombuffer(self.raw, np.int32, o, at + 16 * r), np.frombuffer(self.raw, np.int64, o, at + 16 * r + 4 * o)
+        text = np.concatenate([[0], np.cumsum(self.count + LENGTH - 1)]) + at + 16 * r + 12 * o
+        cut = np.concatenate([[0], np.cumsum(runs)])
+        self.runs, self.owners, self.texts = cut.tolist(), np.concatenate([[0], np.cumsum(owners)]).tolist(), text[cut].tolist()
+
+    def shard(self, s: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, runs of places (begin, length) and runs of owners (length, owner)."""
+        a, b, c, d = self.runs[s], self.runs[s + 1], self.owners[s], self.owners[s + 1]
+        return self.raw[self.texts[s] : self.texts[s + 1]], self.start[a:b], self.count[a:b], self.owned[c:d], self.owner[c:d]
 
 
-def _read_owners(raw: bytes, at: int) -> tuple[np.ndarray, int]:
-    n = int(np.frombuffer(raw, np.int32, 1, at)[0])
-    count, owner = np.frombuffer(raw, np.int32, n, at + 4), np.frombuffer(raw, np.int64, n, at + 4 + 4 * n)
-    return np.repeat(owner, count), at + 4 + 12 * n
+class Windows:
+    """The windows of one shard in all messages: text, their starts in it, owners, places in the blocks and messages."""
 
+    def __init__(self, messages: list[Message], s: int):
+        texts, starts, counts, owned, owners = zip(*(m.shard(s) for m in messages))
+        start, count = np.concatenate(starts), np.concatenate(counts)
+        ramp, long = _ramps(count), count + LENGTH - 1
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.at = np.repeat(np.cumsum(long) - long, count) + ramp
+        self.owner = np.repeat(np.concatenate(owners), np.concatenate(owned))
+        self.places = np.repeat(start, count) + ramp
+        self.message = np.repeat(np.repeat(np.arange(len(messages)), [len(x) for x in starts]), count)
 
-def _read_message(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, window starts in it, owners and places in the block of a message."""
-    raw = _expand(body)
-    (start, runs), at = _unpack(raw, 0, 2)
-    owner, at = _read_owners(raw, at)
-    begin, ramp = np.cumsum(runs + LENGTH - 1) - (runs + LENGTH - 1), _ramps(runs)
-    return np.frombuffer(raw, np.uint8, offset=at), np.repeat(begin, runs) + ramp, owner, np.repeat(start, runs) + ramp
+    def taken(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Message, begin and length of the runs of places whose windows have a smaller owner elsewhere."""
+        gone = np.flatnonzero(owner < self.owner)
+        start, count, message = _runs_of(self.places[gone], self.message[gone])
+        return message, start, count
 
 
-def _send_windows(shards: int, filtered: bool):
-    """Distinct candidate windows, packed for their shards."""
-    schema = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("body", pa.binary())])
+def _send_windows(parts: int, inner: int, hash_parts: int, filtered: bool):
+    """Distinct candidate windows, packed for their parts."""
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("body", pa.binary())])
 
     def one(row: dict, told: dict | None) -> pa.Table:
-        batch = Batch(Block(row["ids"], row["ends"], row["data"]), told, shards)
+        batch = Batch(Block(row["ids"], row["ends"], row["data"]), told, parts, inner, hash_parts)
         trim()
-        out = [(row["block"], s, batch.message(a, b)) for s, a, b in batch.parts]
+        out = [(row["block"], p, batch.message(p)) for p in batch.parts]
         if len(batch.gone) or len(batch.again[0]):
-            out.append((row["block"], -1 - row["block"] % shards, batch.known()))  # passes through to the block
+            out.append((row["block"], -1 - row["block"] % parts, batch.known()))  # passes through to the block
         cols = list(zip(*out)) if out else [()] * 3
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -502,48 +552,44 @@ class SuffixFamily:
         return self.levels[0][0][order], self.levels[0][1][order]
 
 
-_MESSAGES = "block long, shard long, body binary"
-
-
-def _answers(sent: list[tuple[int, np.ndarray, np.ndarray]], owner: np.ndarray, shard: int) -> list[tuple[int, int, bytes]]:
-    """For each block the places of its windows that have a smaller owner elsewhere."""
-    out, at = [], 0
-    for block, least, places in sent:
-        gone = places[owner[at : at + len(least)] < least]
-        at += len(least)
-        if len(gone):
-            out.append((block, shard, _squeeze(_pack(*_runs(gone)))))
-    return out
-
+_MESSAGES = "block long, part long, body binary"
+
+
+def _answers(taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: list[int], part: int) -> list[tuple[int, int, bytes]]:
+    """For each block one message with the places of its windows that have a smaller owner elsewhere."""
+    message, start, count = (np.concatenate(x) for x in zip(*taken))
+    order = np.argsort(message, kind="stable")
+    start, count = start[order], count[order]
+    names, first = np.unique(message[order], return_index=True)
+    cut = [*first.tolist(), len(order)]
+    return [(blocks[m], part, _squeeze(_pack(start[a:b], count[a:b]))) for m, a, b in zip(names.tolist(), cut, cut[1:])]
+
+
+def _own(inner: int):
+    """To each block that sent windows to a part, those that a smaller document owns."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        if part < 0:
+            return pdf[["block", "part", "body"]]
+        pdf = pdf.sort_values("block")
+        messages = [Message(body, inner) for body in pdf["body"]]
+        taken = []
+        for s in range(inner):
+            own, family = Windows(messages, s), SuffixFamily()
+            for a in range(0, len(own.at), BATCH_WINDOWS):
+                b = min(a + BATCH_WINDOWS, len(own.at))
+                begin = int(own.at[a])
+                stop = int(own.at[b - 1]) + LENGTH
+                family.add(family.level(own.data[begin:stop], own.at[a:b] - begin, own.owner[a:b]))
+            taken.append(own.taken(family.owners()[1]))
+            del own, family
+        out = pd.DataFrame(_answers(taken, pdf["block"].tolist(), part), columns=["block", "part", "body"])
+        del messages, taken
+        trim()
+        return out
 
-def _own(pdf: pd.DataFrame) -> pd.DataFrame:
-    """To each block that sent windows to a shard, those that a smaller document owns."""
-    shard = int(pdf["shard"].iloc[0])
-    if shard < 0:
-        return pdf[["block", "shard", "body"]]
-    pdf = pdf.sort_values("block")
-    family = SuffixFamily()
-    sent: list[tuple[int, np.ndarray, np.ndarray]] = []
-    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add() -> None:
-        data, at, owner = zip(*waiting)
-        shift = np.cumsum([0, *map(len, data)])
-        family.add(family.level(np.concatenate(data), np.concatenate([a + s for a, s in zip(at, shift)]), np.concatenate(owner)))
-        waiting.clear()
-
-    for block, body in zip(pdf["block"].tolist(), pdf["body"]):
-        *message, places = _read_message(body)
-        waiting.append(tuple(message))
-        sent.append((block, message[2], places))
-        if sum(len(w[1]) for w in waiting) >= BATCH_WINDOWS:
-            add()
-    if waiting:
-        add()
-    out = pd.DataFrame(_answers(sent, family.owners()[1], shard), columns=["block", "shard", "body"])
-    del family, sent
-    trim()
-    return out
+    return run
 
 
 _LEVELS = "shard long, batch long, absorbed array<long>, data binary, suffixes binary, owners binary"
@@ -566,13 +612,11 @@ def _meet(number: int):
         family = SuffixFamily()
         for r in sorted(live, key=lambda r: -len(r["suffixes"])):
             family.put(np.frombuffer(_expand(r["data"]), np.uint8), np.frombuffer(_expand(r["suffixes"]), np.int64), np.frombuffer(_expand(r["owners"]), np.int64), (r["batch"],))
-        read = [_read_message(r["body"]) for r in rows]
-        shift = np.cumsum([0, *(len(r[0]) for r in read)])
-        at = np.concatenate([r[1] + s for r, s in zip(read, shift)])
+        own = Windows([Message(r["body"]) for r in rows], 0)
         base = len(family.data)
-        level = family.level(np.concatenate([r[0] for r in read]), at, np.concatenate([r[2] for r in read]), number)
+        level = family.level(own.data, own.at, own.owner, number)
         owner = family.matches(level)[np.argsort(level[0] - base, kind="stable")]
-        out = [(b, s, body, None, None, None, None, None) for b, s, body in _answers([(r["block"], x[2], x[3]) for r, x in zip(rows, read)], owner, shard)]
+        out = [(b, s, body, None, None, None, None, None) for b, s, body in _answers([own.taken(owner)], [r["block"] for r in rows], shard)]
         family.add(level)
         suffixes, owners, batches = family.levels[-1]
         covered = np.zeros(len(family.data) + 1, np.int32)
@@ -591,14 +635,16 @@ def _removed(size: int, known: bytes | None, answers: list[bytes]) -> np.ndarray
     """A mask of a block's bytes that smaller documents own."""
     change = np.zeros(size + 1, np.int32)
     again = None
-    for body in [known, *answers]:
-        if body is not None:
-            raw = _expand(body)
-            (start, count), at = _unpack(raw, 0, 2)
-            np.add.at(change, start, 1)
-            np.add.at(change, start + count, -1)
-            if body is known:
-                again, _ = _unpack(raw, at, 3)
+    runs = [_unpack(_expand(body), 0, 2)[0] for body in answers]
+    if known is not None:
+        raw = _expand(known)
+        own, at = _unpack(raw, 0, 2)
+        again, _ = _unpack(raw, at, 3)
+        runs.append(own)
+    if runs:
+        start, count = (np.concatenate(x) for x in zip(*runs))
+        np.add.at(change, start, 1)
+        np.add.at(change, start + count, -1)
     gone = np.cumsum(change) > 0  # windows, by their starts
     if again and len(again[0]):
         there, count, here = again
@@ -619,7 +665,7 @@ def _cut(carry: list[str], as_text: bool):
         row = left.to_pylist()[0]
         block = Block(row["ids"], row["ends"], row["data"])
         unnamed = np.unpackbits(np.frombuffer(row["unnamed"], np.uint8), count=len(block.ids)).tolist()
-        told = list(zip(right["shard"].to_pylist(), right["body"].to_pylist()))
+        told = list(zip(right["part"].to_pylist(), right["body"].to_pylist()))
         gone = _removed(len(block.data), next((b for s, b in told if s < 0), None), [b for s, b in told if s >= 0])
         out: list[tuple] = []
         for doc, no_id, a, b in zip(block.ids.tolist(), unnamed, block.begins.tolist(), block.ends.tolist()):
@@ -664,24 +710,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for c in carry:
         out.add(c, docs.schema[c].dataType)
     texts, _ = store(blocks(docs, id_col, text_col, carry), "blocks")
-    parts = max(1, -(-(texts.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+    parts, inner, hash_parts = layout(texts.agg(F.sum("size")).first()[0] or 0)
     bodies = texts.select("block", "ids", "ends", "data")
     by_block = lambda df: df.repartition(parts, "block").groupBy("block")
     if index:
         before = stored_batches(spark, index)
         number, shards = (before[-1] if before else 0) + 1, index_shards
-        sent = bodies.mapInArrow(_send_windows(shards, False), _MESSAGES)
+        sent = bodies.mapInArrow(_send_windows(shards, 1, 1, False), _MESSAGES).withColumnRenamed("part", "shard")
         levels = spark.read.schema(_LEVELS).parquet(*(f"{index}/batch-{k:08d}" for k in before)) if before else spark.createDataFrame([], _LEVELS)
         met, _ = store(sent.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(_meet(number), "block long, shard long, body binary, batch long, absorbed array<long>, data binary, suffixes binary, owners binary"), "met")
         met.filter("batch is not null").select("shard", "batch", "absorbed", "data", "suffixes", "owners").write.parquet(f"{index}/batch-{number:08d}")
-        back = met.filter("batch is null").select("block", "shard", "body")
+        back = met.filter("batch is null").select("block", F.col("shard").alias("part"), "body")
     else:
-        shards = SHARDS_A_PART * parts
-        hashes = bodies.mapInArrow(_send_hashes(shards), "shard long, block long, low binary, twice binary, windows binary")
-        bits, _ = store(hashes.repartition(parts, "shard").groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary, hot binary"), "bits")
+        hashes = bodies.mapInArrow(_send_hashes(hash_parts), "shard long, block long, low binary, twice binary, windows binary")
+        bits, _ = store(hashes.repartition(hash_parts, "shard").groupBy("shard").applyInPandas(_repeated, "block long, shard long, bits binary, hot binary"), "bits")
         _free(spark)
-        sent = by_block(bodies).cogroup(by_block(bits)).applyInArrow(_send_windows(shards, True), _MESSAGES)
-        back, _ = store(sent.repartition(parts, "shard").groupBy("shard").applyInPandas(_own, _MESSAGES), "owners")
+        sent = by_block(bodies).cogroup(by_block(bits)).applyInArrow(_send_windows(parts, inner, hash_parts, True), _MESSAGES)
+        back, _ = store(sent.repartition(parts, "part").groupBy("part").applyInPandas(_own(inner), _MESSAGES), "owners")
         _free(spark)
     return by_block(texts.drop("size")).cogroup(by_block(back)).applyInArrow(_cut(carry, as_text), out)
 

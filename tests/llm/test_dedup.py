@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from helpers import SF
+from helpers import SF, words
 from pyspark.sql import functions as F
 from tessella.llm import _common, components, near_copies, simhash, suffix_dedup
 from tessella.llm import queries as llm
@@ -312,3 +312,54 @@ def test_queries_have_the_contract_columns(spark):
     assert {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"} <= set(cut.columns)
     assert cut.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert dict(cut.dtypes)["n_spans"] == "bigint"
+
+
+def test_messages_do_not_grow_with_blocks_times_shards(spark, monkeypatch):
+    """120 times the bytes of a part: parts grow, each block sends one message a part, and the result is exact."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(suffix_dedup, "BATCH_WINDOWS", 300)
+    monkeypatch.setattr(suffix_dedup, "PARTS", 12, raising=False)
+    monkeypatch.setattr(suffix_dedup, "HASH_PARTS", 4, raising=False)
+    monkeypatch.setattr(suffix_dedup, "PART_GROWTH", 16, raising=False)
+    monkeypatch.setattr(suffix_dedup, "HASH_GROWTH", 64, raising=False)
+    rng = random.Random(21)
+    stock = [words(rng, 12) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(stock) for _ in range(rng.randrange(1, 5))) + words(rng, 10)) for i in range(160)]
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", sum(len(t) for _, t in rows) // 120)
+    written: dict = {}
+
+    def store(df, name):
+        out = _common.store(df, name)
+        written[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "store", store)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert run(df) == brute(encoded(df))
+    assert written["blocks"] > 10
+    assert written["bits"] <= 4 * written["blocks"]
+    assert written["owners"] <= 13 * written["blocks"]  # parts and what the block knows alone
+
+
+def test_messages_give_each_shard_its_windows():
+    """What a block sends of a part comes out by shard: all its distinct windows, with text, place and owner."""
+    rng = random.Random(6)
+    bodies = [words(rng, 60).encode() for _ in range(12)]
+    ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
+    block = suffix_dedup.Block(np.arange(12, 0, -1, dtype=np.int64).tobytes(), ends.tobytes(), suffix_dedup._squeeze(b"".join(bodies)))
+    owner: dict = {}
+    for doc, body in zip(range(12, 0, -1), bodies):
+        for k in range(len(body) - 49):
+            owner[body[k : k + 50]] = min(owner.get(body[k : k + 50], HUGE), doc)
+    batch = suffix_dedup.Batch(block, None, 3, 5)
+    seen: dict = {}
+    for p in batch.parts:
+        message = suffix_dedup.Message(batch.message(p), 5)
+        for s in range(5):
+            own = suffix_dedup.Windows([message, message], s)
+            assert own.message.tolist() == sorted(own.message.tolist()) and len(own.at) % 2 == 0
+            for at, place, who in zip(own.at[: len(own.at) // 2].tolist(), own.places.tolist(), own.owner.tolist()):
+                w = own.data[at : at + 50].tobytes()
+                assert w == block.raw[place : place + 50] and w not in seen
+                seen[w] = who
+    assert seen == owner
