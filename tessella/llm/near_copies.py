@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -122,12 +121,17 @@ def similar_pairs(fps: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, hel
 
 
 def _cell_links(similarity: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.groupby("class", as_index=False).agg({"fp": "first", "root": "first", "body": "first", "node": "max", "asks": "max"})
-        sets = [np.frombuffer(b, np.uint64) for b in one["body"]]
-        links = similar_pairs(one["fp"].to_numpy().view(np.uint64), sets, np.flatnonzero(one["asks"]), np.flatnonzero(one["node"]), one["root"].to_numpy(), similarity)
-        names = one["class"].to_numpy()
-        return pd.DataFrame({"u": [names[a] for a, _ in links], "v": [names[b] for _, b in links]}, dtype="int64")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        names, first, of = np.unique(table["class"].to_numpy(), return_index=True, return_inverse=True)
+        node, asks = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        node[of[table["node"].to_numpy()]] = True
+        asks[of[table["asks"].to_numpy()]] = True
+        sets = [np.frombuffer(b, np.uint64) for b in table["body"].take(pa.array(first)).to_pylist()]
+        links = similar_pairs(table["fp"].to_numpy()[first].view(np.uint64), sets, np.flatnonzero(asks), np.flatnonzero(node), table["root"].to_numpy()[first], similarity)
+        u, v = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.Table.from_arrays([pa.array(names[u]), pa.array(names[v])], schema=schema)
 
     return run
 
@@ -150,7 +154,7 @@ def _hub_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 def _links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """All links: shards that one task holds are searched at once, larger ones by their hub and then by cells."""
     small = members.filter(F.col("n") <= CELL).select("shard", "class", "fp", F.col("class").alias("root"), F.lit(True).alias("node"), F.lit(True).alias("asks"))
-    found = small.join(sets, "class").groupBy("shard").applyInPandas(_cell_links(similarity), "u long, v long")
+    found = small.join(sets, "class").groupBy("shard").applyInArrow(_cell_links(similarity), "u long, v long")
     large = members.filter(F.col("n") > CELL)
     if large.isEmpty():
         return found
@@ -172,7 +176,7 @@ def _rest_links(members: DataFrame, sets: DataFrame, known: DataFrame, similarit
     column = F.when(F.col("asking"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1), lambda i: F.struct(i.alias("tree"), F.col("block").alias("block")))).otherwise(F.array().cast("array<struct<tree:bigint,block:bigint>>"))
     visits = own.select("shard", "class", "fp", "root", "asking", F.col("tree").alias("t"), F.col("block").alias("b"), F.explode(F.array_distinct(F.concat(row, column))).alias("at"))
     cells = visits.select("shard", "at.tree", "at.block", "class", "fp", "root", (F.col("at.tree") == F.col("t")).alias("node"), (F.col("asking") & (F.col("at.block") == F.col("b"))).alias("asks"))
-    return cells.join(sets, "class").groupBy("shard", "tree", "block").applyInPandas(_cell_links(similarity), "u long, v long")
+    return cells.join(sets, "class").groupBy("shard", "tree", "block").applyInArrow(_cell_links(similarity), "u long, v long")
 
 
 def _shards(classes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import SF, words
@@ -363,3 +364,17 @@ def test_messages_give_each_shard_its_windows():
                 assert w == block.raw[place : place + 50] and w not in seen
                 seen[w] = who
     assert seen == owner
+
+
+def test_a_cell_is_searched_from_its_arrow_rows():
+    """Rows of one class say separately that it is held and that it asks; links connect what is similar."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = {c: np.unique(np.concatenate([base[: 200 - c], rng.integers(0, 1 << 63, c).astype(np.uint64)])) for c in (3, 1, 9, 5)}
+    sets[7] = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+    row = lambda c, node, asks: {"shard": 1, "class": c, "fp": 77, "root": c, "node": node, "asks": asks, "body": sets[c].tobytes()}
+    search = near_copies._cell_links(0.8)
+    found = search(pa.Table.from_pylist([*(row(c, True, False) for c in (9, 3, 1, 7)), row(9, False, True), row(5, False, True)])).to_pydict()
+    root = components.forest(np.array(found["u"]), np.array(found["v"]), 10)
+    assert {c for c in sets if root[c] == root[9]} == {1, 3, 5, 9}
+    assert search(pa.Table.from_pylist([row(7, True, True)])).num_rows == 0
