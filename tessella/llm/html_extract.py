@@ -20,8 +20,10 @@ The wrapper decides what a page's text is; each page is matched against it, elem
 
 Scale: a task aligns its own pages first and sends one wrapper a host, so a host with a third of all
 pages sends one row a task; these meet in two steps, salted by task and then by host, in a fixed order.
-A wrapper that grows over ``NODES`` elements forgets optional ones seen in one page; that only loses
-evidence, for elements outside the wrapper are text. Rules keep only what leads to a decision. They are
+A task whose wrapper of a host grows over ``NODES`` elements sends it and begins another; where they meet,
+such large wrappers are merged last, in pairs of like size. Nothing is forgotten, so an element of two pages
+is found wherever they stand; a host's whole wrapper must fit one task, and grows with the kinds of elements
+that the host has, not with its pages. Rules keep only what leads to a decision. They are
 broadcast while their measured size is at most ``BROADCAST_BYTES``; beyond it pages and rules are joined
 on the host, where skewed hosts can be split.
 
@@ -307,7 +309,10 @@ def unpack(body: str) -> Node:
 
 
 def _bounded(root: Node) -> Node:
-    """``root`` without optional elements of a single page, if it has more than ``NODES`` elements."""
+    """``root`` without optional elements of a single page, if it has more than ``NODES`` elements.
+
+    This forgets evidence, so no step of the extraction calls it.
+    """
     every = [root]
     for x in every:
         every += x.children
@@ -322,6 +327,50 @@ def _bounded(root: Node) -> Node:
     return root
 
 
+def _count(root: Node) -> int:
+    every = [root]
+    for x in every:
+        every += x.children
+    return len(every)
+
+
+class Merger:
+    """The wrapper of wrappers that come one by one, without loss.
+
+    They are merged into one until that has over ``limit`` elements; then the next begins another. The
+    large ones wait in a stack and merge when a later one has grown as large, so that each element is
+    aligned a number of times that grows with the logarithm of their number.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.most, self.large = limit, None, 0, []
+
+    def add(self, one: Node, size: int) -> bool:
+        """Whether this made the current wrapper a large one. ``size``: the elements of ``one``, or more."""
+        self.now = one if self.now is None else _merge(self.now, one)
+        self.most += size
+        if self.most > self.limit:
+            self.most = _count(self.now)
+        return self.most > self.limit
+
+    def begin(self) -> None:
+        """Put the current wrapper on the stack."""
+        done, size = self.now, self.most
+        self.now, self.most = None, 0
+        while self.large and self.large[-1][1] <= size:
+            done = _merge(self.large.pop()[0], done)
+            size = _count(done)
+        self.large.append((done, size))
+
+    def whole(self) -> Node:
+        if self.now is not None:
+            self.begin()
+        while len(self.large) > 1:
+            last = self.large.pop()[0]
+            self.large.append((_merge(self.large.pop()[0], last), 0))
+        return self.large[0][0]
+
+
 # ---- what the wrapper decides ---------------------------------------------------------------------
 
 
@@ -522,37 +571,41 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
 
 def _merge_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = None
+    merger = Merger(NODES)
     for body in pdf.sort_values(["part", "wrapper"], kind="stable")["wrapper"]:
         one = unpack(body)
-        total = one if total is None else _bounded(_merge(total, one))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [int(pdf["part"].min())], "pages": [int(pdf["pages"].sum())], "wrapper": [pack(total)]})
+        if merger.add(one, _count(one)):
+            merger.begin()
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [int(pdf["part"].min())], "pages": [int(pdf["pages"].sum())], "wrapper": [pack(merger.whole())]})
 
 
 def infer_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, pages, wrapper (JSON), the regular expression and the extraction rule of each host."""
 
+    limit = NODES
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        known: dict[str, tuple[int, Node]] = {}
+        known: dict[str, tuple[int, Merger]] = {}
 
-        def send() -> pa.RecordBatch:
-            hosts = list(known)
+        def send(hosts: list[str]) -> pa.RecordBatch:
+            of = [known.pop(h) for h in hosts]
             return pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array([task] * len(hosts), pa.int64()), pa.array([known[h][0] for h in hosts], pa.int64()), pa.array([pack(known[h][1]) for h in hosts], pa.string())],
+                [pa.array(hosts, pa.string()), pa.array([task] * len(hosts), pa.int64()), pa.array([n for n, _ in of], pa.int64()), pa.array([pack(m.whole()) for _, m in of], pa.string())],
                 ["host", "part", "pages", "wrapper"],
             )
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 one = page_wrapper(page)
-                n, all_of = known.get(host, (0, None))
-                known[host] = (n + 1, one if all_of is None else _bounded(_merge(all_of, one)))
+                n, merger = known.get(host) or (0, Merger(limit))
+                known[host] = (n + 1, merger)
+                if merger.add(one, _count(one)):
+                    yield send([host])
                 if len(known) >= HOSTS_A_TASK:
-                    yield send()
-                    known.clear()
+                    yield send(list(known))
         if known:
-            yield send()
+            yield send(list(known))
 
     schema = "host string, part long, pages long, wrapper string"
     rows = _pages(pages, id_col, url_col, html_col).select("host", "html")

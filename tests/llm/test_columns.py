@@ -327,3 +327,33 @@ def test_documented_pages(spark):
     for r in df.collect():
         a = re.sub(r"</?(p|h1|br)[^>]*>", " ", re.search(r"<article>(.*?)</article>", r.html, re.S)[1])
         assert got[r.page_id] == " ".join(html.unescape(re.sub(r"</?b>", "", a)).split())
+
+
+def test_no_element_of_a_host_is_forgotten(spark):
+    """A line that two pages share is template, however many elements of single pages stand between them."""
+    name = lambda i: "".join("abcdefghijklmnopqrstuvwxyz"[i // 26**k % 26] for k in range(4))
+    line = '<div class="promo">The same line in two pages</div>'
+    odd = "".join(f'<div class="x{name(i)}">{name(i)}</div>' for i in range(html_extract.NODES + 1_000))
+    bodies = [f"<p>first page's text of its own</p>{line}", f"<p>a page of many kinds</p>{odd}", f"<p>last page, another text again</p>{line}"]
+    df = spark.createDataFrame([(i, "http://h.org/", page(f"<article>{b}</article>")) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    assert (got[0], got[2]) == ("first page's text of its own", "last page, another text again")
+    assert got[1].split()[5:] == [name(i) for i in range(html_extract.NODES + 1_000)]
+
+
+def test_large_wrappers_merge_without_loss():
+    """With any limit all kinds, characters and repeated texts of the pages are in the wrapper."""
+    pages = [page(f"<div class=w><div class=u{'abcdefghij'[i % 10]}{'klm'[i // 10 % 3]}><i>x</i></div><p>own {i}</p></div>") for i in range(45)]
+    for limit in (1, 25, 1_000):
+        merger = html_extract.Merger(limit)
+        for p in pages:
+            one = html_extract.page_wrapper(p)
+            if merger.add(one, html_extract._count(one)):
+                merger.begin()
+        every = [merger.whole()]
+        for x in every:
+            every += x.children
+        odd = [x for x in every if x.kind.startswith("div u")]
+        assert sorted({x.kind for x in odd}) == sorted({f"div u{a}{b}" for a in "abcdefghij" for b in "klm"})
+        assert sum(x.slot[1] for x in every if x.kind == "i") == 45
+        assert sum(x.slot[1] for x in every if x.kind == "p") == sum(len(f"own {i}") for i in range(45))
