@@ -68,7 +68,7 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int, metric: int = D.L2) -
     rows = queries.select("qid", "vec").orderBy("qid").collect()
     if not rows or k < 1:
         return base.sparkSession.createDataFrame([], "qid long, rank long, id long, distance double")
-    step = max(1, min(QUERY_BYTES // max(8, 8 * len(rows[0].vec)), MATRIX_BYTES // (8 * ROWS)))
+    step = max(1, QUERY_BYTES // max(8, 8 * len(rows[0].vec)))
     out = None
     for i in range(0, len(rows), step):
         part = _knn_block(base, rows[i : i + step], k, metric)
@@ -77,59 +77,108 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int, metric: int = D.L2) -
 
 
 def _knn_block(base: DataFrame, rows: list, k: int, metric: int) -> DataFrame:
-    qids, q = [r.qid for r in rows], np.array([r.vec for r in rows], np.float64)
-    shared = base.sparkSession.sparkContext.broadcast((qids, q))
+    q = np.array([r.vec for r in rows], np.float64)
+    shared, room = base.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), q)), (MATRIX_BYTES, ROWS)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
-        best_d = np.empty((len(q), 0))
-        best_i = np.empty((len(q), 0), np.int64)
+        best = Nearest(q, k, metric, *room)
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.asarray(b.column(0), np.int64)
-            vecs = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            for a in range(0, len(ids), ROWS):
-                own, names = vecs[a : a + ROWS], ids[a : a + ROWS]
-                # the rows that may be among the k best of some query: rounding moves a product by far less than the slack
-                rough = D.matrix(metric, q, own)
-                slack = 1e-6 * (1 + np.abs(rough) + (q * q).sum(1)[:, None] + (own * own).sum(1)[None, :])
-                bound = best_d.max(1, initial=-np.inf) if best_d.shape[1] == k else np.full(len(q), np.inf)
-                if len(own) > k:
-                    bound = np.minimum(bound, np.partition(rough + slack, k - 1, axis=1)[:, k - 1])
-                use = np.flatnonzero(((rough - slack) <= bound[:, None]).any(0))
-                if not use.size:
-                    continue
-                best_d = np.concatenate([best_d, _exact(metric, q, own[use])], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(names[use], (len(q), len(use)))], 1)
-                if best_d.shape[1] > k:
-                    order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        if best_d.shape[1]:
-            n = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids, np.int64), n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["qid", "id", "distance"])
-
-    found = base.select(F.col("id").cast("long"), "vec").mapInArrow(search, "qid long, id long, distance double")
+            if b.num_rows:
+                best.offer(np.asarray(b.column(0), np.int64), np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1))
+        yield best.batch(qids)
+
+    return top(base.select(F.col("id").cast("long"), "vec").mapInArrow(search, FOUND), k)
+
+
+#: What searches of a task return.
+FOUND = "qid long, id long, distance double"
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, id, distance) of each query's k best of all tasks."""
     w = Window.partitionBy("qid").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
+class Nearest:
+    """The k nearest of the rows offered so far, for each of some queries: k rows a query, and ``room`` bytes of matrices."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: int, room: int = MATRIX_BYTES, rows: int = ROWS):
+        self.q, self.k, self.metric = q, k, metric
+        self.rows_at_once, self.queries_at_once = rows, max(1, room // (64 * rows))
+        self.d, self.i = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+
+    def offer(self, ids: np.ndarray, vecs: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Rows for all queries, or for those with the numbers ``asking``."""
+        asking = np.arange(len(self.q)) if asking is None else asking
+        for a in range(0, len(ids), self.rows_at_once):
+            for b in range(0, len(asking), self.queries_at_once):
+                self._offer(ids[a : a + self.rows_at_once], vecs[a : a + self.rows_at_once], asking[b : b + self.queries_at_once])
+
+    def _offer(self, ids: np.ndarray, own: np.ndarray, who: np.ndarray) -> None:
+        q, k = self.q[who], self.k
+        # pairs that may be among the k best: rounding moves a product by far less than the slack
+        rough = D.matrix(self.metric, q, own)
+        slack = np.abs(rough)
+        slack += (1 + (q * q).sum(1))[:, None]
+        slack += (own * own).sum(1)[None, :]
+        slack *= 1e-6
+        bound = self.d[who, k - 1]
+        rough -= slack
+        use = rough <= bound[:, None]
+        if len(own) > k and np.count_nonzero(use) > 4 * k * len(who):
+            slack *= 2
+            slack += rough
+            slack.partition(k - 1, axis=1)
+            use = rough <= np.minimum(bound, slack[:, k - 1])[:, None]
+        r, c = np.nonzero(use)
+        if not r.size:
+            return
+        d = exact_pairs(self.metric, q, own, r, c)
+        some, r = np.unique(r, return_inverse=True)
+        at = who[some]
+        of = np.concatenate([np.repeat(np.arange(len(at)), k), r])
+        d, i = np.concatenate([self.d[at].ravel(), d]), np.concatenate([self.i[at].ravel(), ids[c]])
+        order = np.lexsort((i, d, of))
+        first = order[np.searchsorted(of[order], np.arange(len(at)))[:, None] + np.arange(k)]
+        self.d[at], self.i[at] = d[first], i[first]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, distance), nearest first, equal ones by id."""
+        r, c = np.nonzero(self.d < np.inf)
+        return r, self.i[r, c], self.d[r, c]
+
+    def batch(self, qids: np.ndarray) -> pa.RecordBatch:
+        r, i, d = self.rows()
+        return pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(i), pa.array(d)], ["qid", "id", "distance"])
+
+
+#: Pairs whose exact distances are summed at once.
+PAIRS = 16_384
+
+
+def exact_pairs(metric: int, q: np.ndarray, b: np.ndarray, qs: np.ndarray, bs: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (q[qs], b[bs]), added up component by component, as the expressions do: bit for bit the same."""
+    out = [_exact(metric, q[qs[i : i + PAIRS]].T.copy(), b[bs[i : i + PAIRS]].T.copy()) for i in range(0, len(qs), PAIRS)]
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def _exact(metric: int, q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances added up component by component, as the expressions do: bit for bit the same."""
-    out = np.zeros((len(q), len(b)))
+    out = np.zeros(q.shape[1])
     if metric == D.L2:
-        for j in range(q.shape[1]):
-            t = b[None, :, j] - q[:, None, j]
+        for x, y in zip(q, b):
+            t = y - x
             out += t * t
         return out
-    dot, qq, bb = out, np.zeros(len(q)), np.zeros(len(b))
-    for j in range(q.shape[1]):
-        dot += b[None, :, j] * q[:, None, j]
-        qq += q[:, j] * q[:, j]
-        bb += b[:, j] * b[:, j]
+    dot, qq, bb = out, np.zeros(q.shape[1]), np.zeros(q.shape[1])
+    for x, y in zip(q, b):
+        dot += y * x
+        qq += x * x
+        bb += y * y
     if metric == D.INNER:
         return -dot
-    norm = np.sqrt(bb)[None, :] * np.sqrt(qq)[:, None]
+    norm = np.sqrt(bb) * np.sqrt(qq)
     return np.where(norm == 0, 0.0, 1 - dot / np.where(norm == 0, 1.0, norm))
 
 

@@ -12,7 +12,7 @@ from ..functions.hashing import bucket_path, config_digest, hash60
 from ..operators import ann, catalog, compaction, evaluation, hlc, merkle, replication, ring, vectors, versions, workload, writes
 from ..sources import log_files, vectors_file
 from ..streaming import views
-from ..workspace import folder
+from ..workspace import folder, written
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]

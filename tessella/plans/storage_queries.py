@@ -11,7 +11,7 @@ from ..operators import ann, evaluation, vectors, versions, writes
 from ..operators.catalog import graph_bytes, retransmit_limit, show_bytes
 from ..operators.store import Store
 from ..sources import log_files, vectors_file
-from ..workspace import folder
+from ..workspace import folder, written
 from . import tables as t
 from .queries import BATCHED, BUFFER, NINE, PROBE, _asked, _l2_sql, _probe, query
 
@@ -280,7 +280,7 @@ def graph_stats(spark, d):
 def graph_snapshots(spark, d):
     """Three snapshots of all collections, one cleaned away, the newest read back."""
     root, v = folder(spark, "snapshots"), t.vectors(spark, d)
-    graphs = ann.build_graphs(v.select("id", "vec"))
+    graphs = written(ann.build_graphs(v.select("id", "vec")), "graphs")  # built once for the three
     for k in (1, 2, 3):
         ann.snapshot_all({"all": graphs}, root, k)
     gone = ann.cleanup_snapshots(spark, root, "all", keep=2)
