@@ -220,10 +220,10 @@ class Graph:
         self.deleted |= {n for n, i in enumerate(self.ids) if i in ids}
 
     def _descend(self, q: np.ndarray) -> np.ndarray:
-        """For each query the node that the layers above the lowest lead to."""
+        """For each query the node that the layers above the second lead to."""
         at = np.full(len(q), self.entry)
         far = self._pairs(self.vecs[at], q)
-        for links in self.links[:0:-1]:
+        for links in self.links[:1:-1]:
             on = np.arange(len(q))
             while on.size:
                 to = links[at[on]]
@@ -237,15 +237,18 @@ class Graph:
                 at[on], far[on] = to, d
         return at
 
-    def _beam(self, q: np.ndarray, start: np.ndarray, ef: int, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the ``ef`` nearest live nodes found, for queries in step.
+    def _beam(self, q: np.ndarray, start: tuple[np.ndarray, np.ndarray], ef: int, layer: int, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of the ``ef`` nearest live nodes of a layer, for queries in step, found from pairs of (query, node).
 
         Deleted nodes lead on but take no place among them, so the beam keeps its width.
         """
-        n, b, links, step = len(self.ids), len(q), self.links[0], max(1, ef // 16)
+        n, b, links, step = len(self.ids), len(q), self.links[layer], max(1, ef // 16)
         seen = np.zeros(b * n, bool)
-        seen[np.arange(b) * n + start] = True
-        num, far, fresh = start[:, None], self._pairs(self.vecs[start], q)[:, None], np.ones((b, 1), bool)
+        seen[start[0] * n + start[1]] = True
+        place = np.arange(len(start[0])) - np.searchsorted(start[0], start[0])
+        num, far = np.zeros((b, place.max() + 1), np.int64), np.full((b, place.max() + 1), np.inf)
+        num[start[0], place], far[start[0], place] = start[1], self._pairs(self.vecs[start[1]], q[start[0]])
+        fresh = np.isfinite(far)
         bound = np.full(b, np.inf)
         while True:
             r, c = np.nonzero(fresh & (np.cumsum(fresh, 1) <= step))  # the nearest that haven't led on yet
@@ -301,7 +304,10 @@ class Graph:
             own = q[a : a + step] if ef < n else q
             start = self._descend(own)
             if ef < n:
-                r, node = self._beam(own, start, ef, gone)
+                r, node = np.arange(len(own)), start
+                if len(self.links) > 1:  # as wide in the second layer: what is near to a query far from all stands apart
+                    r, node = self._beam(own, (r, node), ef, 1, np.zeros(n, bool))
+                r, node = self._beam(own, (r, node), ef, 0, gone)
                 d = exact_pairs(self.metric, own, self.vecs, r, node)
                 order = np.lexsort((ids[node], d, r))
                 r, node, d = r[order], node[order], d[order]

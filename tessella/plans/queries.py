@@ -647,7 +647,7 @@ def sweep_table(spark, d):
     """Mean recall of IVF for some numbers of probed cells."""
     v = t.vectors(spark, d)
     asked = _asked(v)
-    truth, out = _truth(v, asked), None
+    truth, out = written(_truth(v, asked), "truth"), None
     for probes in (1, 4, 16):
         found = evaluation.neighbors(ann.ivf_search(v, asked, 10, cells=16, probes=probes))
         row = evaluation.recall(truth, found, 10).agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.count("*").alias("queries")).withColumn("probes", F.lit(probes))

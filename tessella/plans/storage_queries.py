@@ -308,13 +308,13 @@ def ann_recall(spark, d):
     """Mean recall at 10 of the approximate searches at their queries' own settings, against the exact answers."""
     v, out = t.vectors(spark, d), []
     asked, path = _asked(v), folder(spark, "graphs")
-    exact = evaluation.neighbors(vectors.knn_batch(v, asked, 10))
+    exact = written(evaluation.neighbors(vectors.knn_batch(v, asked, 10)), "truth")
     left = v.filter("id % 13 != 0")
     exact_left = evaluation.neighbors(vectors.knn_batch(left, asked, 10))
     ann.build_graphs(v).write.parquet(path)
     found = {
         "ivf": (exact, ann.ivf_search(v, asked, 10, cells=16, probes=12)),
-        "hnsw": (exact, ann.hnsw_search(v, asked, 10)),
+        "hnsw": (exact, ann.search_graphs(spark.read.parquet(path), asked, 10)),
         "snapshot": (exact_left, ann.search_graphs(spark.read.parquet(path), asked, 10, removed=v.filter("id % 13 = 0").select("id"))),
     }
     for name, (truth, got) in found.items():
@@ -330,7 +330,7 @@ def sweep_csv(spark, d):
 
     v, path = t.vectors(spark, d), folder(spark, "sweep")
     asked = _asked(v)
-    truth, saved = evaluation.neighbors(vectors.knn_batch(v, asked, 10)), f"{path}-graphs"
+    truth, saved = written(evaluation.neighbors(vectors.knn_batch(v, asked, 10)), "truth"), f"{path}-graphs"
     began = time.perf_counter()
     ann.build_graphs(v).write.parquet(saved)
     build, size = time.perf_counter() - began, v.count()
