@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,31 @@ def step(state: tuple[int, int], physical: int, received: tuple[int, int] | None
     return (top, max(counts) + 1 if counts else 0), True
 
 
+def steps(state: tuple[int, int], physical: np.ndarray, remote: np.ndarray, wall: np.ndarray, logical: np.ndarray, max_drift: int = MAX_DRIFT_NS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``step`` over events in their order: wall, logical and accepted of each; ``remote`` marks those that bring a clock.
+
+    An accepted event makes the clock the greatest of its (wall, logical + 1), the same of what it brings, and
+    (physical, 0). So less the number of accepted events the clock is a running maximum of pairs.
+    """
+    ok = ~remote | (wall - physical <= max_drift)
+    done = np.concatenate([[0], np.cumsum(ok)])
+    brings = remote & (wall >= physical)
+    top = np.concatenate([[state[0]], np.where(ok, np.where(brings, wall, physical), np.iinfo(np.int64).min)])
+    ticks = np.concatenate([[state[1]], np.where(ok & brings, logical + 1, 0)]) - done
+    best = np.maximum.accumulate(top)
+    run = np.concatenate([[0], np.cumsum(best[1:] > best[:-1])])
+    low = int(ticks.min())
+    span = int(ticks.max()) - low + 2
+    if span * (int(run[-1]) + 1) > np.iinfo(np.int64).max:  # logical parts too far apart to lay the runs side by side
+        out = []
+        for p, r, w, t in zip(physical.tolist(), remote.tolist(), wall.tolist(), logical.tolist()):
+            state, good = step(state, p, (w, t) if r else None, max_drift)
+            out.append((*state, good))
+        return tuple(np.array(x) for x in zip(*out))
+    held = np.maximum.accumulate(np.where(top == best, ticks - low + 1, 0) + run * span) - run * span + low - 1
+    return best[1:], (held + done)[1:], ok
+
+
 def receive(events: DataFrame, max_drift: int = MAX_DRIFT_NS) -> DataFrame:
     """Fold rows (node, i, physical, remote_wall, remote_logical): adds wall, logical and accepted.
 

@@ -191,11 +191,11 @@ def metric_series(spark, d):
 
 
 def _hint_events(spark, d) -> str:
-    """Hints as a stream's files: (target, key, ts, done), every third taken back an hour later, in one file of all."""
+    """Hints as a stream's files: (target, key, ts, done), every third taken back an hour later, in the order of time."""
     rows = t.hints(spark, d).select("target", "key", F.timestamp_micros(F.expr("wall div 1000")).alias("ts"), F.lit(False).alias("done"))
     back = rows.filter("key % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")).withColumn("done", F.lit(True))
     path = folder(spark, "hint-events")
-    rows.unionByName(back).coalesce(1).write.parquet(path)
+    views.write_in_order(rows.unionByName(back), "ts", path)
     return path
 
 
@@ -205,7 +205,7 @@ def _hint_events(spark, d) -> str:
 )
 def stream_hint_expiry(spark, d):
     """Hints that nobody took back within a day, purged as the watermark passes."""
-    stream = views.events_stream(spark, _hint_events(spark, d))
+    stream = views.events_stream(spark, _hint_events(spark, d), 1)
     out = views.drain(views.hint_expiry(stream, 24 * 3600, "10 minutes"), "append", "expiry")
     return out.select("target", "key", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
 
@@ -241,8 +241,8 @@ def stream_hlc_receive(spark, d):
     ns = t.micros() * 1000
     remote = F.when(F.col("event_id") % 3 != 0, ns + (F.col("event_id") % 11 - 5) * F.lit(20 * 10**9))
     rows = e.select(F.concat(F.lit("node-"), (F.col("user_id") % 5).cast("string")).alias("node"), F.col("event_id").alias("i"), ns.alias("physical"), remote.alias("remote_wall"), F.when(remote.isNotNull(), F.col("event_id") % 4).alias("remote_logical"), "ts")
-    rows.coalesce(1).write.parquet(path)
-    return views.drain(views.received(views.events_stream(spark, path).drop("ts")), "append", "clocks").drop("batch")
+    views.write_in_order(rows, "i", path)
+    return views.drain(views.received(views.events_stream(spark, path, 1).drop("ts")), "append", "clocks").drop("batch")
 
 
 @query(f"SELECT {LEAF} AS idx, key, ('0x' || substr(md5(concat_ws('|', key::VARCHAR, wall::VARCHAR, logical::VARCHAR, node, (deleted::INT)::VARCHAR)), 1, 15))::BIGINT AS hash FROM replica_rows WHERE replica = 'r1'", t.REPLICA_ROWS)

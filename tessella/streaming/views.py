@@ -6,6 +6,7 @@ returns what it wrote, for tests and for batch callers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.hlc import MAX_DRIFT_NS, step
+from ..operators.hlc import MAX_DRIFT_NS, steps
 from ..operators.merkle import DEPTH, FANOUT, entry_hash, leaf_of
-from ..workspace import folder
+from ..workspace import file_system, folder
 
 
 def events_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -28,6 +29,22 @@ def events_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Rows of a file that ``write_in_order`` makes, about.
+SLICE = 2_000_000
+
+
+def write_in_order(rows: DataFrame, order: str, path: str) -> None:
+    """Rows as files of about ``SLICE`` rows, in the order of a column, to be streamed one file a batch.
+
+    A stream takes files in the order of their times, so these are set a second apart.
+    """
+    rows.repartitionByRange(max(1, math.ceil(rows.count() / SLICE)), order).write.parquet(path)
+    fs, at = file_system(rows.sparkSession, path)
+    files = sorted((f for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    for n, f in enumerate(files):
+        fs.setTimes(f.getPath(), files[0].getModificationTime() + 1000 * n, -1)
+
+
 def latest_values(log: DataFrame) -> DataFrame:
     """Each key's newest version so far; state is one row a key. For update mode."""
     return log.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"), F.max_by("tombstone", "seq").alias("tombstone"))
@@ -55,26 +72,12 @@ def _micros(t: pd.Timestamp) -> int:
 def hint_expiry(hints: DataFrame, ttl_s: int, delay: str) -> DataFrame:
     """(target, key, expired_at) of pending hints (target, key, ts, done) whose time to live passed by the watermark.
 
-    State is a pending hint's newest time. A row with ``done`` takes it back; an event-time timer purges
-    what stays, so state never outlives the time to live.
+    A hint is a session of its rows, which ends a time to live after the newest. A row with ``done`` takes it back;
+    the watermark purges the state when the session ends, so it never outlives the time to live.
     """
-    span = pd.Timedelta(seconds=ttl_s)
-
-    def purge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            at = pd.Timestamp(state.get[0], unit="us") + span
-            state.remove()
-            yield pd.DataFrame({"target": [key[0]], "key": [key[1]], "expired_at": [at]})
-            return
-        rows = pd.concat(list(frames)).sort_values("ts")
-        if bool(rows["done"].iloc[-1]):
-            if state.exists:
-                state.remove()
-            return
-        state.update((_micros(rows["ts"].iloc[-1]),))
-        state.setTimeoutTimestamp(max(_micros(rows["ts"].iloc[-1] + span) // 1000, state.getCurrentWatermarkMs() + 1))
-
-    return hints.withWatermark("ts", delay).groupBy("target", "key").applyInPandasWithState(purge, "target string, key long, expired_at timestamp", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+    sessions = hints.withWatermark("ts", delay).groupBy("target", "key", F.session_window("ts", f"{ttl_s} seconds").alias("w"))
+    newest = sessions.agg(F.max_by("done", F.struct("ts", "done")).alias("done"))
+    return newest.filter(~F.col("done")).select("target", "key", F.col("w.end").alias("expired_at"))
 
 
 def reaped(reports: DataFrame, timeout_s: int, delay: str) -> DataFrame:
@@ -118,18 +121,15 @@ def reaped(reports: DataFrame, timeout_s: int, delay: str) -> DataFrame:
 def received(events: DataFrame, max_drift: int = MAX_DRIFT_NS) -> DataFrame:
     """The clock's receive rule over a stream of (node, i, physical, remote_wall, remote_logical), in order of i a batch.
 
-    State is a node's clock alone: two numbers.
+    State is a node's clock alone: two numbers. A batch's rows of a node are in memory, so batches should be bounded.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values("i")
-        out = []
-        for i, physical, remote, wall, logical in zip(rows["i"], rows["physical"], rows["remote"], rows["remote_wall"], rows["remote_logical"]):
-            now, ok = step(now, int(physical), (int(wall), int(logical)) if remote else None, max_drift)
-            out.append((key[0], int(i), *now, ok))
-        state.update(now)
-        yield pd.DataFrame(out, columns=["node", "i", "wall", "logical", "accepted"])
+        rows = pd.concat([f for f in frames if len(f)]).sort_values("i")
+        wall, logical, ok = steps(now, *(rows[c].to_numpy() for c in ("physical", "remote", "remote_wall", "remote_logical")), max_drift)
+        state.update((int(wall[-1]), int(logical[-1])))
+        yield pd.DataFrame({"node": key[0], "i": rows["i"].to_numpy(), "wall": wall, "logical": logical, "accepted": ok})
 
     # without nulls: a column that has some would come as doubles, which can't hold nanoseconds
     whole = events.withColumn("remote", F.col("remote_wall").isNotNull()).fillna(0, ["remote_wall", "remote_logical"])

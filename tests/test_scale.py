@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from tessella.functions import distance as D
-from tessella.operators import ann, vectors
+from tessella.operators import ann, hlc, vectors
 from tessella.plans import queries
+from tessella.streaming import views
 
 
 def plan(df) -> str:
@@ -121,3 +122,35 @@ def test_exact_search_holds_little_however_many_ask():
         tracemalloc.stop()
         assert (best.i[:, 0] == np.arange(n)).all()
     assert peaks[1] < 2 * peaks[0] < 2 * vectors.MATRIX_BYTES * 2
+
+
+def test_clocks_fold_many_events_as_one_by_one():
+    rng = np.random.default_rng(7)
+    for spread in (3, 1000, 2**50):
+        physical, wall = rng.integers(1, 60, 400), rng.integers(1, 90, 400)
+        remote, logical, state, want = rng.random(400) < 0.6, rng.integers(0, spread, 400), (20, 5), []
+        for p, r, w, t in zip(physical.tolist(), remote.tolist(), wall.tolist(), logical.tolist()):
+            state, ok = hlc.step(state, p, (w, t) if r else None, 20)
+            want.append((*state, ok))
+        half = [hlc.steps((20, 5), physical[:150], remote[:150], wall[:150], logical[:150], 20)]
+        half.append(hlc.steps((int(half[0][0][-1]), int(half[0][1][-1])), physical[150:], remote[150:], wall[150:], logical[150:], 20))
+        assert list(zip(*(np.concatenate(z).tolist() for z in zip(*half)))) == want
+
+
+def test_clock_batches_are_bounded(spark, sf, monkeypatch):
+    whole = sorted(queries.QUERIES["stream_hlc_receive"](spark, sf).collect())
+    monkeypatch.setattr(views, "SLICE", 300)
+    batches, drain = [], views.drain
+    monkeypatch.setattr(views, "drain", lambda *a: (batches.append(drain(*a)), batches[-1])[1])
+    assert sorted(queries.QUERIES["stream_hlc_receive"](spark, sf).collect()) == whole
+    sizes = [r["count"] for r in batches[0].groupBy("batch").count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 1000 and max(sizes) < 600
+
+
+def test_hints_expire_without_a_call_a_key(spark, sf, monkeypatch):
+    whole = sorted(queries.QUERIES["stream_hint_expiry"](spark, sf).collect())
+    plans, expiry = [], views.hint_expiry
+    monkeypatch.setattr(views, "SLICE", 100)
+    monkeypatch.setattr(views, "hint_expiry", lambda *a: (plans.append(expiry(*a)), plans[-1])[1])
+    assert whole and sorted(queries.QUERIES["stream_hint_expiry"](spark, sf).collect()) == whole
+    assert "Pandas" not in plan(plans[0])
