@@ -242,7 +242,7 @@ class Graph:
 
         Deleted nodes lead on but take no place among them, so the beam keeps its width.
         """
-        n, b, links, step = len(self.ids), len(q), self.links[layer], max(1, ef // 16)
+        n, b, links, step = len(self.ids), len(q), self.links[layer], max(16, ef // 4)
         seen = np.zeros(b * n, bool)
         seen[start[0] * n + start[1]] = True
         place = np.arange(len(start[0])) - np.searchsorted(start[0], start[0])
@@ -299,7 +299,7 @@ class Graph:
         ids, gone, n = np.array(self.ids, np.int64), np.zeros(len(self.ids), bool), len(self.ids)
         gone[list(self.deleted)] = True
         out, ef = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], max(ef, k)
-        step = max(1, BLOCK_BYTES // (n + 48 * min(ef, n) + 16 * max(1, ef // 16) * 2 * self.m * self.vecs.shape[1]))
+        step = max(1, BLOCK_BYTES // (n + 48 * min(ef, n) + 16 * max(16, ef // 4) * 2 * self.m * self.vecs.shape[1]))
         for a in range(0, len(q) if self.entry >= 0 else 0, step if ef < n else len(q)):
             own = q[a : a + step] if ef < n else q
             start = self._descend(own)
